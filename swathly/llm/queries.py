@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import audio, secrets, toxicity
 from .common import table
 
 
@@ -10,5 +10,18 @@ def op1_secrets(spark, sf_dir):
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secrets": op1_secrets}
+def op5_audio(spark, sf_dir):
+    return audio.audio_digests(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op5_audio": op5_audio,
+    "op6_toxicity": op6_toxicity,
+}
 ORACLE: dict[str, str] = {}

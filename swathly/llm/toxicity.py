@@ -1,9 +1,11 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
-Words are hashed twice into ``BUCKETS`` rows of an embedding table (their sum is the
-word's vector, so one chance collision moves a clean word only half way). Filters of
-several widths run over the word sequence, max pooling takes each filter's strongest
-window of the whole text, and a logistic layer scores them. A threshold is calibrated
+Words are hashed twice, and their first ``STEM`` letters once, into ``BUCKETS`` rows of an
+embedding table (the sum is the word's vector, so one chance collision moves a clean word
+only part of the way). Filters of several widths run over the word sequence: short ones
+with a weight for each place, wide ones (``WIDE``) with equal weights, which see how dense
+telling words stand. Max pooling takes each filter's strongest window of the whole text,
+and a logistic layer scores them. A threshold is calibrated
 for each language, which is read off the text's own function words; the score is
 shifted so that this threshold falls on ``CUT``.
 
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, slices
 
-BUCKETS, DIM, WIDTHS, FILTERS = 1 << 20, 8, (1, 2, 3), 8
+BUCKETS, STEM, DIM, WIDTHS, WIDE, FILTERS = 1 << 20, 6, 8, (1, 2, 3), (48, 192), 4
+POOLED = (len(WIDTHS) + len(WIDE)) * FILTERS
 SAMPLE, LONGEST, HELD_OUT, CUT = 6_000, 20_000, 1, 0.7
 EPOCHS, BATCH, RATE, TRIM = 6, 64, 0.02, 0.2
 CHUNK = 200_000  # words convolved at once
@@ -45,9 +48,9 @@ FUNCTION_WORDS = {
 LANGS = (*FUNCTION_WORDS, "other")
 
 
-def _rows(word: str) -> tuple[int, int]:
+def _rows(word: str) -> tuple[int, int, int]:
     b = word.encode("utf-8", "surrogatepass")
-    return zlib.crc32(b) % BUCKETS, zlib.crc32(b, 0x9E3779B9) % BUCKETS
+    return zlib.crc32(b) % BUCKETS, zlib.crc32(b, 0x9E3779B9) % BUCKETS, zlib.crc32(word[:STEM].encode("utf-8", "surrogatepass"), 0x7F4A7C15) % BUCKETS
 
 
 class Model:
@@ -58,12 +61,13 @@ class Model:
 
     def __init__(self, row_of: dict[int, int], table: np.ndarray, filters: list[np.ndarray], bias: np.ndarray, out: np.ndarray, shift: dict[str, tuple[float, float]]):
         self.row_of, self.table, self.filters, self.bias, self.out, self.shift = row_of, table, filters, bias, out, shift
-        self.memo: dict[str, tuple[int, int, int]] = {}
+        self.memo: dict[str, tuple[int, int, int, int]] = {}
         self.lang_of = {w: k for k, (_, ws) in enumerate(FUNCTION_WORDS.items()) for w in ws.split()}
 
-    def look(self, word: str) -> tuple[int, int, int]:
-        a, b = _rows(word)
-        found = self.row_of.get(a, 0), self.row_of.get(b, 0), self.lang_of.get(word, -1) + 1
+    def look(self, word: str) -> tuple[int, int, int, int]:
+        get = self.row_of.get
+        a, b, c = _rows(word)
+        found = get(a, 0), get(b, 0), get(c, 0), self.lang_of.get(word, -1) + 1
         if len(self.memo) > 400_000:
             self.memo.clear()
         self.memo[word] = found
@@ -71,7 +75,7 @@ class Model:
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
         """Raw scores and the detected languages."""
-        pooled = np.empty((len(texts), len(WIDTHS) * FILTERS), np.float32)
+        pooled = np.empty((len(texts), POOLED), np.float32)
         langs = np.zeros((len(texts), len(LANGS)), np.int64)
         group: list[list] = []
         first = held = 0
@@ -93,22 +97,23 @@ class Model:
         """Convolve a run of documents, each followed by a gap, and pool by document; a very long one goes by slices that overlap."""
         gap = max(WIDTHS) - 1
         pooled[:] = -np.inf
-        parts = [(d, ids[at : at + CHUNK + gap]) for d, ids in enumerate(group) for at in range(0, max(1, len(ids)), CHUNK)]
-        flat = np.zeros((sum(len(p) + gap for _, p in parts), 3), np.int32)
-        starts, at = [], 0
+        parts = [(d, ids[at : at + CHUNK + max(WIDE)]) for d, ids in enumerate(group) for at in range(0, max(1, len(ids)), CHUNK)]
+        flat = np.zeros((sum(len(p) + gap for _, p in parts), 4), np.int32)
+        starts, at, ends = [], 0, np.empty(len(flat), np.int64)
         for _, p in parts:
             if p:
                 flat[at : at + len(p)] = p
             starts.append(at)
+            ends[at : at + len(p) + gap] = at + len(p)
             at += len(p) + gap
-        x = self.table[flat[:, 0]] + self.table[flat[:, 1]]
-        by_part = np.maximum.reduceat(convolve(x, self.filters, self.bias), starts, axis=0)
+        x = self.table[flat[:, 0]] + self.table[flat[:, 1]] + self.table[flat[:, 2]]
+        by_part = np.maximum.reduceat(convolve(x, ends, self.filters, self.bias), starts, axis=0)
         owner = np.array([d for d, _ in parts])
         np.maximum.at(pooled, owner, by_part)
         np.maximum(pooled, 0, out=pooled)
         for d, ids in enumerate(group):  # whole documents: slices overlap
             if ids:
-                langs[d] = np.bincount(np.fromiter((i[2] for i in ids), np.int64, len(ids)), minlength=len(LANGS) + 1)[1 : len(LANGS) + 1]
+                langs[d] = np.bincount(np.fromiter((i[3] for i in ids), np.int64, len(ids)), minlength=len(LANGS) + 1)[1 : len(LANGS) + 1]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         raw, langs = self.logits(texts)
@@ -117,15 +122,20 @@ class Model:
         return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9)
 
 
-def convolve(x: np.ndarray, filters: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    """(n, WIDTHS * FILTERS): window j of a width starts at word j; the gap after a document keeps windows inside it."""
+def convolve(x: np.ndarray, ends: np.ndarray, filters: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    """(n, POOLED): window j of a width starts at word j and ends with its document, at the gap after it or at ``ends``."""
     n, out = len(x), []
-    for f in filters:  # (width, DIM, FILTERS)
+    for w, f in zip(WIDE, filters[len(WIDTHS) :], strict=True):  # (1, DIM, FILTERS)
+        total = np.concatenate([np.zeros((1, FILTERS)), np.cumsum(x @ f[0], 0, dtype=np.float64)])
+        at = np.arange(n)
+        out.append((total[np.maximum(np.minimum(at + w, ends), at)] - total[at]).astype(np.float32))
+    wide, out = out, []
+    for f in filters[: len(WIDTHS)]:  # (width, DIM, FILTERS)
         y = x @ f[0]
         for k in range(1, len(f)):
             y[: n - k] += x[k:] @ f[k]
         out.append(y)
-    return np.concatenate(out, 1) + bias
+    return np.concatenate(out + wide, 1) + bias
 
 
 def distinct_rows(texts: list[str]) -> list[int]:
@@ -156,7 +166,7 @@ def train(texts: list[str], labels: list[int], ids: list) -> Model:
     row_of = {b: k + 1 for k, b in enumerate(sorted({b for ab in keys.values() for b in ab}))}
     # Start from evidence: the first number of a bucket is the smoothed log-odds of its documents, where that is beyond chance.
     pos, neg = np.zeros(len(row_of) + 1), np.zeros(len(row_of) + 1)
-    docs = [np.array([(row_of[keys[w][0]], row_of[keys[w][1]]) for w in ws], np.int32).reshape(-1, 2) for ws in words]
+    docs = [np.array([[row_of[b] for b in keys[w]] for w in ws], np.int32).reshape(-1, 3) for ws in words]
     for d, label, k in zip(docs, y, kept, strict=True):
         if k:
             (pos if label else neg)[np.unique(d)] += 1
@@ -170,11 +180,11 @@ def train(texts: list[str], labels: list[int], ids: list) -> Model:
     table = np.zeros((len(row_of) + 1, DIM), np.float32)
     table[:, 0] = np.where(sure, odds / 4, 0)
     table[0] = 0
-    filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
+    filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in (*WIDTHS, *[1] * len(WIDE))]
     for f in filters:
         f[0, 0, : FILTERS // 2] += 0.5
-    bias = np.full(len(WIDTHS) * FILTERS, -0.3, np.float32)
-    out = np.append(np.full(len(WIDTHS) * FILTERS, 0.2), -1).astype(np.float32)
+    bias = np.full(POOLED, -0.3, np.float32)
+    out = np.append(np.full(POOLED, 0.2), -1).astype(np.float32)
     fit = np.flatnonzero(kept)
     weight = np.where(y == 1, (n0 + 1) / (n1 + 1), 1.0).clip(0.2, 20)
     for epoch in range(EPOCHS if n1 and n0 else 0):
@@ -186,8 +196,8 @@ def train(texts: list[str], labels: list[int], ids: list) -> Model:
                 rows = docs[d]
                 if not len(rows):
                     continue
-                x = np.concatenate([table[rows[:, 0]] + table[rows[:, 1]], np.zeros((max(WIDTHS) - 1, DIM), np.float32)])
-                h = convolve(x, filters, bias)
+                x = np.concatenate([table[rows].sum(1), np.zeros((max(WIDTHS) - 1, DIM), np.float32)])
+                h = convolve(x, np.full(len(x), len(rows)), filters, bias)
                 top = h.argmax(0)
                 v = np.maximum(h[top, np.arange(h.shape[1])], 0)
                 p = 1 / (1 + np.exp(-np.clip(v @ out[:-1] + out[-1], -30, 30)))
@@ -197,17 +207,20 @@ def train(texts: list[str], labels: list[int], ids: list) -> Model:
                 gv = g * out[:-1] * (v > 0)
                 g_out += np.append(g * v, g).astype(np.float32)
                 g_bias += gv
-                for k, w in enumerate(WIDTHS):
-                    for f in range(FILTERS):
-                        c = k * FILTERS + f
-                        if gv[c]:
-                            for j in range(w):
-                                q = top[c] + j
-                                grads[k][j, :, f] += gv[c] * x[q]
-                                if epoch and q < len(rows):
-                                    step = rate * gv[c] * filters[k][j, :, f]
-                                    table[rows[q, 0]] -= step
-                                    table[rows[q, 1]] -= step
+                for c in np.flatnonzero(gv):
+                    k, f, q = c // FILTERS, c % FILTERS, top[c]
+                    if k < len(WIDTHS):
+                        w = WIDTHS[k]
+                        grads[k][:, :, f] += gv[c] * x[q : q + w]
+                        own, step = rows[q : q + w], gv[c] * filters[k][: len(rows[q : q + w]), :, f]
+                    else:
+                        w = WIDE[k - len(WIDTHS)]
+                        grads[k][0, :, f] += gv[c] * x[q : min(q + w, len(rows))].sum(0)
+                        own = rows[q : q + w]
+                        own = own[np.abs(table[own]).max((1, 2)) > 0]
+                        step = np.broadcast_to(gv[c] * filters[k][0, :, f], (len(own), DIM))
+                    if epoch and len(own):
+                        np.subtract.at(table, own, rate * step[:, None, :])
             size = len(order[at : at + BATCH])
             for f, gr in zip(filters, grads, strict=True):
                 f -= rate * (gr / size + 1e-4 * f)
