@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontam, nbest, neardup, quality, secrets, toxicity, urlfilter
+from . import audio, decontam, nbest, neardup, quality, secrets, suffixdedup, tokenstore, toxicity, urlfilter
 from .common import table
 
 
@@ -40,6 +40,14 @@ def op8_nbest(spark, sf_dir):
     return nbest.nbest_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_tokens(spark, sf_dir):
+    return tokenstore.read_documents(tokenstore.write_shards(table(spark, sf_dir, "documents")))
+
+
+def op10_suffixdedup(spark, sf_dir):
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -49,5 +57,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_neardup": op7_neardup,
     "op8_nbest": op8_nbest,
+    "op9_tokens": op9_tokens,
+    "op10_suffixdedup": op10_suffixdedup,
 }
 ORACLE: dict[str, str] = {"op3_urlfilter": urlfilter.ORACLE, "op4_decontam": decontam.ORACLE}
