@@ -103,8 +103,9 @@ def train(texts: list[str], labels: list[int]) -> Evidence:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Evidence:
     own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    own = own.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != HELD_OUT)
-    pick = own.join(docs.select("doc_id", "text").where(F.length("text") <= LONGEST), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
+    own = own.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select("doc_id", "text").where(F.length("text") <= LONGEST)
+    pick = texts.join(F.broadcast(own), "doc_id").orderBy("doc_id", "text").limit(rows).collect()  # ids of at most that many rows
     return train([r.text for r in pick], [r.y for r in pick])
 
 

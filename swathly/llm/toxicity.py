@@ -257,8 +257,9 @@ def threshold(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[list, list, list]:
     """At most ``rows`` labelled training rows, by a hash of the id; conflicting labels of an id count as toxic."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    own = own.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != HELD_OUT)
-    pick = own.join(docs.select("doc_id", "text").where(F.length("text") <= LONGEST), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
+    own = own.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select("doc_id", "text").where(F.length("text") <= LONGEST)
+    pick = texts.join(F.broadcast(own), "doc_id").orderBy("doc_id", "text").limit(rows).collect()  # ids of at most that many rows
     return [r.text for r in pick], [r.y for r in pick], [r.doc_id for r in pick]
 
 
