@@ -167,15 +167,15 @@ def train(texts: list[str], labels: list[int], ids: list) -> Model:
     # Start from evidence: the first number of a bucket is the smoothed log-odds of its documents, where that is beyond chance.
     pos, neg = np.zeros(len(row_of) + 1), np.zeros(len(row_of) + 1)
     docs = [np.array([[row_of[b] for b in keys[w]] for w in ws], np.int32).reshape(-1, 3) for ws in words]
-    for d, label, k in zip(docs, y, kept, strict=True):
-        if k:
-            (pos if label else neg)[np.unique(d)] += 1
-    n1, n0 = float(y[kept].sum()), float((1 - y[kept]).sum())
+    for d, label in zip(docs, y, strict=True):
+        (pos if label else neg)[np.unique(d)] += 1
+    n1, n0 = float(y.sum()), float((1 - y).sum())
     # A bucket counts only where its G statistic would not arise by chance among all buckets (labels may be noisy).
     k, base = pos + neg, (n1 + 0.5) / (n1 + n0 + 1)
     rate = np.clip(pos / np.maximum(k, 1), 1e-9, 1 - 1e-9)
     g_stat = 2 * (pos * np.log(rate / base) + neg * np.log((1 - rate) / (1 - base)))
-    sure = (k > 0) & (g_stat > 2 * np.log(len(k) + 1) + 4)
+    often = k >= 4  # fewer documents show nothing, so they do not count as tries either
+    sure = often & (g_stat > 2 * np.log(often.sum() + 1) + 2)
     odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
     table = np.zeros((len(row_of) + 1, DIM), np.float32)
     table[:, 0] = np.where(sure, odds / 4, 0)
@@ -233,23 +233,30 @@ def train(texts: list[str], labels: list[int], ids: list) -> Model:
     if n1 and n0:
         raw, langs = model.logits(texts)
         use = np.flatnonzero(~kept) if (~kept).any() and 0 < y[~kept].sum() < (~kept).sum() else np.arange(len(y))
-        common = threshold(raw[use], y[use])
+        none = float(model.logits([""])[0][0])
+        common = threshold(raw[use], y[use], none)
         for g in LANGS:
             own = use[[langs[i] == g for i in use]]
             enough = len(own) and y[own].sum() >= 10 and (1 - y[own]).sum() >= 10
-            model.shift[g] = threshold(raw[own], y[own]) if enough else common
+            model.shift[g] = threshold(raw[own], y[own], none) if enough else common
     model.memo.clear()
     return model
 
 
-def threshold(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(cut, scale): the cut of best F1, in the middle of the gap to the next lower score; the scale makes a typical distance 3 logits."""
+def threshold(raw: np.ndarray, y: np.ndarray, none: float) -> tuple[float, float]:
+    """(cut, scale): the cut of best F1, in the middle of the gap to the next lower score; the scale makes a typical distance 3 logits.
+
+    The cut stays above ``none``, the score of a text without evidence.
+    """
     order = np.argsort(-raw, kind="stable")
     s, hit = raw[order].astype(float), np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
     f1[:-1][s[:-1] == s[1:]] = -1  # a cut cannot part equal scores
+    f1[s <= none + 1e-6] = -1
     k = int(np.argmax(f1))
-    below = s[k + 1] if k + 1 < len(s) else s[k] - 1
+    if f1[k] < 0:
+        return none + 1.0, 3.0
+    below = max(s[k + 1] if k + 1 < len(s) else none, none)
     cut = (s[k] + below) / 2
     return float(cut), float(3 / max(np.median(np.abs(s - cut)), 1e-3))
 
