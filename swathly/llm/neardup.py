@@ -7,12 +7,15 @@ in [j, j + 1), so a document stops as soon as every slot was met at an earlier s
 Documents with equal sets form a class, which one of them stands for. Classes that agree
 in a band of ``ROWS`` slots are candidates. No bucket is expanded into all its pairs:
 each round compares a bucket's members with one leader only, and merges what is linked;
-members that a component already holds need no further comparison with each other. When
-what is left between different components is no more than a few pairs per class (or the
-rounds are over), exactly those pairs are compared, without a cap.
+members that a component already holds need no further comparison with each other. Rounds
+end when they hardly link anything more. Then, without a cap, all that is left between
+different components is compared: pairs of a sparse bucket as they are; members of a
+crowded one (texts that share a passage, say, but little else) by an exact prefix filter,
+where only texts that share one of their rarest fifth of shingles can be similar enough.
 
 A pair at the threshold of 0.8 misses all ``BANDS`` bands with probability
-(1 - 0.8^4)^32 < 1e-7; that is the only way to lose a link.
+(1 - 0.8^6)^42 < 3e-6; that is the only way to lose a link. Six slots a band keep chance
+meetings rare: at a similarity of 0.3, which a shared passage may give, under 1 in 30.
 
 Defined cases: a null or empty text has no shingles, is linked with nothing and kept;
 rows without an id take the component of their class if it has an id, else null, and are
@@ -29,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, materialize, release_shuffles, row_key, slices
 
-SLOTS, BANDS, ROWS = 128, 32, 4
-#: Star rounds at most, and the pairs per class that may be left for the exact round before they are over.
-ROUNDS, LEFT = 4, 4
+SLOTS, BANDS, ROWS = 256, 42, 6
+#: Star rounds at most; a round that links fewer than one pair in ``IDLE`` is the last one; a bucket with more open pairs than ``CROWD`` a member is crowded.
+ROUNDS, IDLE, CROWD = 4, 20, 2
 
 _U = np.uint64
 _RNG = np.random.default_rng(7)
@@ -85,17 +88,17 @@ def shingle_sets(raws: list[bytes], size: int = 4) -> list[np.ndarray]:
 
 
 def _slot(key: np.ndarray, j: int) -> np.ndarray:
-    """Where the permutation of each key sends step ``j``: odd factors, offsets and shifts are all bijections of 7 bits."""
+    """Where the permutation of each key sends step ``j``: odd factors, offsets and shifts are all bijections of 8 bits."""
     x, low = np.full(len(key), j, _U), _U(SLOTS - 1)
-    for k, shift in ((0, 3), (14, 4), (28, 2)):
-        x = (x * ((key >> _U(k)) | _U(1)) + (key >> _U(k + 7))) & low
+    for k, shift in ((0, 4), (17, 3), (34, 5)):
+        x = (x * ((key >> _U(k)) | _U(1)) + (key >> _U(k + 8))) & low
         x ^= x >> _U(shift)
     return x.astype(np.int64)
 
 
 def super_minhash(sets: list[np.ndarray]) -> np.ndarray:
-    """(texts, SLOTS) signatures: step in the top 8 bits, the random part below."""
-    sig = np.full((len(sets), SLOTS), _U(2**64 - 1))
+    """(texts, SLOTS) signatures: step in the top bits, the random part below."""
+    sig = np.full((len(sets), SLOTS), _U(2**64 - 1))  # over every step
     flat = sig.reshape(-1)
     h = np.concatenate([*sets, np.zeros(0, _U)])
     doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -103,9 +106,9 @@ def super_minhash(sets: list[np.ndarray]) -> np.ndarray:
     for j in range(SLOTS):
         if not len(h):
             break
-        value = _U(j << 56) | (mix(h + _U((j + 1) * int(_BASE) % 2**64)) >> _U(8))
+        value = _U(j << 55) | (mix(h + _U((j + 1) * int(_BASE) % 2**64)) >> _U(9))
         np.minimum.at(flat, doc * SLOTS + _slot(key, j), value)
-        open_ = (sig >= _U((j + 1) << 56)).any(1)[doc]
+        open_ = (sig >= _U((j + 1) << 55)).any(1)[doc]
         if not open_.all():
             h, doc, key = h[open_], doc[open_], key[open_]
     return sig
@@ -213,6 +216,38 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def prefix_pairs(crowd: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of different components among ``crowd`` (key, node, n, component) that share a shingle of their prefixes.
+
+    Shingles are ordered by how many of these texts hold them, rarest first; two sets that
+    are similar enough must meet within their first n - ceil(percent * n / 100) + 1, and
+    from their first meeting on, enough places must be left for the overlap that their
+    sizes ask for. Shingles that only one text holds come first and meet nothing.
+    """
+
+    def work(batches):
+        for b in slices(batches):
+            sets = shingle_sets([t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()], size)
+            ends = pa.array(np.cumsum([0] + [len(x) for x in sets]), pa.int32())
+            flat = pa.array(np.concatenate([*sets, np.zeros(0, _U)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(ends, flat)], names=["key", "shingles"])
+
+    texts = docs.select(row_key().alias("key"), "text").join(crowd.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    each = materialize(texts.mapInArrow(work, "key long, shingles array<long>"), "shingles").select("key", F.explode("shingles").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    own = each.join(shared, "s").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("s")).join(crowd, "key")
+    alone = F.col("n") - F.size("s")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    parts = own.withColumn("held", F.size("s")).where(prefix > alone).select("key", "node", "n", "component", "held", F.posexplode(F.slice("s", F.lit(1), (prefix - alone).cast("int"))).alias("i", "p")).select("key", "node", "n", "component", "p.s", (F.col("held") - F.col("i")).alias("rest"))
+    parts = materialize(parts, "prefixes")
+    lead = parts.select("s", F.col("rest").alias("lrest"), *[F.col(k).alias(v) for k, v in _LEADER.items()])
+    enough = (100 + percent) * F.least("rest", "lrest") >= percent * (F.col("n") + F.col("ln"))
+    return parts.join(lead, "s").where((F.col("key") > F.col("a")) & enough & (F.col("component") != F.col("lc")))
+
+
+_LEADER = {"node": "na", "key": "a", "n": "ln", "component": "lc"}
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept, and the row's key."""
     spark = docs.sparkSession
@@ -223,44 +258,44 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = rows.groupBy("band").agg(F.count("*").alias("t")).where("t > 1").select("band")
     buckets = materialize(rows.join(shared, "band"), "buckets")
     release_shuffles(spark)
-    similar_size = 100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")
-    n_classes = classes.count()
-    edges = tried = labels = None
-    for turn in range(ROUNDS + 1):
-        own = buckets if labels is None else buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        own = own if labels is not None else own.withColumn("component", F.col("node"))
-        left = 0
-        if turn:
-            per = own.groupBy("band", "component").agg(F.count("*").alias("t")).groupBy("band").agg(F.sum("t").alias("t"), F.sum(F.col("t") * F.col("t")).alias("q")).where("t * t > q")
-            own = materialize(own.join(per.select("band"), "band"), "open")
-            left = per.agg(F.sum((F.col("t") * F.col("t") - F.col("q")) / 2)).first()[0] or 0
-            if not left:
-                break
-        names = {"node": "na", "key": "a", "n": "ln", "component": "lc"}
-        exact = turn and (left <= LEFT * BANDS * n_classes or turn == ROUNDS)
-        if exact:
-            lead = own.select("band", *[F.col(k).alias(v) for k, v in names.items()])
-            pairs = own.join(lead, "band").where(F.col("key") > F.col("a"))
-        else:
-            # The leader: in the first round the smallest node, then a member of the bucket's largest component, another one each time.
-            rank = F.struct(F.lit(0).alias("o"), "node", "key", "n", "component") if not turn else F.struct((-F.col("size")).alias("o"), F.xxhash64(F.lit(turn), "component").alias("c"), F.xxhash64(F.lit(turn), "key").alias("x"), "node", "key", "n", "component")
-            if turn:
-                size_of = own.groupBy("band", "component").agg(F.count("*").alias("size"))
-                own = own.join(size_of, ["band", "component"])
-            lead = own.groupBy("band").agg(F.min(rank).alias("l")).select("band", *[F.col(f"l.{k}").alias(v) for k, v in names.items()])
-            pairs = own.join(lead, "band")
+    state = {"edges": None, "tried": None}
+
+    def settle(pairs: DataFrame) -> tuple[int, int]:
+        """Compare those pairs that were not yet; how many, and how many linked."""
+        similar_size = 100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")
         pairs = pairs.where((F.col("component") != F.col("lc")) & similar_size).select(F.least("a", "key").alias("p"), F.greatest("a", "key").alias("q"), "a", "na", F.col("key").alias("b"), F.col("node").alias("nb"))
         pairs = pairs.dropDuplicates(["p", "q"])
-        if tried is not None:
-            pairs = pairs.join(tried, ["p", "q"], "left_anti")
+        if state["tried"] is not None:
+            pairs = pairs.join(state["tried"], ["p", "q"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        tried = pairs.select("p", "q") if tried is None else tried.union(pairs.select("p", "q"))
         found = materialize(linked(pairs.select("a", "na", "b", "nb"), docs, size, percent), "links")
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
+        for name, new in (("tried", pairs.select("p", "q")), ("edges", found)):
+            state[name] = new if state[name] is None else state[name].union(new)
         release_shuffles(spark)
-        if exact:
+        return pairs.count(), found.count()
+
+    # The leader: in the first round the smallest node, then a member of the bucket's largest component, another one each time.
+    own = buckets.withColumn("component", F.col("node"))
+    lead = own.groupBy("band").agg(F.min(F.struct("node", "key", "n", "component")).alias("l"))
+    settle(own.join(lead.select("band", *[F.col(f"l.{k}").alias(v) for k, v in _LEADER.items()]), "band"))
+    for turn in range(1, ROUNDS + 1):
+        labels = components(state["edges"])
+        own = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = own.groupBy("band", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("x"), "node", "key", "n", "component")).alias("l"))
+        per = parts.groupBy("band").agg(F.sum("size").alias("t"), F.sum(F.col("size") * F.col("size")).alias("q"), F.max(F.struct("size", F.xxhash64(F.lit(turn), "component"), "l")).alias("m")).where("t * t > q")
+        per = materialize(per.select("band", ((F.col("t") * F.col("t") - F.col("q")) / 2 > CROWD * F.col("t")).alias("crowded"), *[F.col(f"m.l.{k}").alias(v) for k, v in _LEADER.items()]), "open")
+        tried, hit = settle(own.join(per, "band"))
+        if not tried or IDLE * hit < tried:
+            if hit:
+                labels = components(state["edges"])
+                own = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             break
+    lead = own.select("band", *[F.col(k).alias(v) for k, v in _LEADER.items()])
+    sparse = own.join(per.where("not crowded").select("band"), "band").join(lead, "band").where(F.col("key") > F.col("a"))
+    crowd = materialize(own.join(per.where("crowded").select("band"), "band").select("key", "node", "n", "component").distinct(), "crowd")
+    columns = ["a", "na", "ln", "lc", "key", "node", "n", "component"]
+    settle(sparse.select(*columns).union(prefix_pairs(crowd, docs, size, percent).select(*columns)))
+    labels = components(state["edges"])
     named = classes.select("c1", "c2", F.col("r.doc_id").alias("node")).join(labels, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("class_id"))
     out = each.select("doc_id", "key", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
     component = F.coalesce(F.when(F.col("n") > 0, F.col("class_id")), F.col("doc_id"))
