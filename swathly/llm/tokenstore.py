@@ -11,7 +11,7 @@ place, or finding its k-th place decompresses a block per plane only.
 Files are rows of a Parquet table (partition, number, bytes) in the shared folder: Spark's
 own committer writes them, so a lost executor leaves no half-written shard.
 
-Encoding calls the tokenizer once per distinct unit. A unit ends where a single blank stands
+Encoding calls the tokenizer once per distinct unit, as far as they are remembered. A unit ends where a single blank stands
 between two other characters; no pre-token crosses such a place, so ids are the same as
 those of the whole text.
 
@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,10 @@ from .common import materialize, slices
 
 END, SHARD, BLOCK = 0, 1 << 19, 1 << 18
 MAGIC = b"WVMX1\n"
-MEMO = 400_000
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r" (?=\s)|(?<=\s) ")
+#: A blank at an end or beside other white space: such a text goes the plain way.
+ODD = r"^ | $|\A \z| [\s\x{1c}-\x{1f}\x{85}\pZ]|[\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ] | \x{0b}"
+RUN, BYTES, MEMO = 128, 32 << 20, 1_500_000  # units encoded as one text; bytes of texts held at once; units remembered
 
 
 def default_tokenizer() -> str:
@@ -50,7 +52,7 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """A tokenizer with a memory of units; ids as little-endian 16- or 32-bit integers."""
+    """A tokenizer over Arrow columns; ids as little-endian 16- or 32-bit integers."""
 
     def __init__(self, path: str):
         import os
@@ -59,39 +61,75 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         special = {t.content: len(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.width = np.array([special.get(t, len(t or "")) for t in map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))], np.int64)  # bytes of each id
-
-    def units(self, text: str) -> list[str]:
-        """Parts of the text that are encoded alone."""
-        if not text:
-            return []
-        if text[0] == " " or text[-1] == " " or _ODD.search(text):
-            return _SAFE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + r for r in rest]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.units(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list({u for units in cut for u in units if u not in memo})
-        # Units that can stand inside a text go many at a time; where each ends is told by the bytes of its ids.
-        inner = [u for u in new if len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace()]
-        runs = [inner[at : at + 256] for at in range(0, len(inner), 256)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.int64)
-            at = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in run])) + 1
-            raw, w, a = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize, 0
-            for u, b in zip(run, (at * w).tolist(), strict=True):
-                memo[u], a = raw[a:b], b
-        rest = [u for u in new if u not in memo]
-        for u, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            memo[u] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([memo[u] for u in units]) for units in cut]
+        self.units, self.pool, self.count = pa.array([], pa.string()), np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        self.width = np.array([special.get(t, len(t or "")) for t in map(self.tokenizer.id_to_token, range(size))], np.int64)  # bytes of each id
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, encoded as it is."""
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def after_blank(self, units: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units, each behind a blank, and how many each has. Many go at a time; where each ends is told by the bytes of its ids."""
+        size = pc.binary_length(units).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        parts, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(units), RUN * 64):
+            names = units.slice(lo, RUN * 64).to_pylist()
+            runs = [names[at : at + RUN] for at in range(0, len(names), RUN)]
+            for k, e in enumerate(self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                at = lo + k * RUN
+                end = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size[at : at + len(runs[k])])) + 1
+                parts.append(ids)
+                counts.append(np.diff(end, prepend=0))
+        return np.concatenate(parts), np.concatenate(counts)
+
+    def remember(self, units: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The units' numbers in the memory, which learns the new ones, and its pool of ids and their counts."""
+        if len(self.units) > MEMO:
+            self.units, self.pool, self.count = units.slice(0, 0), self.pool[:0], self.count[:0]
+        at = pc.index_in(units, value_set=self.units)
+        new = units.filter(pc.is_null(at))
+        known = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        known[known < 0] = len(self.units) + np.arange(len(new))
+        ids, count = self.after_blank(new)
+        self.units, self.pool, self.count = pa.concat_arrays([self.units, new]), np.concatenate([self.pool, ids]), np.concatenate([self.count, count])
+        return known, self.pool, self.count
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column's texts one after another, and how many each has; nulls count as empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.or_(pc.match_substring_regex(texts, ODD), pc.equal(texts, ""))
+        rows = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        cut = pc.split_pattern(texts.take(pa.array(rows)), " ")
+        at = cut.offsets.to_numpy()
+        table = cut.values.slice(int(at[0]), int(at[-1] - at[0])).dictionary_encode()
+        number = table.indices.to_numpy().astype(np.int64)
+        known, pool, count = self.remember(table.dictionary)
+        number = known[number]
+        first = at[:-1] - at[0]
+        starts = self.plain(cut.values.take(pa.array(at[:-1])).to_pylist())  # without the blank
+        slow = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        pieces = [p for text in texts.take(pa.array(slow)).to_pylist() for p in (self.plain(_SAFE.split(text)) if text else [])]
+        # One list of units for all rows: numbers into the pool, which the first units and the odd rows' pieces extend.
+        number[first] = len(count) + np.arange(len(first))
+        n_slow = np.array([len(_SAFE.split(t)) if t else 0 for t in texts.take(pa.array(slow)).to_pylist()], np.int64)
+        pool = np.concatenate([pool, *starts, *pieces])
+        count = np.concatenate([count, [len(x) for x in starts], [len(x) for x in pieces]]).astype(np.int64)
+        units = np.zeros(len(texts), np.int64)
+        units[rows], units[slow] = np.diff(at), n_slow
+        begin = np.cumsum(units) - units
+        order = np.empty(int(units.sum()), np.int64)
+        fill = lambda own, values: np.put(order, np.repeat(begin[own] - np.cumsum(units[own]) + units[own], units[own]) + np.arange(len(values)), values)
+        fill(rows, number)
+        fill(slow, len(count) - len(pieces) + np.arange(len(pieces)))
+        n = count[order]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat((np.cumsum(count) - count)[order] - ends + n, n) + np.arange(int(n.sum()))]
+        total = np.concatenate([[0], ends])
+        return ids, total[begin + units] - total[begin]
 
 
 @lru_cache(2)
@@ -119,9 +157,9 @@ def build(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
             sizes.append(len(raw))
             ones.append(int(np.count_nonzero(part)))
             body.append(raw)
-        low = a[~m]
+        low = a.take(np.flatnonzero(~m))
         zeros.append(len(low))
-        a = np.concatenate([low, a[m]])
+        a = np.concatenate([low, a.take(np.flatnonzero(m))])
     head = json.dumps({"n": len(ids), "levels": levels, "zeros": zeros, "sizes": sizes, "ones": ones, "docs": doc_ids, "lengths": lengths}, separators=(",", ":")).encode()
     return MAGIC + struct.pack("<Q", len(head)) + head + b"".join(body)
 
@@ -228,8 +266,8 @@ class WaveletFile:
             bits = np.concatenate([self._read_plain(level, b) for b in range(self.blocks)]) if self.blocks else np.zeros(0, np.uint8)
             m = np.unpackbits(bits, bitorder="little")[: self.n].astype(bool)
             up = np.empty_like(a)
-            up[~m] = a[: self.zeros[level]]
-            up[m] = a[self.zeros[level] :] | dtype(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~m)] = a[: self.zeros[level]]
+            up[np.flatnonzero(m)] = a[self.zeros[level] :] | dtype(1 << (self.levels - 1 - level))
             a = up
         return a
 
@@ -240,6 +278,15 @@ class WaveletFile:
         return np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(self.raw[self.offset[k] : self.offset[k + 1]])), np.uint8)
 
 
+def by_bytes(batches):
+    """Batches cut so that the texts of one take up about ``BYTES`` at most."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // BYTES
+        cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        yield from (b.slice(lo, hi - lo) for lo, hi in zip(cut, cut[1:], strict=False) if hi > lo)
+
+
 # -- the corpus --------------------------------------------------------------------
 
 
@@ -250,20 +297,26 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard: int = SHA
 
     def work(batches):
         own, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([END], own.dtype).tobytes()
-        width = len(end)
         held, ids, lengths, size = [], [], [], 0
 
         def close():
-            flat = np.frombuffer(b"".join(held), own.dtype)
+            flat = np.concatenate(held)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([build(flat, ids, lengths)], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "file"])
 
-        for b in slices(batches):
-            for i, raw in zip(b.column("doc_id").to_pylist(), own.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
-                held += [raw, end]
-                ids.append(i)
-                lengths.append(len(raw) // width + 1)
-                size += lengths[-1]
+        for b in by_bytes(batches):
+            flat, n = own.encode(b.column("text"))
+            # The end id goes behind each document.
+            flat = np.insert(flat, np.cumsum(n), own.dtype.type(END))
+            n = n + 1
+            names, ends, lo = b.column("doc_id").to_pylist(), np.cumsum(n), 0
+            while lo < len(n):
+                hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + shard - size)) + 1
+                hi = min(hi, len(n))
+                held.append(flat[ends[lo - 1] if lo else 0 : ends[hi - 1]])
+                ids += names[lo:hi]
+                lengths += n[lo:hi].tolist()
+                size += len(held[-1])
+                lo = hi
                 if size >= shard:
                     yield close()
                     seq += 1
