@@ -64,7 +64,7 @@ def hits(docs: DataFrame, shingles: DataFrame, sizes: list[int], small: bool) ->
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the row's key."""
     windows = materialize(item_windows(benchmark), "windows")
     size = F.least(F.col("size"), F.lit(SHINGLE))
     inside = F.transform(_hashes(F.col("window"), size), lambda h, i: F.struct(h.alias("h"), i.alias("at")))
@@ -85,23 +85,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_IT
     w = F.col("w")
     own = docs.select("doc_id", row_key().alias("key"), words(F.col("text")).alias("w"))
     true = F.filter(F.coalesce(F.col("cs"), F.array()), lambda c: (c["start"] + c["size"] <= F.size(w)) & (F.slice(w, c["start"] + 1, c["size"]) == c["window"]))
-    out = own.join(per_doc, "key", "left").select("doc_id", F.size(w).cast("long").alias("n_words"), true.alias("v"))
+    out = own.join(per_doc, "key", "left").select("doc_id", "key", F.size(w).cast("long").alias("n_words"), true.alias("v"))
     places = F.array_distinct(F.flatten(F.transform("v", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("v", lambda c: c["items"]))))
-    return out.select("doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), items.alias("i")).select(
+    return out.select("doc_id", "key", "n_words", F.size(places).cast("long").alias("n_hit"), items.alias("i")).select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("i").cast("long").alias("n_items"),
         F.sha2(F.array_join("i", ","), 256).alias("items_sha256"),
         (F.size("i") >= min_items).alias("contaminated"),
+        "key",
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """The documents that hold windows of fewer than ``min_items`` items, columns as they were."""
-    bad = contamination(docs, benchmark, min_items).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = contamination(docs, benchmark, min_items).where("contaminated").select(F.col("key").alias("bad_key")).distinct()
+    return docs.join(bad, row_key() == F.col("bad_key"), "left_anti")
 
 
 ORACLE = r"""

@@ -306,5 +306,5 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     """One document of each group, columns as they were; rows that equal the kept one in id and text are reduced to one."""
     kept = near_duplicates(docs, size, percent).where("kept").select("key").distinct()
     keyed = docs.withColumn("__key", row_key())
-    one = keyed.join(kept.select(F.col("key").alias("__key")), "__key", "left_semi")
-    return one.drop("__key")
+    one = keyed.join(kept.select(F.col("key").alias("__key")), "__key", "left_semi").dropDuplicates(["__key"])
+    return one.select(*[keyed[c] for c in docs.columns])
