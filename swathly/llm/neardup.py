@@ -141,14 +141,17 @@ def described(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(work, schema)
 
 
-def linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def texts_of(keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, text of the rows named, each once. The keys grow with the corpus, so they are merged at every size, never broadcast."""
+    own = docs.select(row_key().alias("key"), "text").join(keys.hint("merge"), "key", "left_semi")
+    return materialize(own.groupBy("key").agg(F.first("text").alias("text")), "texts")
+
+
+def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those pairs (a, na, b, nb: keys and nodes) whose full sets are similar enough, as edges u, v between nodes.
 
-    Texts travel by key: each member's once, then to its leader's; large keys are split by skew.
+    Texts travel by key: each member's to its pair, then with it to its leader's; large keys are split by skew.
     """
-    need = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    texts = docs.select(row_key().alias("key"), "text").join(need, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "texts")
     both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
 
     def work(batches):
@@ -216,7 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def prefix_pairs(crowd: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def prefix_pairs(crowd: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of different components among ``crowd`` (key, node, n, component) that share a shingle of their prefixes.
 
     Shingles are ordered by how many of these texts hold them, rarest first; two sets that
@@ -232,8 +235,7 @@ def prefix_pairs(crowd: DataFrame, docs: DataFrame, size: int, percent: int) ->
             flat = pa.array(np.concatenate([*sets, np.zeros(0, _U)]).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(ends, flat)], names=["key", "shingles"])
 
-    texts = docs.select(row_key().alias("key"), "text").join(crowd.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    each = materialize(texts.mapInArrow(work, "key long, shingles array<long>"), "shingles").select("key", F.explode("shingles").alias("s"))
+    each = materialize(texts.join(crowd.select("key"), "key", "left_semi").mapInArrow(work, "key long, shingles array<long>"), "shingles").select("key", F.explode("shingles").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     own = each.join(shared, "s").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("s")).join(crowd, "key")
     alone = F.col("n") - F.size("s")
@@ -257,6 +259,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = classes.where("r.doc_id is not null").select(F.col("r.doc_id").alias("node"), F.col("r.key").alias("key"), "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("t")).where("t > 1").select("band")
     buckets = materialize(rows.join(shared, "band"), "buckets")
+    texts = texts_of(buckets.select("key").distinct(), docs)
     release_shuffles(spark)
     state = {"edges": None, "tried": None}
 
@@ -268,7 +271,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         if state["tried"] is not None:
             pairs = pairs.join(state["tried"], ["p", "q"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        found = materialize(linked(pairs.select("a", "na", "b", "nb"), docs, size, percent), "links")
+        found = materialize(linked(pairs.select("a", "na", "b", "nb"), texts, size, percent), "links")
         for name, new in (("tried", pairs.select("p", "q")), ("edges", found)):
             state[name] = new if state[name] is None else state[name].union(new)
         release_shuffles(spark)
@@ -294,7 +297,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sparse = own.join(per.where("not crowded").select("band"), "band").join(lead, "band").where(F.col("key") > F.col("a"))
     crowd = materialize(own.join(per.where("crowded").select("band"), "band").select("key", "node", "n", "component").distinct(), "crowd")
     columns = ["a", "na", "ln", "lc", "key", "node", "n", "component"]
-    settle(sparse.select(*columns).union(prefix_pairs(crowd, docs, size, percent).select(*columns)))
+    settle(sparse.select(*columns).union(prefix_pairs(crowd, texts, size, percent).select(*columns)))
     labels = components(state["edges"])
     named = classes.select("c1", "c2", F.col("r.doc_id").alias("node")).join(labels, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("class_id"))
     out = each.select("doc_id", "key", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
