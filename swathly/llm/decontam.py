@@ -83,9 +83,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_IT
     candidates = found.join(prefix, "h").where(start >= 0).select("key", F.struct(start.alias("start"), "size", "window", "items").alias("c")).distinct()
     per_doc = candidates.groupBy("key").agg(F.collect_list("c").alias("cs"))
     w = F.col("w")
-    own = docs.select("doc_id", row_key().alias("key"), words(F.col("text")).alias("w"))
+    # Texts go through the shuffle as they are and are cut into words behind it: word arrays take several times their room.
+    own = docs.select("doc_id", row_key().alias("key"), "text").join(per_doc, "key", "left").select("doc_id", "key", "cs", words(F.col("text")).alias("w"))
     true = F.filter(F.coalesce(F.col("cs"), F.array()), lambda c: (c["start"] + c["size"] <= F.size(w)) & (F.slice(w, c["start"] + 1, c["size"]) == c["window"]))
-    out = own.join(per_doc, "key", "left").select("doc_id", "key", F.size(w).cast("long").alias("n_words"), true.alias("v"))
+    out = own.select("doc_id", "key", F.size(w).cast("long").alias("n_words"), true.alias("v"))
     places = F.array_distinct(F.flatten(F.transform("v", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("v", lambda c: c["items"]))))
     return out.select("doc_id", "key", "n_words", F.size(places).cast("long").alias("n_hit"), items.alias("i")).select(
