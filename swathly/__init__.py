@@ -1,0 +1 @@
+"""Spark-native analytics for airborne line-scanner data."""
