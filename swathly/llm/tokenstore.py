@@ -42,7 +42,7 @@ MAGIC = b"WVMX1\n"
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: A blank at an end or beside other white space: such a text goes the plain way.
 ODD = r"^ | $|\A \z| [\s\x{1c}-\x{1f}\x{85}\pZ]|[\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ] | \x{0b}"
-RUN, BYTES, MEMO = 128, 32 << 20, 1_500_000  # units encoded as one text; bytes of texts held at once; units remembered
+RUN, BYTES, MEMO = 128, 8 << 20, 600_000  # units encoded as one text; bytes of texts held at once; units remembered
 
 
 def default_tokenizer() -> str:
@@ -125,10 +125,12 @@ class Encoder:
         fill = lambda own, values: np.put(order, np.repeat(begin[own] - np.cumsum(units[own]) + units[own], units[own]) + np.arange(len(values)), values)
         fill(rows, number)
         fill(slow, len(count) - len(pieces) + np.arange(len(pieces)))
-        n = count[order]
-        ends = np.cumsum(n)
-        ids = pool[np.repeat((np.cumsum(count) - count)[order] - ends + n, n) + np.arange(int(n.sum()))]
-        total = np.concatenate([[0], ends])
+        total = np.concatenate([[0], np.cumsum(count[order])])
+        ids, place = np.empty(int(total[-1]), self.dtype), (np.cumsum(count) - count).astype(np.int32)
+        for lo in range(0, len(order), 1 << 18):  # by parts: places take more room than ids
+            own = order[lo : lo + (1 << 18)]
+            n, a, b = count[own], total[lo], total[min(lo + len(own), len(order))]
+            ids[a:b] = pool.take(np.repeat(place[own] - (np.cumsum(n) - n).astype(np.int32), n) + np.arange(b - a, dtype=np.int32))
         return ids, total[begin + units] - total[begin]
 
 
