@@ -151,7 +151,7 @@ def scanline_times(points: DataFrame, trajectory: Trajectory, body_to_camera, li
 
             def camera(t, p=p):
                 pos, rot = tr.at(t)
-                return np.einsum("ij,nkj,nk->ni", cam, rot.transpose(0, 2, 1), p - pos)
+                return np.einsum("ij,nkj,nk->ni", cam, rot, p - pos)
 
             def residual(t):
                 v = camera(t)

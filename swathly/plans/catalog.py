@@ -6,13 +6,10 @@ same column names. Floating results are rounded.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import camera, core, geodesy, rotation
-from ..operators import asof, geometry, raster, sequence, stats
+from ..operators import asof, geometry, sequence, stats
 from ..session import table
 
 QUERIES: dict = {}
@@ -34,13 +31,15 @@ def _r(c, digits: int = 6):
     return F.round(c, digits) + F.lit(0.0)
 
 
-def _sql_r(e: str, digits: int = 6) -> str:
-    return f"round({e}, {digits}) + 0.0"
+def micros():
+    """Microseconds since 1970 of a time without a zone, whatever the session's zone."""
+    return F.expr("cast(cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(20, 6)) * 1000000 as bigint)")
+
+
+def epoch():
+    return micros() / 1e6
 
 
-#: Microseconds since 1970 of a time without a zone, whatever the session's zone.
-MICROS = F.expr("cast(cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(20, 6)) * 1000000 as bigint)")
-EPOCH = MICROS / 1e6
 SQL_EPOCH = "epoch_us(ts) / 1e6"
 
 
@@ -64,13 +63,13 @@ def q_decimate_index(spark, sf_dir):
 
 @query(f"WITH e AS (SELECT event_id, {SQL_EPOCH} - 1704067200 AS t FROM events) SELECT event_id, round(CASE WHEN (SELECT max(t) FROM e) < 1e8 THEN t * 1e6 ELSE t END, 0) AS t FROM e")
 def q_unit_infer(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", (EPOCH - 1704067200).alias("t"))
+    e = table(spark, sf_dir, "events").select("event_id", (epoch() - 1704067200).alias("t"))
     return sequence.infer_unit(e, "t", 1e8, 1e6).select("event_id", F.round("t", 0).alias("t"))
 
 
 @query("WITH d AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events) SELECT user_id, count(d) AS n, median(d)::DOUBLE AS median_delta, min(d) AS min_delta, max(d) AS max_delta FROM d GROUP BY user_id")
 def q_delta_stats(spark, sf_dir):
-    return sequence.delta_stats(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], MICROS)
+    return sequence.delta_stats(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], micros())
 
 
 @query(
@@ -94,7 +93,7 @@ def q_dedupe_last(spark, sf_dir):
 
 @query("SELECT event_id, epoch_us(ts) - first_value(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS since FROM events")
 def q_first_offset(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", MICROS.alias("us"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", micros().alias("us"))
     return sequence.first_value_offset(e, ["user_id"], ["ts", "event_id"], "us", "since").select("event_id", "since")
 
 
@@ -144,7 +143,7 @@ def q_cumulative(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type", EPOCH.alias("t"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type", epoch().alias("t"))
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "t")
     right = e.where("event_type = 'view'").groupBy("user_id", "t").agg(F.min("value").alias("value"))
     return left, right
@@ -231,7 +230,7 @@ SELECT event_id, round(r.value, 6) AS r_value FROM l ASOF LEFT JOIN r ON l.t >=
 )
 def q_asof_keyless(spark, sf_dir):
     left, right = _sides(spark, sf_dir)
-    right = table(spark, sf_dir, "events").where("event_type = 'view'").groupBy(EPOCH.alias("t")).agg(F.min("value").alias("value"))
+    right = table(spark, sf_dir, "events").where("event_type = 'view'").groupBy(epoch().alias("t")).agg(F.min("value").alias("value"))
     a, b = asof.bucketed(left.drop("user_id"), right, "t", 86_400.0, ["value"])
     return asof.asof(a, b, ["b"], "t", ["value"]).select("event_id", F.round("r_value", 6).alias("r_value"))
 
@@ -244,7 +243,7 @@ def q_positional(spark, sf_dir):
 
 @query(f"WITH a AS (SELECT event_id, round_even({SQL_EPOCH} * 1000, 0)::BIGINT AS k, {SQL_EPOCH} AS t FROM events), m AS (SELECT k, arg_min(event_id, t) AS other FROM a GROUP BY k) SELECT event_id, other FROM a JOIN m USING (k)")
 def q_exact_time(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", EPOCH.alias("t"))
+    e = table(spark, sf_dir, "events").select("event_id", epoch().alias("t"))
     return asof.exact_time(e, e, "t", 1000).select("event_id", F.col("r.event_id").alias("other"))
 
 
@@ -427,5 +426,5 @@ def q_shift(spark, sf_dir):
 
 @query("SELECT round(avg(s), 6) AS mean_speed FROM (SELECT sqrt(pow(value - lag(value) OVER w, 2)) / nullif((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6, 0) AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
 def q_speed(spark, sf_dir):
-    d = sequence.delta(sequence.delta(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("value"), "dv"), ["user_id"], ["ts", "event_id"], MICROS, "dt")
+    d = sequence.delta(sequence.delta(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("value"), "dv"), ["user_id"], ["ts", "event_id"], micros(), "dt")
     return d.agg(F.round(F.avg(F.abs("dv") / F.nullif(F.col("dt") / 1e6, F.lit(0.0))), 6).alias("mean_speed"))

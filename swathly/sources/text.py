@@ -152,7 +152,7 @@ def fixed(df: DataFrame, digits: dict[str, int], sep: str = ",") -> DataFrame:
 
 def with_error_literals(df: DataFrame, columns: list[str], digits: int = 8) -> DataFrame:
     """Missing coordinates written as ERROR."""
-    return df.select(*[F.coalesce(F.format_string(f"%.{digits}f", F.col(c)), F.lit("ERROR")).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return df.select(*[F.when(F.col(c).isNull(), "ERROR").otherwise(F.format_string(f"%.{digits}f", F.col(c))).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def geo_records(df: DataFrame) -> DataFrame:
