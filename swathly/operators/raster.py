@@ -68,9 +68,9 @@ def cube_lookup(points: DataFrame, cube: DataFrame, point_id: str, line: str, sa
 def occluded(rays: DataFrame, cells: DataFrame, ray_id: str, start: tuple[str, str, str], end: tuple[str, str, str], grid: Grid, samples: int = 50, tol: float = 0.5) -> DataFrame:
     """ray_id, occluded: whether the surface rises above any of the ray's samples by more than ``tol``. Missing surface hides nothing."""
     alpha = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.lit(0.05) + k * (0.9 / max(samples - 1, 1)))
-    s = rays.select(ray_id, F.posexplode(alpha).alias("k", "a"), *start, *end)
-    at = [F.col(p) + (F.col(q) - F.col(p)) * F.col("a") for p, q in zip(start, end, strict=True)]
-    s = s.select(F.struct(ray_id, "k").alias("pid"), grid.row_of(at[1]).alias("r"), grid.col_of(at[0]).alias("c"), at[2].alias("rz"))
+    s = rays.select(ray_id, F.posexplode(alpha).alias("__k", "__a"), *start, *end)
+    at = [F.col(p) + (F.col(q) - F.col(p)) * F.col("__a") for p, q in zip(start, end, strict=True)]
+    s = s.select(F.struct(ray_id, "__k").alias("pid"), grid.row_of(at[1]).alias("r"), grid.col_of(at[0]).alias("c"), at[2].alias("rz"))
     z = bilinear(s, cells, "pid", "r", "c", grid.rows, grid.cols)
     hit = s.select("pid", "rz").join(z, "pid")
     return hit.groupBy(F.col(f"pid.{ray_id}").alias(ray_id)).agg(F.coalesce(F.bool_or(F.col("z") > F.col("rz") + tol), F.lit(False)).alias("occluded"))
