@@ -192,7 +192,7 @@ def audio_tensors(docs: DataFrame) -> DataFrame:
 
 def tensor_table(rows: pa.Table) -> pa.Table:
     """The ``logmel`` lists of ``audio_tensors`` as an Arrow fixed-shape tensor column, for writing or training."""
-    flat = rows.column("logmel").combine_chunks().flatten()
+    flat = rows.column("logmel").combine_chunks().flatten().cast(pa.int16())
     storage = pa.FixedSizeListArray.from_arrays(flat, PATCH * MELS)
     column = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.int16(), (PATCH, MELS)), storage)
     return rows.set_column(rows.schema.get_field_index("logmel"), "logmel", column)
