@@ -247,3 +247,38 @@ def raw_to_bil(source: str, target: str, samples: int, bands: int, flip: int = 0
 def register(spark) -> None:
     for s in (NavSource, FrameSource, CubeSource):
         spark.dataSource.register(s)
+
+
+def write_cube(cube, path: str, lines: int, samples: int, bands: int, data_type: int = 4, per_file: int = 512) -> None:
+    """A cube (line, sample, spectrum) as BIL: one part file per range of lines, written by the tasks, and one header.
+
+    The parts in name order are the cube; the folder has to be visible to all executors.
+    """
+    from pyspark.sql import functions as F
+
+    kind = "<" + ENVI_TYPES[data_type]
+    os.makedirs(path, exist_ok=True)
+
+    def work(batches):
+        held: dict[int, dict[int, np.ndarray]] = {}
+        for b in batches:
+            for line, sample, s in zip(b.column("line").to_pylist(), b.column("sample").to_pylist(), b.column("spectrum").to_pylist(), strict=True):
+                part = held.setdefault(line // per_file, {})
+                part.setdefault(line, np.zeros((bands, samples), kind))[:, sample] = s
+        for part, rows in held.items():
+            last = min((part + 1) * per_file, lines)
+            target = f"{path}/part-{part:08d}.bil"
+            with open(target + ".tmp", "wb") as f:
+                for line in range(part * per_file, last):
+                    f.write(rows.get(line, np.zeros((bands, samples), kind)).tobytes())
+            os.replace(target + ".tmp", target)  # a task that runs again writes the same file
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(rows)], pa.int64())], names=["part", "lines"])
+
+    dealt = cube.withColumn("part", (F.col("line") / per_file).cast("int")).repartition("part").select("line", "sample", "spectrum")
+    dealt.mapInArrow(work, "part long, lines long").write.format("noop").mode("overwrite").save()
+    write_envi_header(f"{path}/cube.hdr", lines, samples, bands, data_type)
+
+
+def write_tiles(grid, path: str) -> None:
+    """Output cells as Parquet, one folder per tile, so that a reader prunes by tile."""
+    grid.repartition("tile_row", "tile_col").write.partitionBy("tile_row", "tile_col").parquet(path)
