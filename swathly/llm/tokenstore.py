@@ -42,7 +42,7 @@ MAGIC = b"WVMX1\n"
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: A blank at an end or beside other white space: such a text goes the plain way.
 ODD = r"^ | $|\A \z| [\s\x{1c}-\x{1f}\x{85}\pZ]|[\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ] | \x{0b}"
-RUN, BYTES, MEMO = 128, 8 << 20, 600_000  # units encoded as one text; bytes of texts held at once; units remembered
+RUN, BYTES, MEMO = 128, 16 << 20, 1_000_000  # units encoded as one text; bytes of texts held at once; units remembered
 
 
 def default_tokenizer() -> str:
