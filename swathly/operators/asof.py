@@ -88,8 +88,11 @@ def bucketed(left: DataFrame, right: DataFrame, time: str, width: float, values:
     ends = own.groupBy("b").agg(F.min(edge).alias("lo"), F.max(edge).alias("hi"))
     probes = left.withColumn("b", F.floor(F.col(time).cast("double") / width).cast("long"))
     every = probes.select("b").union(ends.select("b")).distinct().join(ends, "b", "left")
-    w = Window.orderBy("b")  # one row per bucket, not per epoch
-    carried = every.select("b", F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("p"), F.first("lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("n"))
+    # One row per bucket, not per epoch. The next bucket's edge is the last one of the reversed order: a frame that
+    # ends at the partition's end would be summed up anew for every row.
+    before = Window.unboundedPreceding, -1
+    p, n = F.last("hi", ignorenulls=True).over(Window.orderBy("b").rowsBetween(*before)), F.last("lo", ignorenulls=True).over(Window.orderBy(F.desc("b")).rowsBetween(*before))
+    carried = every.select("b", p.alias("p"), n.alias("n"))
     extra = carried.select("b", F.explode(F.array("p", "n")).alias("e")).where("e is not null").select(f"e.{time}", *[f"e.{v}" for v in values], "b")
     return probes, own.unionByName(extra)
 
@@ -97,8 +100,8 @@ def bucketed(left: DataFrame, right: DataFrame, time: str, width: float, values:
 def flag_fill(lines: DataFrame, keys: list[str], order: str, flag: Column, values: list[str]) -> DataFrame:
     """Each line with the values of its nearest flagged line (f_<name>); a tie goes to the later one."""
     own = F.when(flag, F.struct(F.col(order), *[F.col(v) for v in values]))
-    w = Window.partitionBy(*keys).orderBy(order)
-    both = lines.withColumn("__p", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    w, r = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(order), F.desc(order)))
+    both = lines.withColumn("__p", F.last(own, ignorenulls=True).over(w)).withColumn("__n", F.last(own, ignorenulls=True).over(r))
     num = lambda c: c.cast("double")
     back, ahead = num(F.col(order)) - num(F.col(f"__p.{order}")), num(F.col(f"__n.{order}")) - num(F.col(order))
     best = F.when(F.col("__n").isNull() | (back < ahead), F.col("__p")).otherwise(F.col("__n"))
