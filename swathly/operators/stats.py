@@ -93,8 +93,8 @@ def levenberg_marquardt(residuals, start: np.ndarray, steps: int = 100, tol: flo
     return p, float(np.sqrt(np.mean(r * r)))
 
 
-def mean_focal(df: DataFrame, x: str, theta: str, centre: float) -> DataFrame:
-    return df.agg(F.avg((F.col(x) - centre) / F.tan(F.col(theta))).alias("focal"))
+def mean_focal(df: DataFrame, x: str, theta: str, centre: float, keys: list[str] = ()) -> DataFrame:
+    return df.groupBy(*keys).agg(F.avg((F.col(x) - centre) / F.tan(F.col(theta))).alias("focal"))
 
 
 def shift_advice(df: DataFrame, du: str, dv: str, limit: float) -> DataFrame:

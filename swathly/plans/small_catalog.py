@@ -100,11 +100,7 @@ def q_keep_last(spark, sf_dir):
 @query("SELECT event_type, round(avg(value / tan(0.3)), 6) AS focal FROM events GROUP BY event_type")
 def q_mean_focal(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("theta", F.lit(0.3))
-    out = None
-    for (kind,) in e.select("event_type").distinct().orderBy("event_type").collect():  # a handful of kinds
-        one = stats.mean_focal(e.where(F.col("event_type") == kind), "value", "theta", 0.0).select(F.lit(kind).alias("event_type"), F.round("focal", 6).alias("focal"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return stats.mean_focal(e, "value", "theta", 0.0, ["event_type"]).select("event_type", F.round("focal", 6).alias("focal"))
 
 
 @query("SELECT o_orderkey, round(o_orderkey % 101 / 50.0, 6) AS x, round(degrees(atan2(o_orderkey % 101 - 50, 1200.0)), 8) + 0.0 AS theta FROM orders")
