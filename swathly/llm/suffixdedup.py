@@ -168,7 +168,18 @@ def repeats(h: np.ndarray, d: np.ndarray, place: np.ndarray, raws: list[bytes])
         word |= arr[j : j + len(word)].astype(_U) << _U(56 - 8 * j)
     own = np.repeat(np.arange(len(raws)), count)
     w = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-    at, rel = base[own] + w, w - dist[own]  # place in the block; place from the anchor
+    # A window whose hash nothing else in the block has is no repeat and need not be sorted.
+    _more(len(arr))
+    total = np.concatenate([[_U(0)], np.cumsum(_BYTE[arr] * _UP[: len(arr)])])
+    begin = base[own] + w
+    digest = (total[begin + LENGTH] - total[begin]) * _DOWN[begin]
+    order = np.argsort(digest, kind="stable")
+    same = digest[order][1:] == digest[order][:-1]
+    twice = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
+    own, w = own[twice], w[twice]
+    at, rel = begin[twice], w - dist[own]  # place in the block; place from the anchor
+    if not len(own):
+        return own, own, own
     # The cover sample: every place of a context that the cover, laid from its anchor, takes.
     size = np.array([len(r) for r in raws])
     of = np.repeat(np.arange(len(raws)), size)
@@ -256,11 +267,14 @@ def repeated_ranges(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     again = every.groupBy("h").agg(F.count("*").alias("times"), F.min("c").alias("c1"), F.max("c").alias("c2"), low.alias("low")).where("times > 1")
     again = materialize(again.select("h", (F.col("c1") != F.col("c2")).alias("mixed"), "low"), "again")
     release_shuffles(spark)
-    hit = materialize(every.join(again, "h"), "anchors")
-    release_shuffles(spark)
     alike = lambda low: (F.col("d") == F.col(f"{low}.d")) & (F.col("place") == F.col(f"{low}.place"))
+    # Anchors whose contexts are all equal are settled here: what is left of them is where their copies stand.
+    more = lambda c: F.when(F.col("mixed"), F.col(c)).alias(c)
+    hit = every.join(again, "h").where(F.col("mixed") | ~alike("low")).select(more("h"), more("c"), more("d"), "key", "place", "mixed")
+    hit = materialize(hit, "anchors")
+    release_shuffles(spark)
     run = ["key", F.shiftright("place", 16).alias("start"), F.col("place").bitwiseAND(255).alias("n")]
-    whole = hit.where(~F.col("mixed") & ~alike("low")).select(*run)
+    whole = hit.where(~F.col("mixed")).select(*run)
     mixed = hit.where("mixed").select("h", "c", "d", "key", "place")
     firsts = materialize(mixed.groupBy("h", "c").agg(F.min(F.struct("d", "place", "key")).alias("f")).select("h", "c", F.col("f")), "firsts")
     copies = mixed.join(firsts, ["h", "c"]).where(~alike("f")).select(*run)
