@@ -58,9 +58,8 @@ def expressions(urls: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
     labels = F.when(F.col("host") == "", 0).otherwise(F.size(F.split("host", r"\.")))
     shape = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in shapes])
     fits = F.filter(shape, lambda s: (s["k"] > 0) & (s["k"] <= labels) & (s["n"] <= F.length("path")))
-    one = lambda s: F.struct(F.expr("0").alias("_"), s["k"].alias("k"), s["n"].alias("n"))
-    wide = urls.select("url", "host", "path", F.explode(F.transform(fits, one)).alias("s"))
-    # substring_index takes a literal count only as a column through SQL
+    wide = urls.select("url", "host", "path", F.explode(fits).alias("s"))
+    # The functions take plain counts only; SQL takes columns.
     return wide.select("url", F.expr("concat(substring_index(host, '.', -s.k), substring(path, 1, s.n))").alias("expr"))
 
 
