@@ -158,17 +158,19 @@ def train(texts: list[str], labels: list[int], ids: list) -> Model:
     one = distinct_rows(texts)
     texts, labels, ids = ([x[i] for i in one] for x in (texts, labels, ids))
     y = np.array(labels, np.float32)
-    words = [WORD.findall(t.lower()) for t in texts]
-    keys = {w: _rows(w) for ws in words for w in ws}
+    number: dict[str, int] = {}  # each word once, so that a text takes up four bytes a word
+    numbered = [np.fromiter((number.setdefault(w, len(number)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
+    keys = np.array([_rows(w) for w in number], np.int32).reshape(-1, 3)
+    del number
     kept = np.array([zlib.crc32(b"c" + str(i).encode()) % 5 != 0 for i in ids], bool)
     if kept.all() or y[kept].sum() in (0, kept.sum()) if len(y) else True:
         kept[:] = True
-    row_of = {b: k + 1 for k, b in enumerate(sorted({b for ab in keys.values() for b in ab}))}
+    buckets, rows_of = np.unique(keys, return_inverse=True)
+    rows_of = rows_of.reshape(-1, 3).astype(np.int32) + 1
     # Start from evidence: the first number of a bucket is the smoothed log-odds of its documents, where that is beyond chance.
-    pos, neg = np.zeros(len(row_of) + 1), np.zeros(len(row_of) + 1)
-    docs = [np.array([[row_of[b] for b in keys[w]] for w in ws], np.int32).reshape(-1, 3) for ws in words]
-    for d, label in zip(docs, y, strict=True):
-        (pos if label else neg)[np.unique(d)] += 1
+    pos, neg = np.zeros(len(buckets) + 1), np.zeros(len(buckets) + 1)
+    for d, label in zip(numbered, y, strict=True):
+        (pos if label else neg)[np.unique(rows_of[d])] += 1
     n1, n0 = float(y.sum()), float((1 - y).sum())
     # A bucket counts only where its G statistic would not arise by chance among all buckets (labels may be noisy).
     k, base = pos + neg, (n1 + 0.5) / (n1 + n0 + 1)
@@ -177,7 +179,7 @@ def train(texts: list[str], labels: list[int], ids: list) -> Model:
     often = k >= 4  # fewer documents show nothing, so they do not count as tries either
     sure = often & (g_stat > 2 * np.log(often.sum() + 1) + 2)
     odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
-    table = np.zeros((len(row_of) + 1, DIM), np.float32)
+    table = np.zeros((len(buckets) + 1, DIM), np.float32)
     table[:, 0] = np.where(sure, odds / 4, 0)
     table[0] = 0
     filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in (*WIDTHS, *[1] * len(WIDE))]
@@ -193,7 +195,7 @@ def train(texts: list[str], labels: list[int], ids: list) -> Model:
             grads = [np.zeros_like(f) for f in filters]
             g_bias, g_out = np.zeros_like(bias), np.zeros_like(out)
             for d in order[at : at + BATCH]:
-                rows = docs[d]
+                rows = rows_of[numbered[d]]
                 if not len(rows):
                     continue
                 x = np.concatenate([table[rows].sum(1), np.zeros((max(WIDTHS) - 1, DIM), np.float32)])
@@ -229,7 +231,7 @@ def train(texts: list[str], labels: list[int], ids: list) -> Model:
     live = np.abs(table).max(1) > 1e-3
     live[0] = True
     rows = np.cumsum(live) - 1
-    model = Model({b: int(rows[r]) for b, r in row_of.items() if live[r]}, table[live], filters, bias, out, {g: (0.0, 1.0) for g in LANGS})
+    model = Model({int(b): int(rows[k + 1]) for k, b in enumerate(buckets) if live[k + 1]}, table[live], filters, bias, out, {g: (0.0, 1.0) for g in LANGS})
     if n1 and n0:
         raw, langs = model.logits(texts)
         use = np.flatnonzero(~kept) if (~kept).any() and 0 < y[~kept].sum() < (~kept).sum() else np.arange(len(y))
