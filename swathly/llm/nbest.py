@@ -212,13 +212,18 @@ class Lattice:
             used = on[b] & (come[b] == a) & on[a]
             np.maximum(other, np.where(used, -np.inf, best[a] + score + back[b]), out=other)
             ids_at[a][used] = edge_id[a, b][used]
-        starts = on[:n]
-        for j, s in enumerate(group):
-            ids: list[int] = []
-            for a in np.flatnonzero(starts[:, j]):
-                i = ids_at[a, j]
-                ids += [i] if i >= 0 else [self.byte_id[x] for x in s[a].encode("utf-8", "surrogatepass")]
-            yield float(best[n, j]), tuple(map(int, ids)), float(best[n, j] - other[j])
+        # Ids of all best paths one after another, cut by segment; byte pieces are put in where there is no piece.
+        which, place = np.nonzero(on[:n].T)
+        ids = ids_at[place, which]
+        ends = np.cumsum(np.bincount(which, minlength=k)).tolist()
+        bare = set(which[ids < 0].tolist())
+        flat, at = ids.tolist(), 0
+        for j, (end, score, loss) in enumerate(zip(ends, best[n].tolist(), (best[n] - other).tolist(), strict=True)):
+            own = flat[at:end]
+            if j in bare:
+                own = [i for a, x in zip(place[at:end].tolist(), own, strict=True) for i in ([x] if x >= 0 else [self.byte_id[y] for y in group[j][a].encode("utf-8", "surrogatepass")])]
+            yield score, tuple(own), loss
+            at = end
 
     # -- whole texts ---------------------------------------------------------------
 
@@ -244,7 +249,9 @@ class Lattice:
         for k in map(int, near):
             s, first = segments[k], best_ids(k)
             options = [(0.0, None)] + [(float(scores[k]) - score, ids) for score, ids in self.a_star(s, n + 1) if ids != first]
-            out = heapq.nsmallest(n, ((loss + more, kept | ({k: ids} if ids is not None else {})) for loss, kept in out for more, ids in options), key=lambda x: (x[0], sorted(x[1].items())))
+            both = [(loss + more, kept, ids) for loss, kept in out for more, ids in options]
+            both.sort(key=lambda x: x[0])
+            out = [(loss, kept if ids is None else kept | {k: ids}) for loss, kept, ids in both[:n]]
         return [(total - loss, kept) for loss, kept in out[:n]]
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[int]]]:
@@ -288,33 +295,43 @@ def nbest_digests(docs: DataFrame, n: int = 4, model: str | None = None) -> Data
     def work(batches):
         lattice = Lattice(model)
         number: dict[str, int] = {}  # of each distinct segment, for the lists and columns that follow
-        scores, losses, ids_of, raw, text_of = np.empty(0), np.empty(0), [], [], []
-        plain = lambda ids: lattice.decode_bytes(ids)
+        scores, losses, sizes, true = np.empty(0), np.empty(0), np.empty(0, np.int64), np.empty(0, bool)
+        ids_of, raw, text_of = [], [], []
+        plain = lattice.decode_bytes
         for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             cut = [lattice.cut(t) for t in texts]
             if len(number) > 300_000:
-                number, scores, losses, ids_of, raw, text_of = {}, np.empty(0), np.empty(0), [], [], []
+                number, scores, losses, sizes, true, ids_of, raw, text_of = {}, scores[:0], losses[:0], sizes[:0], true[:0], [], [], []
             new = lattice.solve(list({s for segments in cut for s in segments if s not in number}))
             number |= zip(new, range(len(number), len(number) + len(new)), strict=True)
             scores = np.concatenate([scores, [x[0] for x in new.values()]])
             losses = np.concatenate([losses, [x[2] for x in new.values()]])
+            sizes = np.concatenate([sizes, np.array([4 * len(x[1]) for x in new.values()], np.int64)])
             ids_of += [x[1] for x in new.values()]
             raw += [np.array(x[1], "<u4").tobytes() for x in new.values()]
-            text_of += [plain(x[1]) for x in new.values()]
+            decoded = [plain(x[1]) for x in new.values()]
+            true = np.concatenate([true, np.array([d == s.encode("utf-8", "surrogatepass") for d, s in zip(decoded, new, strict=True)], bool)])
+            text_of += decoded
             rows = []
             for i, t, segments in zip(b.column("doc_id").to_pylist(), texts, cut, strict=True):
                 own = [number[s] for s in segments]
-                best = lattice.nbest(segments, scores[own], losses[own], lambda k, own=own: ids_of[own[k]], n)
-                whole = from_blanks(b"".join([text_of[k] for k in own]))
-                exact, parts, crcs = whole == t.replace(BLANK, " ").encode("utf-8", "surrogatepass"), [raw[k] for k in own], []
+                at = np.array(own, np.int64)
+                best = lattice.nbest(segments, scores[at], losses[at], lambda k, own=own: ids_of[own[k]], n)
+                given = t.replace(BLANK, " ").encode("utf-8", "surrogatepass")
+                # Segments that decode to themselves make up the text itself.
+                whole = given if true[at].all() else from_blanks(b"".join([text_of[k] for k in own]))
+                exact, ids, ends, crcs = whole == given, memoryview(b"".join([raw[k] for k in own])), None, []
                 for _, kept in best:
-                    put = parts.copy() if kept else parts
-                    for k, ids in kept.items():
-                        put[k] = np.array(ids, "<u4").tobytes()
-                        exact &= plain(ids) == text_of[own[k]]
-                    crcs.append(zlib.crc32(b"".join(put)))
-                rows.append((i, sum(map(len, parts)) // 4, best[0][0], [s for s, _ in best], crcs, hashlib.sha256(whole).hexdigest(), bool(exact)))
+                    crc = last = 0
+                    if kept and ends is None:
+                        ends = np.cumsum(sizes[at])
+                    for k, other in sorted(kept.items()):
+                        crc = zlib.crc32(np.array(other, "<u4").tobytes(), zlib.crc32(ids[last : int(ends[k] - sizes[own[k]])], crc))
+                        last = int(ends[k])
+                        exact &= plain(other) == text_of[own[k]]
+                    crcs.append(zlib.crc32(ids[last:], crc))
+                rows.append((i, len(ids) // 4, best[0][0], [s for s, _ in best], crcs, hashlib.sha256(whole).hexdigest(), bool(exact)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
