@@ -6,7 +6,7 @@ the last return the columns of ``documents``.
 
 1. toxicity: documents that the classifier rejects go.
 2. neardup: one document of each group of near-duplicates stays (five words, 0.8).
-3. decontam: documents with windows of two or more benchmark items go.
+3. decontam: documents with a full window of a benchmark item, or windows of two short ones, go.
 4. secrets: secrets in the text are replaced; every document stays.
 5. sentencepiece: N-best segmentations of what is left.
 """

@@ -64,7 +64,7 @@ def hits(docs: DataFrame, shingles: DataFrame, sizes: list[int], small: bool) ->
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the row's key."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest (words of its longest window found), and the row's key."""
     windows = materialize(item_windows(benchmark), "windows")
     size = F.least(F.col("size"), F.lit(SHINGLE))
     inside = F.transform(_hashes(F.col("window"), size), lambda h, i: F.struct(h.alias("h"), i.alias("at")))
@@ -89,20 +89,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_IT
     out = own.select("doc_id", "key", F.size(w).cast("long").alias("n_words"), true.alias("v"))
     places = F.array_distinct(F.flatten(F.transform("v", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("v", lambda c: c["items"]))))
-    return out.select("doc_id", "key", "n_words", F.size(places).cast("long").alias("n_hit"), items.alias("i")).select(
+    return out.select("doc_id", "key", "n_words", F.size(places).cast("long").alias("n_hit"), items.alias("i"), F.coalesce(F.array_max(F.transform("v", lambda c: c["size"])), F.lit(0)).alias("longest")).select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("i").cast("long").alias("n_items"),
         F.sha2(F.array_join("i", ","), 256).alias("items_sha256"),
         (F.size("i") >= min_items).alias("contaminated"),
+        "longest",
         "key",
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
-    """The documents that hold windows of fewer than ``min_items`` items, columns as they were."""
-    bad = contamination(docs, benchmark, min_items).where("contaminated").select(F.col("key").alias("bad_key")).distinct()
+    """The clean documents, columns as they were.
+
+    A document goes if it holds a full window of ``WINDOW`` words of any item, or windows of
+    ``min_items`` items where these are shorter: one short item alone may be everyday words.
+    """
+    judged = contamination(docs, benchmark, min_items)
+    bad = judged.where(F.col("contaminated") | (F.col("longest") >= WINDOW)).select(F.col("key").alias("bad_key")).distinct()
     return docs.join(bad, row_key() == F.col("bad_key"), "left_anti")
 
 
