@@ -39,6 +39,15 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*dfs: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more, once what was made from them is written."""
+    for df in dfs:
+        for f in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
+            if "/swathly-" in path.toString():
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans whose results are already written."""
     gc.collect()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize, release_shuffles, row_key, slices
+from .common import ASCII_LOWER, discard, materialize, release_shuffles, row_key, slices
 
 SLOTS, BANDS, ROWS = 256, 42, 6
 #: Star rounds at most; a round that links fewer than one pair in ``IDLE`` is the last one; a bucket with more open pairs than ``CROWD`` a member is crowded.
@@ -212,7 +212,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        e = materialize(down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct(), "edges")
+        last, e = e, materialize(down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct(), "edges")
+        discard(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

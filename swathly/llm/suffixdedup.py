@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release_shuffles, row_key, slices
+from .common import discard, materialize, release_shuffles, row_key, slices
 from .neardup import mix
 
 LENGTH, GRAM = 100, 32
@@ -287,7 +287,10 @@ def repeated_ranges(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     out = whole.union(copies).union(sorted_)
     if not big.isEmpty():
         out = out.union(group_windows(cut.join(big, "h", "left_semi")))
-    return materialize(out, "ranges")
+    out = materialize(out, "ranges")
+    discard(again, hit, firsts, cut, big)
+    release_shuffles(spark)
+    return out
 
 
 def removed(docs: DataFrame, ranges: DataFrame) -> DataFrame:
