@@ -41,8 +41,8 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # grams of a window
 PERIOD, DEPTH = 31, 32
 COVER = (0, 1, 3, 8, 12, 18)  # all differences modulo 31 occur
-BLOCK = 4 << 20  # bytes of contexts sorted together
-HEAVY = 100_000
+BLOCK = 1 << 20  # bytes of contexts sorted together
+HEAVY = 20_000
 PIECE, PLACE_BITS = 1 << 17, 20  # texts hashed together; places in a piece
 
 _U = np.uint64
@@ -163,16 +163,16 @@ def repeats(h: np.ndarray, d: np.ndarray, place: np.ndarray, raws: list[bytes])
     count, dist, first = place & 255, place >> 8 & 255, place >> 16
     arr = np.frombuffer(b"".join(raws) + bytes(2 * LENGTH), np.uint8)
     base = np.cumsum([0] + [len(r) for r in raws])[:-1]
-    word = np.zeros(len(arr) - 8, _U)  # eight bytes from each place
-    for j in range(8):
-        word |= arr[j : j + len(word)].astype(_U) << _U(56 - 8 * j)
     own = np.repeat(np.arange(len(raws)), count)
     w = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
     # A window whose hash nothing else in the block has is no repeat and need not be sorted.
-    _more(len(arr))
-    total = np.concatenate([[_U(0)], np.cumsum(_BYTE[arr] * _UP[: len(arr)])])
+    size = np.array([len(r) for r in raws])
+    of = np.repeat(np.arange(len(raws), dtype=np.int32), size)
+    within = np.arange(len(of), dtype=np.int32) - base[of].astype(np.int32)
+    total = np.concatenate([[_U(0)], np.cumsum(_BYTE[arr[: len(of)]] * _UP[within])])
     begin = base[own] + w
-    digest = (total[begin + LENGTH] - total[begin]) * _DOWN[begin]
+    digest = (total[begin + LENGTH] - total[begin]) * _DOWN[w]
+    del total
     order = np.argsort(digest, kind="stable")
     same = digest[order][1:] == digest[order][:-1]
     twice = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
@@ -180,10 +180,11 @@ def repeats(h: np.ndarray, d: np.ndarray, place: np.ndarray, raws: list[bytes])
     at, rel = begin[twice], w - dist[own]  # place in the block; place from the anchor
     if not len(own):
         return own, own, own
+    word = np.zeros(len(arr) - 8, _U)  # eight bytes from each place
+    for j in range(8):
+        word |= arr[j : j + len(word)].astype(_U) << _U(56 - 8 * j)
     # The cover sample: every place of a context that the cover, laid from its anchor, takes.
-    size = np.array([len(r) for r in raws])
-    of = np.repeat(np.arange(len(raws)), size)
-    from_anchor = np.arange(len(of)) - base[of] - dist[of]
+    from_anchor = within - dist[of].astype(np.int32)
     taken = np.zeros(PERIOD, bool)
     taken[list(COVER)] = True
     sample = np.flatnonzero(taken[from_anchor % PERIOD])
