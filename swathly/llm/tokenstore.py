@@ -27,6 +27,7 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ MAGIC = b"WVMX1\n"
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 #: A blank at an end or beside other white space: such a text goes the plain way.
 ODD = r"^ | $|\A \z| [\s\x{1c}-\x{1f}\x{85}\pZ]|[\s\x{0b}\x{1c}-\x{1f}\x{85}\pZ] | \x{0b}"
-RUN, BYTES, MEMO = 128, 16 << 20, 1_000_000  # units encoded as one text; bytes of texts held at once; units remembered
+RUN, BYTES, MEMO = 128, 8 << 20, 800_000  # units encoded as one text; bytes of texts held at once; units remembered
 
 
 def default_tokenizer() -> str:
@@ -78,12 +79,11 @@ class Encoder:
         for lo in range(0, len(units), RUN * 64):
             names = units.slice(lo, RUN * 64).to_pylist()
             runs = [names[at : at + RUN] for at in range(0, len(names), RUN)]
-            for k, e in enumerate(self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False)):
-                ids = np.array(e.ids, self.dtype)
-                at = lo + k * RUN
-                end = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size[at : at + len(runs[k])])) + 1
-                parts.append(ids)
-                counts.append(np.diff(end, prepend=0))
+            found = self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable([e.ids for e in found]), self.dtype)
+            end = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size[lo : lo + len(names)])) + 1
+            parts.append(ids)
+            counts.append(np.diff(end, prepend=0))
         return np.concatenate(parts), np.concatenate(counts)
 
     def remember(self, units: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,10 +121,11 @@ class Encoder:
         units = np.zeros(len(texts), np.int64)
         units[rows], units[slow] = np.diff(at), n_slow
         begin = np.cumsum(units) - units
-        order = np.empty(int(units.sum()), np.int64)
-        fill = lambda own, values: np.put(order, np.repeat(begin[own] - np.cumsum(units[own]) + units[own], units[own]) + np.arange(len(values)), values)
-        fill(rows, number)
-        fill(slow, len(count) - len(pieces) + np.arange(len(pieces)))
+        order = number
+        if len(slow):
+            order = np.empty(int(units.sum()), np.int64)
+            for own, values in ((rows, number), (slow, len(count) - len(pieces) + np.arange(len(pieces)))):
+                order[np.repeat(begin[own] - np.cumsum(units[own]) + units[own], units[own]) + np.arange(len(values))] = values
         total = np.concatenate([[0], np.cumsum(count[order])])
         ids, place = np.empty(int(total[-1]), self.dtype), (np.cumsum(count) - count).astype(np.int32)
         for lo in range(0, len(order), 1 << 18):  # by parts: places take more room than ids
@@ -348,7 +349,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
             ends = np.cumsum(wave.lengths, dtype=np.int64)
             starts = ends - wave.lengths
             begin = base[b.column("part")[0].as_py()] + b.column("begin")[0].as_py()
-            crc = [zlib.crc32(flat[s:e].astype("<u4").tobytes()) for s, e in zip(starts, ends, strict=True)]
+            raw = memoryview(flat.astype("<u4").tobytes())
+            crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(wave.docs, pa.int64()), pa.array(starts + begin, pa.int64()), pa.array(wave.lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.select("part", "seq", "file").join(begins, ["part", "seq"]).select("part", "begin", "file").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
