@@ -27,16 +27,20 @@ def _named(cols: dict, digits: int = 6):
 
 # -- rasters -----------------------------------------------------------------------
 
-N = 40
+N = 40  # columns
+
+
+def _rows(spark, sf_dir) -> int:
+    return table(spark, sf_dir, "part").count() // N
 
 
 def _surface(spark, sf_dir):
-    """A square raster of the first parts; every 97th cell has no value."""
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") <= N * N)
-    return p.select(F.expr(f"(p_partkey - 1) div {N}").alias("row"), ((F.col("p_partkey") - 1) % N).alias("col"), F.when(F.col("p_partkey") % 97 != 0, F.col("p_retailprice")).alias("z"))
+    """A raster of all parts; every 97th cell has no value."""
+    return table(spark, sf_dir, "part").select(F.expr(f"(p_partkey - 1) div {N}").alias("row"), ((F.col("p_partkey") - 1) % N).alias("col"), F.when(F.col("p_partkey") % 97 != 0, F.col("p_retailprice")).alias("z"))
 
 
-SURFACE = f"s AS (SELECT (p_partkey - 1) // {N} AS row, (p_partkey - 1) % {N} AS col, CASE WHEN p_partkey % 97 <> 0 THEN p_retailprice END AS z FROM part WHERE p_partkey <= {N * N})"
+SURFACE = f"s AS (SELECT (p_partkey - 1) // {N} AS row, (p_partkey - 1) % {N} AS col, CASE WHEN p_partkey % 97 <> 0 THEN p_retailprice END AS z FROM part)"
+ROWS = f"((SELECT count(*) FROM part) // {N})"
 POINTS = f"p AS (SELECT c_custkey, (c_custkey * 37 % 4300) / 100.0 - 1 AS r, (c_custkey * 53 % 4300) / 100.0 - 1 AS c FROM customer)"
 
 
@@ -48,12 +52,12 @@ def _points(spark, sf_dir):
 @query(
     f"""WITH {SURFACE}, {POINTS},
 n AS (SELECT c_custkey, floor(r)::BIGINT + i AS row, floor(c)::BIGINT + j AS col, (CASE i WHEN 1 THEN r - floor(r) ELSE 1 - (r - floor(r)) END) * (CASE j WHEN 1 THEN c - floor(c) ELSE 1 - (c - floor(c)) END) AS w
-  FROM p, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) WHERE r >= 0 AND floor(r) <= {N - 2} AND c >= 0 AND floor(c) <= {N - 2}),
+  FROM p, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) WHERE r >= 0 AND floor(r) <= {ROWS} - 2 AND c >= 0 AND floor(c) <= {N - 2}),
 g AS (SELECT c_custkey, sum(w * z) AS z, count(z) AS k FROM n JOIN s USING (row, col) GROUP BY c_custkey)
 SELECT p.c_custkey, round(CASE WHEN k = 4 THEN z END, 5) AS z FROM p LEFT JOIN g USING (c_custkey)"""
 )
 def q_bilinear(spark, sf_dir):
-    return raster.bilinear(_points(spark, sf_dir), _surface(spark, sf_dir), "c_custkey", "r", "c", N, N).select("c_custkey", F.round("z", 5).alias("z"))
+    return raster.bilinear(_points(spark, sf_dir), _surface(spark, sf_dir), "c_custkey", "r", "c", _rows(spark, sf_dir), N).select("c_custkey", F.round("z", 5).alias("z"))
 
 
 @query(f"WITH {SURFACE}, {POINTS} SELECT c_custkey, round(z, 5) AS z FROM p LEFT JOIN s ON s.row = round_even(r, 0)::BIGINT AND s.col = round_even(c, 0)::BIGINT")
@@ -66,7 +70,7 @@ def q_nearest_cell(spark, sf_dir):
 a AS (SELECT s_suppkey, k.k AS i, 0.05 + k.k * (0.9 / 19) AS a, x0, y0, z0, x1, y1, z1 FROM k AS q, (SELECT unnest(range(20)) AS k) k),
 b AS (SELECT s_suppkey, i, x0 + (x1 - x0) * a AS c, 40 - (y0 + (y1 - y0) * a) AS r, z0 + (z1 - z0) * a AS rz FROM a),
 n AS (SELECT s_suppkey, i, rz, floor(r)::BIGINT + d AS row, floor(c)::BIGINT + e AS col, (CASE d WHEN 1 THEN r - floor(r) ELSE 1 - (r - floor(r)) END) * (CASE e WHEN 1 THEN c - floor(c) ELSE 1 - (c - floor(c)) END) AS w
-  FROM b, (VALUES (0), (1)) x(d), (VALUES (0), (1)) y(e) WHERE floor(r) BETWEEN 0 AND {N - 2} AND floor(c) BETWEEN 0 AND {N - 2}),
+  FROM b, (VALUES (0), (1)) x(d), (VALUES (0), (1)) y(e) WHERE floor(r) BETWEEN 0 AND {ROWS} - 2 AND floor(c) BETWEEN 0 AND {N - 2}),
 g AS (SELECT s_suppkey, i, rz, sum(w * z) AS z, count(z) AS m FROM n JOIN s USING (row, col) GROUP BY ALL),
 h AS (SELECT b.s_suppkey, b.rz, CASE WHEN m = 4 THEN z END AS z FROM b LEFT JOIN g ON b.s_suppkey = g.s_suppkey AND b.i = g.i)
 SELECT s_suppkey, coalesce(bool_or(z > rz + 0.5), false) AS occluded FROM h GROUP BY s_suppkey"""
@@ -74,7 +78,7 @@ SELECT s_suppkey, coalesce(bool_or(z > rz + 0.5), false) AS occluded FROM h GROU
 def q_occlusion(spark, sf_dir):
     k = F.col("s_suppkey")
     rays = table(spark, sf_dir, "supplier").select("s_suppkey", *[((k * f % 39) + 0.5).alias(n) for n, f in (("x0", 7), ("y0", 11), ("x1", 13), ("y1", 17))], F.lit(900.0).alias("z0"), F.lit(1500.0).alias("z1"))
-    return raster.occluded(rays, _surface(spark, sf_dir), "s_suppkey", ("x0", "y0", "z0"), ("x1", "y1", "z1"), raster.Grid(0.0, 40.0, 1.0, N, N), 20)
+    return raster.occluded(rays, _surface(spark, sf_dir), "s_suppkey", ("x0", "y0", "z0"), ("x1", "y1", "z1"), raster.Grid(0.0, 40.0, 1.0, _rows(spark, sf_dir), N), 20)
 
 
 @query(f"WITH {SURFACE} SELECT count(z) AS n, round(avg(z), 6) AS mean_z, round(min(z), 6) AS min_z, round(max(z), 6) AS max_z FROM s")
@@ -83,9 +87,9 @@ def q_raster_stats(spark, sf_dir):
     return s.select("n", *[F.round(c, 6).alias(c) for c in ("mean_z", "min_z", "max_z")])
 
 
-@query(f"WITH {SURFACE} SELECT row, col, round(CASE WHEN row < 2 OR row >= 38 OR col < 2 OR col >= 38 THEN -9999.0 ELSE z END, 6) AS z FROM s")
+@query(f"WITH {SURFACE} SELECT row, col, round(CASE WHEN row < 2 OR row >= {ROWS} - 2 OR col < 2 OR col >= 38 THEN -9999.0 ELSE z END, 6) AS z FROM s")
 def q_crop_border(spark, sf_dir):
-    return raster.crop_border(_surface(spark, sf_dir), 2, N, N, -9999.0).select("row", "col", F.round("z", 6).alias("z"))
+    return raster.crop_border(_surface(spark, sf_dir), 2, _rows(spark, sf_dir), N, -9999.0).select("row", "col", F.round("z", 6).alias("z"))
 
 
 @query("SELECT r AS row, c AS col, round(100 + c * 2.5, 6) AS x, round(60 - r * 2.5, 6) AS y, r // 8 AS tile_row, c // 8 AS tile_col FROM (SELECT unnest(range(20)) AS r) a, (SELECT unnest(range(40)) AS c) b")
@@ -99,15 +103,15 @@ def q_tiles_overlap(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT l_orderkey % 20 AS line, l_linenumber - 1 AS sample, min(l_quantity) AS a, max(l_discount) AS b FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2),
+    """WITH c AS (SELECT l_orderkey % 20 AS line, l_linenumber % 4 AS sample, min(l_quantity) AS a, max(l_discount) AS b FROM lineitem GROUP BY 1, 2),
 p AS (SELECT s_suppkey, (s_suppkey * 7 % 190) / 10.0 AS l, (s_suppkey * 3 % 30) / 10.0 AS s FROM supplier),
 b AS (SELECT *, greatest(0, least(floor(l), 18))::BIGINT AS bl, greatest(0, least(floor(s), 2))::BIGINT AS bs FROM p),
 n AS (SELECT s_suppkey, bl + i AS line, bs + j AS sample, (CASE i WHEN 1 THEN l - bl ELSE 1 - (l - bl) END) * (CASE j WHEN 1 THEN s - bs ELSE 1 - (s - bs) END) AS w FROM b, (VALUES (0), (1)) x(i), (VALUES (0), (1)) y(j))
 SELECT s_suppkey, round(sum(w * a), 6) AS b0, round(sum(w * b), 6) AS b1 FROM n JOIN c USING (line, sample) WHERE w <> 0 GROUP BY s_suppkey"""
 )
 def q_cube_lookup(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
-    cube = l.groupBy((F.col("l_orderkey") % 20).alias("line"), (F.col("l_linenumber") - 1).alias("sample")).agg(F.min("l_quantity").alias("a"), F.max("l_discount").alias("b")).select("line", "sample", F.array("a", "b").alias("spectrum"))
+    l = table(spark, sf_dir, "lineitem")
+    cube = l.groupBy((F.col("l_orderkey") % 20).alias("line"), (F.col("l_linenumber") % 4).alias("sample")).agg(F.min("l_quantity").alias("a"), F.max("l_discount").alias("b")).select("line", "sample", F.array("a", "b").alias("spectrum"))
     k = F.col("s_suppkey")
     pts = table(spark, sf_dir, "supplier").select("s_suppkey", (k * 7 % 190 / 10.0).alias("l"), (k * 3 % 30 / 10.0).alias("s"))
     return raster.cube_lookup(pts, cube, "s_suppkey", "l", "s", 20, 4).select("s_suppkey", *[F.round(F.col("spectrum")[i], 6).alias(f"b{i}") for i in range(2)])
@@ -381,7 +385,7 @@ def q_xor(spark, sf_dir):
 
 @query()
 def q_polyfit(spark, sf_dir):
-    c = stats.polynomial_fit(table(spark, sf_dir, "lineitem").where("l_linenumber <= 3"), "l_extendedprice", "l_quantity", 2)
+    c = stats.polynomial_fit(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", 2)
     return spark.createDataFrame([(k, round(float(v), 2)) for k, v in enumerate(c)], "power int, coefficient double")
 
 

@@ -62,10 +62,10 @@ def q_tile_summary(spark, sf_dir):
     return s.select("tiles", "with_data", *[F.round(c, 6).alias(c) for c in ("mean_of_means", "std_of_means")])
 
 
-@query("WITH l AS (SELECT vec_id, i - 1 AS band, embedding[i]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE vec_id < 3), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, band) AS n FROM l) SELECT DISTINCT band FROM r WHERE n <= 4 OR band < 4")
+@query("WITH l AS (SELECT vec_id, i - 1 AS band, embedding[i]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, band) AS n FROM l) SELECT DISTINCT band FROM r WHERE n <= 1 OR band < 4")
 def q_top_bands(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 3").select("vec_id", F.posexplode("embedding").alias("band", "v")).select("vec_id", F.col("band").cast("long").alias("band"), F.col("v").cast("double").alias("v"))
-    return select.top_bands(e, "vec_id", "band", "v")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("band", "v")).select("vec_id", F.col("band").cast("long").alias("band"), F.col("v").cast("double").alias("v"))
+    return select.top_bands(e, "vec_id", "band", "v", n=1)
 
 
 @query()
