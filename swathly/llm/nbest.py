@@ -301,7 +301,7 @@ def nbest_digests(docs: DataFrame, n: int = 4, model: str | None = None) -> Data
         for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             cut = [lattice.cut(t) for t in texts]
-            if len(number) > 300_000:
+            if len(number) > 200_000:
                 number, scores, losses, sizes, true, ids_of, raw, text_of = {}, scores[:0], losses[:0], sizes[:0], true[:0], [], [], []
             new = lattice.solve(list({s for segments in cut for s in segments if s not in number}))
             number |= zip(new, range(len(number), len(number) + len(new)), strict=True)

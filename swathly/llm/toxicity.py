@@ -68,7 +68,7 @@ class Model:
         get = self.row_of.get
         a, b, c = _rows(word)
         found = get(a, 0), get(b, 0), get(c, 0), self.lang_of.get(word, -1) + 1
-        if len(self.memo) > 400_000:
+        if len(self.memo) > 200_000:
             self.memo.clear()
         self.memo[word] = found
         return found
