@@ -3,7 +3,8 @@
 Base spans are regular-expression matches. The method adds spans: every value that
 follows a credential word is priced by a dynamic program that finds the cheapest
 segmentation into dictionary words, dates, repeats, keyboard walks and brute-force
-spans; a value whose cheapest price reaches ``min_log10`` is a secret.
+spans; a value whose cheapest price reaches ``min_log10`` is a secret. Base spans stay
+as they are; a strong value is added whether or not it touches one.
 
 Defined cases: a null text counts as empty; an empty text has no spans (counts 0,
 empty string, digest of the empty string); null or repeated ids pass through row by
@@ -144,11 +145,8 @@ def scan(text: str, min_log10: float = 8.0) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if any(h in low for h in CONTEXT_HINTS):
-        base = sorted(found)
-        for m in CONTEXT.finditer(text):
-            s, e = m.span(1)
-            if not any(b < e and s < f for b, f, _ in base) and price(m[1]) >= min_log10:
-                found.append((s, e, 3))
+        # Also values that touch base spans: a base span may end within its value.
+        found += [(*m.span(1), 3) for m in CONTEXT.finditer(text) if price(m[1]) >= min_log10]
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 
