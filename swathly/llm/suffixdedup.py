@@ -295,34 +295,40 @@ def repeated_ranges(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
 
 def removed(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Per document what is left: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
+    """Per document what goes and what is left: doc_id, n_bytes, spans (byte offsets, ends exclusive, sorted and merged), kept (bytes)."""
     per_doc = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("r"))
     both = docs.select("doc_id", row_key().alias("key"), "text").join(per_doc, "key", "left").select("doc_id", "text", "r")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names = ["doc_id", "n_bytes", "spans", "kept"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
 
     def work(batches):
         for b in slices(batches, 256):
             rows = []
             for i, text, r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("r").to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                kept, at, spans, gone = [], 0, 0, 0
+                kept, at, spans = [], 0, []
                 for s, e in sorted((x["start"], x["start"] + x["n"] - 1 + LENGTH) for x in r or ()):
                     if s > at or not spans:
                         kept.append(raw[at:s])
-                        spans += 1
+                        spans.append({"start": s, "end": e})
                         at = s
                     if e > at:
-                        gone += e - at
-                        at = e
+                        spans[-1]["end"] = at = e
                 kept.append(raw[at:])
-                rows.append((i, len(raw), gone, spans, hashlib.sha256(b"".join(kept)).hexdigest()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.string()], strict=True)], names=names)
+                rows.append((i, len(raw), spans, b"".join(kept)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    return both.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.mapInArrow(work, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
-def dedup(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """One row per document: bytes, removed bytes and spans, digest of the bytes that stay."""
+def dedup_bytes(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """The deduplicated documents, as ``removed`` has them."""
     docs = docs.select("doc_id", "text")
     return removed(docs, repeated_ranges(docs, heavy))
+
+
+def dedup(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """One row per document: bytes, removed bytes and spans, digest of the bytes that stay; all read off ``dedup_bytes``."""
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return dedup_bytes(docs, heavy).select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

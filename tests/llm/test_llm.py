@@ -485,6 +485,21 @@ def test_suffix_dedup_empty(empty):
     assert suffixdedup.dedup(empty).count() == 0
 
 
+def test_suffix_dedup_returns_spans_and_bytes(spark):
+    p, q = "0123456789" * 12, "abcdefghij" * 11
+    rows = [(0, f"{p}-{q}", "", "", 0), (1, f"head {q} middle {p} tail é", "", "", 0), (2, None, "", "", 0)]
+    got = {r.doc_id: r for r in suffixdedup.dedup_bytes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [tuple(s) for s in got[1].spans] == [(5, 115), (123, 243)]
+    assert bytes(got[1].kept) == "head  middle  tail é".encode()
+    assert got[2].spans == [] and bytes(got[2].kept) == b"" and got[2].n_bytes == 0
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        out = bytearray(raw)
+        for s, e in reversed([tuple(s) for s in got[i].spans]):
+            del out[s:e]
+        assert bytes(got[i].kept) == bytes(out) and len(raw) == got[i].n_bytes
+
+
 # -- pipeline ----------------------------------------------------------------------
 
 
