@@ -8,7 +8,7 @@ the last return the columns of ``documents``.
 2. neardup: one document of each group of near-duplicates stays (five words, 0.8).
 3. decontam: documents with a full window of a benchmark item, or windows of two short ones, go.
 4. secrets: secrets in the text are replaced; every document stays.
-5. sentencepiece: N-best segmentations of what is left.
+5. sentencepiece: scores and piece ids of the N-best segmentations of what is left.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nbest.nbest_digests(docs)
+    return nbest.nbest_ids(docs)
 
 
 STAGES = [

@@ -16,8 +16,7 @@ Characters outside the vocabulary fall back to their UTF-8 byte pieces. Equal sc
 in the fixed order of the search.
 
 Defined cases: null and empty texts have no pieces, score 0, one hypothesis and decode
-to the empty text; ids may be null or repeat; other columns pass through the pipeline
-stage untouched.
+to the empty text; ids may be null or repeat; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -281,8 +280,92 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _segmentations(batches, lattice: Lattice, n: int):
+    """doc_id, text, scores and ids of the n best of each text, batch by batch."""
+    number: dict[str, int] = {}  # of each distinct segment, for the columns that follow
+    scores, losses, sizes = np.empty(0), np.empty(0), np.empty(0, np.int64)
+    ids_of, raw = [], []
+    for b in slices(batches):
+        texts = [t or "" for t in b.column("text").to_pylist()]
+        cut = [lattice.cut(t) for t in texts]
+        if len(number) > 200_000:
+            number, scores, losses, sizes, ids_of, raw = {}, scores[:0], losses[:0], sizes[:0], [], []
+        new = lattice.solve(list({s for segments in cut for s in segments if s not in number}))
+        number |= zip(new, range(len(number), len(number) + len(new)), strict=True)
+        scores = np.concatenate([scores, [x[0] for x in new.values()]])
+        losses = np.concatenate([losses, [x[2] for x in new.values()]])
+        sizes = np.concatenate([sizes, np.array([4 * len(x[1]) for x in new.values()], np.int64)])
+        ids_of += [x[1] for x in new.values()]
+        raw += [np.array(x[1], "<i4").tobytes() for x in new.values()]
+        out, ends_of, all_scores = [], [], []
+        for segments in cut:
+            own = [number[s] for s in segments]
+            at = np.array(own, np.int64)
+            best = lattice.nbest(segments, scores[at], losses[at], lambda k, own=own: ids_of[own[k]], n)
+            ids, ends = memoryview(b"".join([raw[k] for k in own])), None
+            for _, kept in best:
+                parts, last = [], 0
+                if kept and ends is None:
+                    ends = np.cumsum(sizes[at])
+                for k, other in sorted(kept.items()):
+                    parts += [ids[last : int(ends[k] - sizes[own[k]])], np.array(other, "<i4").tobytes()]
+                    last = int(ends[k])
+                out += [*parts, ids[last:]]
+                ends_of.append(sum(map(len, parts)) // 4 + (len(ids) - last) // 4)
+            all_scores.append([s for s, _ in best])
+        flat = pa.array(np.frombuffer(b"".join(out), "<i4"))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *ends_of]), pa.int32()), flat)
+        many = pa.array(np.cumsum([0, *map(len, all_scores)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(all_scores, pa.list_(pa.float64())), pa.ListArray.from_arrays(many, lists)], names=["doc_id", "text", "nbest_scores", "nbest_ids"])
+
+
+def _decoder(lattice: Lattice):
+    """A function from an Arrow list<list<int>> column to one list of the hypotheses' texts (UTF-8) a row, decoded from their ids."""
+    pieces = pa.array([bytes([lattice.byte_of[i]]) if i in lattice.byte_of else p.encode("utf-8", "surrogatepass") for i, p in enumerate(lattice.piece)], pa.large_binary())
+
+    def decode(column) -> list[list[bytes]]:
+        lists = column.flatten()
+        ids = lists.flatten()
+        got = pieces.take(ids)
+        place = np.frombuffer(got.buffers()[1], np.int64)[got.offset :][: len(got) + 1] if len(got) else np.zeros(1, np.int64)
+        data = memoryview(got.buffers()[2]) if len(got) else memoryview(b"")
+        ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
+        at = place[ends].tolist()
+        texts, last, text = [], None, b""
+        for a, b in zip(at, at[1:], strict=False):
+            raw = bytes(data[a:b])
+            if raw != last:  # hypotheses of one text mostly decode alike
+                last, text = raw, from_blanks(raw)
+            texts.append(text)
+        out, k = [], 0
+        for size in column.value_lengths().to_pylist():
+            out.append(texts[k : k + size])
+            k += size
+        return out
+
+    return decode
+
+
+def nbest_ids(docs: DataFrame, n: int = 4, model: str | None = None) -> DataFrame:
+    """Per document the n best segmentations: doc_id, text (as given), nbest_scores and nbest_ids (piece ids of each), best first."""
+    model = model or default_model()
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _segmentations(batches, Lattice(model), n), "doc_id long, text string, nbest_scores array<double>, nbest_ids array<array<int>>")
+
+
+def decoded(segmented: DataFrame, model: str | None = None) -> DataFrame:
+    """The text of every hypothesis of ``nbest_ids``, from its ids alone: doc_id, decoded (array of texts, best first)."""
+    model = model or default_model()
+
+    def work(batches):
+        decode = _decoder(Lattice(model))
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(decode(b.column("nbest_ids")), pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=["doc_id", "decoded"])
+
+    return segmented.select("doc_id", "nbest_ids").mapInArrow(work, "doc_id long, decoded array<string>")
+
+
 def nbest_digests(docs: DataFrame, n: int = 4, model: str | None = None) -> DataFrame:
-    """Per document: pieces and score of the best segmentation, the scores of the n best, a crc32 of each one's ids, and the decoded text's digest.
+    """Digests of what ``nbest_ids`` and ``decoded`` return, read off their batches: pieces and score of the best segmentation, the scores of the n best, a crc32 of each one's ids, and the decoded text's digest.
 
     Columns: doc_id, n_pieces, best_score, nbest_scores and nbest_crc32 (arrays of at most
     n), decoded_sha256, exact (every hypothesis decodes to the text, its ``▁`` read as a blank).
@@ -294,44 +377,18 @@ def nbest_digests(docs: DataFrame, n: int = 4, model: str | None = None) -> Data
 
     def work(batches):
         lattice = Lattice(model)
-        number: dict[str, int] = {}  # of each distinct segment, for the lists and columns that follow
-        scores, losses, sizes, true = np.empty(0), np.empty(0), np.empty(0, np.int64), np.empty(0, bool)
-        ids_of, raw, text_of = [], [], []
-        plain = lattice.decode_bytes
-        for b in slices(batches):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            cut = [lattice.cut(t) for t in texts]
-            if len(number) > 200_000:
-                number, scores, losses, sizes, true, ids_of, raw, text_of = {}, scores[:0], losses[:0], sizes[:0], true[:0], [], [], []
-            new = lattice.solve(list({s for segments in cut for s in segments if s not in number}))
-            number |= zip(new, range(len(number), len(number) + len(new)), strict=True)
-            scores = np.concatenate([scores, [x[0] for x in new.values()]])
-            losses = np.concatenate([losses, [x[2] for x in new.values()]])
-            sizes = np.concatenate([sizes, np.array([4 * len(x[1]) for x in new.values()], np.int64)])
-            ids_of += [x[1] for x in new.values()]
-            raw += [np.array(x[1], "<u4").tobytes() for x in new.values()]
-            decoded = [plain(x[1]) for x in new.values()]
-            true = np.concatenate([true, np.array([d == s.encode("utf-8", "surrogatepass") for d, s in zip(decoded, new, strict=True)], bool)])
-            text_of += decoded
-            rows = []
-            for i, t, segments in zip(b.column("doc_id").to_pylist(), texts, cut, strict=True):
-                own = [number[s] for s in segments]
-                at = np.array(own, np.int64)
-                best = lattice.nbest(segments, scores[at], losses[at], lambda k, own=own: ids_of[own[k]], n)
-                given = t.replace(BLANK, " ").encode("utf-8", "surrogatepass")
-                # Segments that decode to themselves make up the text itself.
-                whole = given if true[at].all() else from_blanks(b"".join([text_of[k] for k in own]))
-                exact, ids, ends, crcs = whole == given, memoryview(b"".join([raw[k] for k in own])), None, []
-                for _, kept in best:
-                    crc = last = 0
-                    if kept and ends is None:
-                        ends = np.cumsum(sizes[at])
-                    for k, other in sorted(kept.items()):
-                        crc = zlib.crc32(np.array(other, "<u4").tobytes(), zlib.crc32(ids[last : int(ends[k] - sizes[own[k]])], crc))
-                        last = int(ends[k])
-                        exact &= plain(other) == text_of[own[k]]
-                    crcs.append(zlib.crc32(ids[last:], crc))
-                rows.append((i, len(ids) // 4, best[0][0], [s for s, _ in best], crcs, hashlib.sha256(whole).hexdigest(), bool(exact)))
+        decode = _decoder(lattice)
+        for b in _segmentations(batches, lattice, n):
+            rows, k = [], 0
+            lists = b.column("nbest_ids").flatten()
+            ids = memoryview(lists.flatten().to_numpy().astype("<u4")).cast("B") if len(lists.flatten()) else memoryview(b"")
+            ends = np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
+            given = [(t or "").replace(BLANK, " ").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+            for i, t, s, whole in zip(b.column("doc_id").to_pylist(), given, b.column("nbest_scores").to_pylist(), decode(b.column("nbest_ids")), strict=True):
+                own = ends[k : k + len(s) + 1]
+                k += len(s)
+                crcs = [zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(own, own[1:], strict=False)]
+                rows.append((i, own[1] - own[0], s[0], s, crcs, hashlib.sha256(whole[0]).hexdigest(), all(x == t for x in whole)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 

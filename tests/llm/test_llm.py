@@ -393,6 +393,48 @@ def test_nbest_table(docs, odd, empty):
     assert nbest.nbest_digests(empty).count() == 0
 
 
+def test_nbest_ids_and_decodes(spark, docs, odd, empty, lattice):
+    for df in (docs, odd):
+        seg = nbest.nbest_ids(df)
+        want = Counter()
+        for r in seg.collect():
+            assert len(r.nbest_ids) == len(r.nbest_scores) and len(set(map(tuple, r.nbest_ids))) == len(r.nbest_ids)
+            texts = [lattice.decode(i) for i in r.nbest_ids]
+            assert set(texts) == {(r.text or "").replace(nbest.BLANK, " ")}
+            crcs = [zlib.crc32(np.array(i, "<u4").tobytes()) for i in r.nbest_ids]
+            want[r.doc_id, len(r.nbest_ids[0]), tuple(r.nbest_scores), tuple(crcs), hashlib.sha256(texts[0].encode()).hexdigest(), True] += 1
+        assert Counter((r.doc_id, r.n_pieces, tuple(r.nbest_scores), tuple(r.nbest_crc32), r.decoded_sha256, r.exact) for r in nbest.nbest_digests(df).collect()) == want
+    got = sorted((str(r.doc_id), tuple(r.decoded)) for r in nbest.decoded(nbest.nbest_ids(odd)).collect())
+    assert got == sorted((str(r.doc_id), ((r.text or "").replace(nbest.BLANK, " "),) * len(r.nbest_ids)) for r in nbest.nbest_ids(odd).collect())
+    assert nbest.decoded(nbest.nbest_ids(empty)).count() == 0
+
+
+def test_nbest_exact_sees_faults_of_the_cut(spark, monkeypatch):
+    """A segment lost between cutting and joining shows in ``exact`` and in the digest."""
+    cut = nbest.Lattice.cut
+    monkeypatch.setattr(nbest.Lattice, "cut", lambda self, t: cut(self, t)[:-1])
+    row = next(nbest_rows(["two words"]))
+    assert row["exact"] is False and row["decoded_sha256"] != hashlib.sha256(b"two words").hexdigest()
+
+
+def nbest_rows(texts):
+    """Rows of the digests, made in this process."""
+    import pyarrow as pa
+
+    made = {}
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, schema):  # noqa: N802
+            made["f"] = f
+
+    nbest.nbest_digests(Docs())
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    return (r for b in made["f"](iter([batch])) for r in b.to_pylist())
+
+
 # -- 9 tokens ----------------------------------------------------------------------
 
 
