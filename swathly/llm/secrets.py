@@ -28,10 +28,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 #: A maximal run of 20+ (24+) characters is what the plain pattern with a later length test leaves.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: A credential word and its separator, up to where the value or its quote begins.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|private[_-]?key)["']?[\x20\t]{0,8}(?::|=>?|\x20is\x20)[\x20\t]{0,8}["']?([^\s"'<>,;]{4,})""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|private[_-]?key)["']?[\x20\t]*(?::|=>?|\x20is\x20)[\x20\t]*""",
     re.I | re.A,
 )
+#: A value in quotes ends at the matching one on its line, escaped ones stepped over; only without any match a quote is skipped.
+QUOTED = re.compile(r""""((?:\\.|[^"\\\r\n])+)"|'((?:\\.|[^'\\\r\n])+)'|"([^"\r\n]+)"|'([^'\r\n]+)'""")
+#: A value without quotes ends at a blank, quote, < or >, and at a comma or semicolon behind which another name and separator, a blank or nothing comes.
+BARE = re.compile(r"""["']?((?:[^\s"'<>,;]|[,;](?![\s"'<>,;]|\Z|[\w.-]+["']?[\x20\t]*[:=]))+)""", re.A)
 ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 CONTEXT_HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"credential")
 KINDS = ("assign", "access", "hex", "guess")
@@ -134,6 +139,20 @@ def price(value: str) -> float:
     return _cost(value) if len(value) <= 256 else guess_cost(value)
 
 
+def values(text: str):
+    """(start, end) of the values in a credential context; none that lies within the one before.
+
+    Such an inner value is a part of what the outer value's price covers.
+    """
+    last = 0
+    for m in CONTEXT.finditer(text):
+        if m.end() < last:
+            continue
+        if v := QUOTED.match(text, m.end()) or BARE.match(text, m.end()):
+            yield v.span(v.lastindex)
+            last = v.end(v.lastindex)
+
+
 def scan(text: str, min_log10: float = 8.0) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind), by start, then kind as listed."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -146,7 +165,7 @@ def scan(text: str, min_log10: float = 8.0) -> list[tuple[int, int, str]]:
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if any(h in low for h in CONTEXT_HINTS):
         # Also values that touch base spans: a base span may end within its value.
-        found += [(*m.span(1), 3) for m in CONTEXT.finditer(text) if price(m[1]) >= min_log10]
+        found += [(s, e, 3) for s, e in values(text) if price(text[s:e]) >= min_log10]
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 

@@ -104,6 +104,29 @@ def test_guess_prices_values_that_touch_base_spans():
     assert [k for *_, k in secrets.scan("password=password1")] == ["assign"]
 
 
+def test_context_values_are_whole():
+    guess = lambda t: [t[s:e] for s, e, k in secrets.scan(t) if k == "guess"]
+    assert guess("pwd:" + " " * 9 + "xK9#mPq2vL!w") == ["xK9#mPq2vL!w"]
+    assert guess("pwd" + "\t" * 40 + "= " + " " * 5000 + "xK9#mPq2vL!w;") == ["xK9#mPq2vL!w"]
+    assert guess("password=ab,c;K9#mPq2vL!w") == ["ab,c;K9#mPq2vL!w"]
+    assert guess('x "pwd": "correct horse, battery <staple>" y') == ["correct horse, battery <staple>"]
+    assert guess(r'pwd="a\"b;K9#mPq2vL" z') == [r'a\"b;K9#mPq2vL']
+    assert guess("pwd='it\nxK9#mPq2vL!w'") == []  # no value runs past its line
+    assert guess("pwd='xK9#mPq2vL!w and so on") == ["xK9#mPq2vL!w"]
+    assert guess("auth=xK9#mPq2vL!w,user=bob; b") == ["xK9#mPq2vL!w"]
+    assert guess("the password is secret: xK9#mPq2vL!w, yes") == ["xK9#mPq2vL!w"]
+    assert guess("pwd: monkey, dragon") == [] and guess('pwd="" xK9#mPq2vL!w') == []
+
+
+def test_context_scan_is_linear():
+    import time
+
+    took = time.process_time()
+    for t in ("token=", "token='", 'token:"a', "token" + " " * 50, "token=,a", "pwd=\\", 'pwd="\\'):
+        secrets.scan(t * (400_000 // len(t)))
+    assert time.process_time() - took < 60
+
+
 def test_mask_keeps_rows_and_columns(odd, empty):
     out = secrets.mask_secrets(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
