@@ -76,7 +76,10 @@ def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` needs; 0 for the empty value.
 
     Costs add up over spans, each span pays ``OPEN`` besides its own price. Repeats and walks
-    are taken at their longest only, so the program is linear in the length.
+    may start and end anywhere within their longest run. Their price grows with the logarithm of
+    their length, so a start that has once lost to an earlier one never wins again, nor does one
+    before a later start that costs no more. The few starts that are left keep the program
+    near linear in the length.
     """
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
@@ -84,16 +87,40 @@ def guess_cost(value: str) -> float:
     best, brute = [math.inf] * (n + 1), [math.inf] * (n + 1)
     best[0] = 0.0
     jumps: dict[int, float] = {}  # ends of long spans that began earlier
-    run_end = {p: 0 for p in PERIODS}
-    walk_end = 0
     char = [_char_cost(c) for c in value]
+    #: First place of the run that reaches the current one, and (cost without length, start) of the starts in it.
+    runs = {p: 0 for p in PERIODS}
+    run_starts: dict[int, list[tuple[float, int]]] = {p: [] for p in PERIODS}
+    walk, walk_starts = 0, []
 
     def reach(end: int, cost: float) -> None:
         if cost < jumps.get(end, math.inf):
             jumps[end] = cost
 
+    def cheapest(starts: list[tuple[float, int]], cost: float, start: int, end: int) -> float:
+        """Least cost + log10(end - start) of ``starts`` and a new one; those that can't win any more go."""
+        while starts and starts[-1][0] >= cost:
+            starts.pop()
+        starts.append((cost, start))
+        low, left = math.inf, []
+        for c, s in starts:
+            if (total := c + math.log10(end - s)) < low:
+                low = total
+                left.append((c, s))
+        starts[:] = left
+        return low
+
     for i in range(n + 1):
         best[i] = min(best[i], brute[i], jumps.pop(i, math.inf))
+        if i >= 2 and low[i - 2 : i] not in NEXT_KEYS:
+            walk, walk_starts = i - 1, []
+        if (s := i - MIN_RUN) >= walk:
+            best[i] = min(best[i], cheapest(walk_starts, best[s] + OPEN + math.log10(47 * 2), s, i))
+        for p in PERIODS:
+            if i > p and value[i - 1] != value[i - 1 - p]:
+                runs[p], run_starts[p] = i - p, []
+            if (s := i - max(MIN_RUN, 2 * p)) >= runs[p]:
+                best[i] = min(best[i], cheapest(run_starts[p], best[s] + OPEN + sum(char[s : s + p]) - math.log10(p), s, i))
         if i == n:
             break
         here = best[i] + OPEN
@@ -111,22 +138,6 @@ def guess_cost(value: str) -> float:
                 reach(m.end(), here + DATE_COST)
             if m := YEAR.match(value, i):
                 reach(m.end(), here + YEAR_COST)
-        for p in PERIODS:
-            if run_end[p] <= i:
-                j = i + p
-                while j < n and value[j] == value[j - p]:
-                    j += 1
-                run_end[p] = max(j - p + 1, i + 1)
-                if j - i >= max(MIN_RUN, 2 * p):
-                    run_end[p] = j
-                    reach(j, here + sum(char[i : i + p]) + math.log10((j - i) / p))
-        if walk_end <= i:
-            j = i + 1
-            while j < n and low[j - 1 : j + 1] in NEXT_KEYS:
-                j += 1
-            walk_end = j
-            if j - i >= MIN_RUN:
-                reach(j, here + math.log10(47) + math.log10(2 * (j - i)))
     return best[n]
 
 

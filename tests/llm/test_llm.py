@@ -90,6 +90,39 @@ def test_guess_cost():
     assert secrets.guess_cost("2020-01-01") < 6 and secrets.guess_cost("") == 0
 
 
+def whole_cost(v: str) -> float:
+    """The prices of all kinds of spans, from every place to every place."""
+    n, best, low = len(v), [0.0] + [np.inf] * len(v), v.lower() if len(v.lower()) == len(v) else v
+    plain = low.translate(secrets.LEET)
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            w, x, size = v[i:j], low[i:j], j - i
+            options = [sum(map(secrets._char_cost, w))]
+            if x in secrets.WORD_RANK:
+                options.append(np.log10(secrets.WORD_RANK[x] + 1) + secrets.OPEN * (w != x))
+            elif plain[i:j] in secrets.WORD_RANK:
+                options.append(np.log10(secrets.WORD_RANK[plain[i:j]] + 1) + secrets.OPEN * (1 + (w != x)))
+            if secrets.DATE.fullmatch(w):
+                options.append(secrets.DATE_COST)
+            if secrets.YEAR.fullmatch(w):
+                options.append(secrets.YEAR_COST)
+            if size >= 3 and all(x[k : k + 2] in secrets.NEXT_KEYS for k in range(size - 1)):
+                options.append(np.log10(47) + np.log10(2 * size))
+            for p in secrets.PERIODS:
+                if size >= max(3, 2 * p) and w[p:] == w[:-p]:
+                    options.append(sum(map(secrets._char_cost, w[:p])) + np.log10(size / p))
+            best[j] = min(best[j], best[i] + secrets.OPEN + min(options))
+    return best[n]
+
+
+def test_guess_cost_is_the_least():
+    rng = random.Random(5)
+    parts = ["monkey", "M0nk3y", "qwe", "uiop", "asdsa", "4321", "abab", "aaaa", "xyzxyz", "a1b2a1b2", "2019-02-28", "1999", "12", "y", "q", "é", "$", "the", "ß", "İ"]
+    for v in ["monkeyuiop12", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(300)), *("".join(rng.choice("asdqwe12") for _ in range(rng.randint(1, 24))) for _ in range(300))]:
+        assert secrets.guess_cost(v) == pytest.approx(whole_cost(v), abs=1e-9), v
+    assert secrets.scan("pwd: monkeyuiop12") == []
+
+
 def test_guess_adds_strong_values_only():
     kinds = lambda t: [k for *_, k in secrets.scan(t)]
     assert kinds("pwd: xK9#mPq2vL!w") == ["guess"] and kinds("pwd: password") == []
