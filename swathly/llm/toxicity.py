@@ -107,8 +107,11 @@ class Model:
             ends[at : at + len(p) + gap] = at + len(p)
             at += len(p) + gap
         x = self.table[flat[:, 0]] + self.table[flat[:, 1]] + self.table[flat[:, 2]]
-        by_part = np.maximum.reduceat(convolve(x, ends, self.filters, self.bias), starts, axis=0)
+        y = convolve(x, ends, self.filters, self.bias)
         owner = np.array([d for d, _ in parts])
+        for k in np.flatnonzero(owner[1:] == owner[:-1]):  # windows that the next slice has whole
+            y[starts[k] + CHUNK : starts[k + 1]] = -np.inf
+        by_part = np.maximum.reduceat(y, starts, axis=0)
         np.maximum.at(pooled, owner, by_part)
         np.maximum(pooled, 0, out=pooled)
         for d, ids in enumerate(group):  # whole documents: slices overlap

@@ -337,6 +337,19 @@ def test_long_texts_are_pooled_by_slices(monkeypatch):
     assert np.allclose(m.logits([text, "x", text])[0], whole, atol=1e-5)
 
 
+def test_slices_make_no_windows_of_their_own(monkeypatch):
+    """Words at a slice's end that only count for much when what follows them is cut off."""
+    row_of = {k: row for row, w in ((1, "good"), (2, "evil")) for k in toxicity._rows(w)}
+    table = np.array([0, 1, -9], np.float32)[:, None] * np.ones((1, toxicity.DIM), np.float32)
+    filters = [np.ones((w, toxicity.DIM, toxicity.FILTERS), np.float32) for w in toxicity.WIDTHS] + [np.ones((1, toxicity.DIM, toxicity.FILTERS), np.float32) for _ in toxicity.WIDE]
+    m = toxicity.Model(row_of, table, filters, np.zeros(toxicity.POOLED, np.float32), np.ones(toxicity.POOLED + 1, np.float32), {})
+    edge = 300 + max(toxicity.WIDE)
+    text = " ".join(["evil"] * (edge - 12) + ["good"] * 12 + ["evil"] * 700)
+    whole = m.logits([text])[0]
+    monkeypatch.setattr(toxicity, "CHUNK", 300)
+    assert np.allclose(m.logits([text, "x"])[0][0], whole[0])
+
+
 # -- 7 near-duplicates -------------------------------------------------------------
 
 
