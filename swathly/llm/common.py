@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 import zlib
@@ -22,10 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, a local one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a temporary folder of this machine serves a local master, as in tests;
+    any other master is refused, since its executors could not see that folder.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
         found = "file://" + tempfile.mkdtemp(prefix="swathly-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -49,14 +56,42 @@ def discard(*dfs: DataFrame) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of plans whose results are already written."""
+    """Let Spark's cleaner drop shuffle files of plans whose results are already written.
+
+    The cleaner acts on what the driver's collector finds unreachable; a large driver heap may
+    not be collected for half an hour, in which the files of every earlier step stay on disk.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+#: Columns of ``row_keys``.
+KEYS = ("k1", "k2")
+
+
+def row_keys(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """Two longs (128 bits) that name a row by its id and text; equal rows have equal results, so they may share them."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias(KEYS[0]), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).alias(KEYS[1])]
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A long that names a row by its id and text; equal rows have equal results, so they may share it."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """Both as one struct, which joins, groups and sorts like a single column."""
+    return F.struct(*row_keys(id_col, text_col))
+
+
+KEY_TYPE = "struct<k1: long, k2: long>"
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like those wanted that ``df`` does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc_mod(doc_id: str | int | None, mod: int = 3) -> int:
