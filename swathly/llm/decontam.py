@@ -12,13 +12,17 @@ and the words themselves are compared.
 The documents are read twice. First, shingle hashes meet the distinct shingles of the
 benchmark (broadcast only when counted to be at most ``BROADCAST_ROWS``, else by a
 shuffled join); what is left, hits, is written out, counted, and joined with the
-prefixes. Then each document meets its own candidates by key and is verified row by row:
-no group is larger than one document.
+prefixes. (Counting first and joining the prefixes in another pass over the texts would
+cut every text into shingles once more, which is the dearest step by far; the hits are
+few.) Then each document meets its own candidates by key and is verified row by row: no
+group is larger than one document. Candidates carry a window's number; the items that hold
+it are joined once, after verification, so a window that many items share costs no more.
 
 Defined cases: a null or empty text has no words, hence no hits; null items and items
 without words are never found; repeated items with one id count once, null item ids are
 ignored; repeated documents are judged row by row; an empty benchmark leaves every
-document clean; other columns are ignored.
+document clean; an empty table gives no rows; other columns are ignored, and kept by
+``drop_contaminated`` whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize, row_key
+from .common import LOWER, UPPER, discard, free_names, materialize, row_key
 
 WINDOW, SHINGLE, MIN_ITEMS = 8, 4, 2
 BROADCAST_ROWS = 200_000
@@ -47,12 +51,13 @@ def _hashes(w: Column, size: Column | int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """window (words), size, items: the distinct windows, each with the ids of the items that hold it."""
+def item_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """number, window (words), size of the distinct windows; and number, item of the items that hold each. Both written."""
     w = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(WINDOW))
-    each = w.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("window"))
-    return each.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")).withColumn("size", F.size("window"))
+    each = w.select(F.col("item_id").cast("string").alias("item"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("window"))
+    windows = materialize(each.select("window").distinct().select(F.monotonically_increasing_id().alias("number"), "window", F.size("window").alias("size")), "windows")
+    return windows, materialize(each.join(windows, "window").select("number", "item").distinct(), "holders")
 
 
 def hits(docs: DataFrame, shingles: DataFrame, sizes: list[int], small: bool) -> DataFrame:
@@ -65,10 +70,10 @@ def hits(docs: DataFrame, shingles: DataFrame, sizes: list[int], small: bool) ->
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest (words of its longest window found), and the row's key."""
-    windows = materialize(item_windows(benchmark), "windows")
+    windows, holders = item_windows(benchmark)
     size = F.least(F.col("size"), F.lit(SHINGLE))
     inside = F.transform(_hashes(F.col("window"), size), lambda h, i: F.struct(h.alias("h"), i.alias("at")))
-    each = windows.withColumn("s", F.explode(inside)).select("window", "size", "items", "s.h", "s.at")
+    each = windows.withColumn("s", F.explode(inside)).select("number", "s.h", "s.at")
     shingles = each.select("h").distinct()
     sizes = [r[0] for r in windows.select(size.alias("n")).distinct().orderBy("n").collect()]  # at most SHINGLE numbers
     if not sizes:
@@ -77,10 +82,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_IT
     found = materialize(hits(docs.select("doc_id", "text"), shingles, sizes, small), "hits")
     rarity = found.groupBy("h").agg(F.count("*").alias("n"))
     # A window with a shingle that no document holds drops out; the rarest of the others is its prefix.
-    rare = each.join(rarity, "h", "left").groupBy("window", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("h"), F.col("at"))).alias("p"), F.first("items").alias("items"))
-    prefix = rare.where("p.n > 0").select("window", "size", "items", F.col("p.h").alias("h"), F.col("p.at").alias("at"))
+    rare = each.join(rarity, "h", "left").groupBy("number").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("h"), F.col("at"))).alias("p"))
+    prefix = rare.where("p.n > 0").select("number", F.col("p.h").alias("h"), F.col("p.at").alias("at")).join(windows, "number")
     start = F.col("pos") - F.col("at")
-    candidates = found.join(prefix, "h").where(start >= 0).select("key", F.struct(start.alias("start"), "size", "window", "items").alias("c")).distinct()
+    candidates = found.join(prefix, "h").where(start >= 0).select("key", F.struct(start.alias("start"), "size", "window", "number").alias("c")).distinct()
     per_doc = candidates.groupBy("key").agg(F.collect_list("c").alias("cs"))
     w = F.col("w")
     # Texts go through the shuffle as they are and are cut into words behind it: word arrays take several times their room.
@@ -88,17 +93,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_IT
     true = F.filter(F.coalesce(F.col("cs"), F.array()), lambda c: (c["start"] + c["size"] <= F.size(w)) & (F.slice(w, c["start"] + 1, c["size"]) == c["window"]))
     out = own.select("doc_id", "key", F.size(w).cast("long").alias("n_words"), true.alias("v"))
     places = F.array_distinct(F.flatten(F.transform("v", lambda c: F.sequence(c["start"], c["start"] + c["size"] - 1))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("v", lambda c: c["items"]))))
-    return out.select("doc_id", "key", "n_words", F.size(places).cast("long").alias("n_hit"), items.alias("i"), F.coalesce(F.array_max(F.transform("v", lambda c: c["size"])), F.lit(0)).alias("longest")).select(
+    longest = F.coalesce(F.array_max(F.transform("v", lambda c: c["size"])), F.lit(0))
+    judged = materialize(out.select("doc_id", "key", "n_words", F.size(places).cast("long").alias("n_hit"), longest.alias("longest"), F.array_distinct(F.transform("v", lambda c: c["number"])).alias("numbers")), "judged")
+    items = judged.select("key", F.explode("numbers").alias("number")).distinct().join(holders, "number").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("i"))
+    i = F.coalesce("i", F.array().cast("array<string>"))
+    result = judged.join(items, "key", "left").select(
         "doc_id",
         "n_words",
         "n_hit",
-        F.size("i").cast("long").alias("n_items"),
-        F.sha2(F.array_join("i", ","), 256).alias("items_sha256"),
-        (F.size("i") >= min_items).alias("contaminated"),
+        F.size(i).cast("long").alias("n_items"),
+        F.sha2(F.array_join(i, ","), 256).alias("items_sha256"),
+        (F.size(i) >= min_items).alias("contaminated"),
         "longest",
         "key",
     )
+    discard(windows, found)
+    return result
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
@@ -108,8 +118,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MI
     ``min_items`` items where these are shorter: one short item alone may be everyday words.
     """
     judged = contamination(docs, benchmark, min_items)
-    bad = judged.where(F.col("contaminated") | (F.col("longest") >= WINDOW)).select(F.col("key").alias("bad_key")).distinct()
-    return docs.join(bad, row_key() == F.col("bad_key"), "left_anti")
+    (own,) = free_names(docs, "row_key")
+    bad = judged.where(F.col("contaminated") | (F.col("longest") >= WINDOW)).select(F.col("key").alias(own)).distinct()
+    return docs.withColumn(own, row_key()).join(bad, own, "left_anti").drop(own)
 
 
 ORACLE = r"""
