@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, discard, materialize, release_shuffles, row_key, slices
+from .common import ASCII_LOWER, KEY_TYPE, discard, free_names, materialize, release_shuffles, row_key, slices
 
 SLOTS, BANDS, ROWS = 256, 42, 6
 #: Star rounds at most; a round that links fewer than one pair in ``IDLE`` is the last one; a bucket with more open pairs than ``CROWD`` a member is crowded.
@@ -40,6 +40,9 @@ _U = np.uint64
 _RNG = np.random.default_rng(7)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(_U)
 _BASE, _A = _U(0x9E3779B97F4A7C15), _RNG.integers(1, 2**63, 16, dtype=np.int64).astype(_U) | _U(1)
+#: A second, independent hash: together they name a shingle by 128 bits.
+_BYTE2, _BASE2, _A2 = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(_U), _U(0xC2B2AE3D27D4EB4F), _RNG.integers(1, 2**63, 16, dtype=np.int64).astype(_U) | _U(1)
+HASHES = ((_BYTE, _BASE, _A), (_BYTE2, _BASE2, _A2))
 _IS_GAP = np.zeros(256, bool)
 _IS_GAP[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.frombuffer(ASCII_LOWER, np.uint8)
@@ -52,41 +55,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of all texts, and the number of the first word of each text (with an end)."""
+def word_hashes(raws: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Two 64-bit hashes of the lower-cased words of all texts, and the number of the first word of each text (with an end)."""
     arr = _LOWER[np.frombuffer(b" ".join(raws) + b" ", np.uint8)]
     gap = _IS_GAP[arr]
     start = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
     at = np.cumsum([0] + [len(r) + 1 for r in raws])
     first = np.searchsorted(start, at)
     if not len(start):
-        return np.zeros(0, _U), first
+        return [np.zeros(0, _U)] * 2, first
     place = np.arange(len(arr))
     length = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) - start + 1
     inside = place - np.repeat(start, np.diff(np.append(start, len(arr))))[: len(arr)] if start[0] == 0 else place - np.concatenate([np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(arr))))])
-    power = np.cumprod(np.full(int(length.max()), _BASE)) if len(length) else np.zeros(0, _U)
-    value = np.where(gap, _U(0), _BYTE[arr] * power[np.minimum(inside, len(power) - 1)])
-    return mix(np.add.reduceat(value, start) + length.astype(_U) * _A[15]), first
-
-
-def shingle_sets(raws: list[bytes], size: int = 4) -> list[np.ndarray]:
-    """Per text the sorted distinct hashes of its shingles; fewer words are one shingle, no words none."""
-    h, first = word_hashes(raws)
-    runs = np.zeros(max(len(h) - size + 1, 0), _U)
-    for j in range(size):
-        runs += h[j : j + len(runs)] * _A[j]
-    runs = mix(runs + _U(size))
+    inside = np.minimum(inside, int(length.max()) - 1)
     out = []
-    for a, b in zip(first, first[1:], strict=False):
-        if b - a >= size:
-            out.append(np.unique(runs[a : b - size + 1]))
-        elif b > a:
-            out.append(mix((h[a:b] * _A[8 : 8 + b - a]).sum(keepdims=True) + _U(b - a)))
+    for table, base, a in HASHES:
+        power = np.cumprod(np.full(int(length.max()), base))
+        value = np.where(gap, _U(0), table[arr] * power[inside])
+        out.append(mix(np.add.reduceat(value, start) + length.astype(_U) * a[15]))
+    return out, first
+
+
+def wide_sets(raws: list[bytes], size: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text its distinct shingles, each by two hashes, in the order of the first one; fewer words are one shingle, no words none."""
+    words, first = word_hashes(raws)
+    runs = []
+    for h, (_, _, a) in zip(words, HASHES, strict=True):
+        r = np.zeros(max(len(h) - size + 1, 0), _U)
+        for j in range(size):
+            r += h[j : j + len(r)] * a[j]
+        runs.append(mix(r + _U(size)))
+    out = []
+    for lo, hi in zip(first, first[1:], strict=False):
+        if hi - lo >= size:
+            x, y = runs[0][lo : hi - size + 1], runs[1][lo : hi - size + 1]
+            order = np.argsort(x)
+            x, y = x[order], y[order]
+            new = np.concatenate([[True], x[1:] != x[:-1]])
+            out.append((x[new], y[new]))
+        elif hi > lo:
+            out.append(tuple(mix((h[lo:hi] * a[8 : 8 + hi - lo]).sum(keepdims=True) + _U(hi - lo)) for h, (_, _, a) in zip(words, HASHES, strict=True)))
         else:
-            out.append(np.zeros(0, _U))
+            out.append((np.zeros(0, _U), np.zeros(0, _U)))
     return out
 
 
+def shingle_sets(raws: list[bytes], size: int = 4) -> list[np.ndarray]:
+    """Per text the sorted distinct first hashes of its shingles."""
+    return [x for x, _ in wide_sets(raws, size)]
+
+
+def common(s: tuple[np.ndarray, np.ndarray], t: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many shingles two sets share, by all 128 bits."""
+    if not len(s[0]) or not len(t[0]):
+        return 0
+    at = np.minimum(np.searchsorted(t[0], s[0]), len(t[0]) - 1)
+    return int(((t[0][at] == s[0]) & (t[1][at] == s[1])).sum())
+
+
 def _slot(key: np.ndarray, j: int) -> np.ndarray:
     """Where the permutation of each key sends step ``j``: odd factors, offsets and shifts are all bijections of 8 bits."""
     x, low = np.full(len(key), j, _U), _U(SLOTS - 1)
@@ -124,14 +150,15 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, key, n, c1 and c2 (the class: 128 bits of the set), bands."""
-    schema = "doc_id long, key long, n long, c1 long, c2 long, bands array<long>"
+    """doc_id, key, n, c1 and c2 (the class: 128 bits of the set, each half from another hash of its shingles), bands."""
+    schema = f"doc_id long, key {KEY_TYPE}, n long, c1 long, c2 long, bands array<long>"
 
     def work(batches):
         for b in slices(batches):
-            sets = shingle_sets([(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()], size)
+            wide = wide_sets([(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()], size)
+            sets = [x for x, _ in wide]
             keys = band_keys(super_minhash(sets))
-            c = np.array([[mix(s).sum(dtype=_U), mix(s ^ _A[12]).sum(dtype=_U)] for s in sets], _U).reshape(-1, 2).view(np.int64)
+            c = np.array([[mix(x).sum(dtype=_U), mix(y ^ _A[12]).sum(dtype=_U)] for x, y in wide], _U).reshape(-1, 2).view(np.int64)
             ends = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))],
@@ -148,7 +175,7 @@ def texts_of(keys: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, na, b, nb: keys and nodes) whose full sets are similar enough, as edges u, v between nodes.
+    """Those pairs (a, na, b, nb: keys and nodes) whose full sets, by 128 bits a shingle, are similar enough, as edges u, v between nodes.
 
     Texts travel by key: each member's to its pair, then with it to its leader's; large keys are split by skew.
     """
@@ -157,18 +184,18 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     def work(batches):
         kept: tuple = (None, None)
         for batch in slices(batches, 128):
-            keys = batch.column("a").to_pylist()
+            keys = [tuple(k.values()) for k in batch.column("a").to_pylist()]
             raw = lambda c, batch=batch: [t.encode("utf-8", "surrogatepass") for t in batch.column(c).to_pylist()]
-            own = shingle_sets(raw("tb"), size)
+            own = wide_sets(raw("tb"), size)
             lead: dict = {kept[0]: kept[1]} if kept[0] is not None else {}
-            new = [i for i, k in enumerate(keys) if k not in lead and k not in keys[:i]]
+            new = list({k: i for i, k in reversed(list(enumerate(keys))) if k not in lead}.values())
             all_a = raw("ta")
-            lead |= zip([keys[i] for i in new], shingle_sets([all_a[i] for i in new], size) if new else [], strict=True)
+            lead |= zip([keys[i] for i in new], wide_sets([all_a[i] for i in new], size) if new else [], strict=True)
             ok = []
             for k, s in zip(keys, own, strict=True):
                 t = lead[k]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(bool(both) and 100 * both >= percent * (len(s) + len(t) - both))
+                both = common(s, t)
+                ok.append(bool(both) and 100 * both >= percent * (len(s[0]) + len(t[0]) - both))
             if keys:
                 kept = (keys[-1], lead[keys[-1]])
             hit = batch.filter(pa.array(ok, pa.bool_()))
@@ -220,7 +247,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def prefix_pairs(crowd: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def prefix_pairs(crowd: DataFrame, texts: DataFrame, size: int, percent: int, keep) -> DataFrame:
     """Pairs of different components among ``crowd`` (key, node, n, component) that share a shingle of their prefixes.
 
     Shingles are ordered by how many of these texts hold them, rarest first; two sets that
@@ -236,13 +263,13 @@ def prefix_pairs(crowd: DataFrame, texts: DataFrame, size: int, percent: int) ->
             flat = pa.array(np.concatenate([*sets, np.zeros(0, _U)]).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(ends, flat)], names=["key", "shingles"])
 
-    each = materialize(texts.join(crowd.select("key"), "key", "left_semi").mapInArrow(work, "key long, shingles array<long>"), "shingles").select("key", F.explode("shingles").alias("s"))
+    each = keep(texts.join(crowd.select("key"), "key", "left_semi").mapInArrow(work, f"key {KEY_TYPE}, shingles array<long>"), "shingles").select("key", F.explode("shingles").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     own = each.join(shared, "s").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("s")).join(crowd, "key")
     alone = F.col("n") - F.size("s")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     parts = own.withColumn("held", F.size("s")).where(prefix > alone).select("key", "node", "n", "component", "held", F.posexplode(F.slice("s", F.lit(1), (prefix - alone).cast("int"))).alias("i", "p")).select("key", "node", "n", "component", "p.s", (F.col("held") - F.col("i")).alias("rest"))
-    parts = materialize(parts, "prefixes")
+    parts = keep(parts, "prefixes")
     lead = parts.select("s", F.col("rest").alias("lrest"), *[F.col(k).alias(v) for k, v in _LEADER.items()])
     enough = (100 + percent) * F.least("rest", "lrest") >= percent * (F.col("n") + F.col("ln"))
     return parts.join(lead, "s").where((F.col("key") > F.col("a")) & enough & (F.col("component") != F.col("lc")))
@@ -252,15 +279,21 @@ _LEADER = {"node": "na", "key": "a", "n": "ln", "component": "lc"}
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept, and the row's key."""
+    """Per document: doc_id, n_shingles, component_id, kept, and the row's key. The result is written; all that led to it is deleted."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    each = materialize(described(docs, size), "sets")
-    classes = materialize(each.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, tag: str = "") -> DataFrame:
+        made.append(materialize(df, tag) if tag else df)
+        return made[-1]
+
+    each = keep(described(docs, size), "sets")
+    classes = keep(each.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     rows = classes.where("r.doc_id is not null").select(F.col("r.doc_id").alias("node"), F.col("r.key").alias("key"), "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("t")).where("t > 1").select("band")
-    buckets = materialize(rows.join(shared, "band"), "buckets")
-    texts = texts_of(buckets.select("key").distinct(), docs)
+    buckets = keep(rows.join(shared, "band"), "buckets")
+    texts = keep(texts_of(buckets.select("key").distinct(), docs))
     release_shuffles(spark)
     state = {"edges": None, "tried": None}
 
@@ -271,8 +304,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         pairs = pairs.dropDuplicates(["p", "q"])
         if state["tried"] is not None:
             pairs = pairs.join(state["tried"], ["p", "q"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = materialize(linked(pairs.select("a", "na", "b", "nb"), texts, size, percent), "links")
+        pairs = keep(pairs, "pairs")
+        found = keep(linked(pairs.select("a", "na", "b", "nb"), texts, size, percent), "links")
         for name, new in (("tried", pairs.select("p", "q")), ("edges", found)):
             state[name] = new if state[name] is None else state[name].union(new)
         release_shuffles(spark)
@@ -283,32 +316,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     lead = own.groupBy("band").agg(F.min(F.struct("node", "key", "n", "component")).alias("l"))
     settle(own.join(lead.select("band", *[F.col(f"l.{k}").alias(v) for k, v in _LEADER.items()]), "band"))
     for turn in range(1, ROUNDS + 1):
-        labels = components(state["edges"])
+        labels = keep(components(state["edges"]))
         own = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         parts = own.groupBy("band", "component").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("x"), "node", "key", "n", "component")).alias("l"))
         per = parts.groupBy("band").agg(F.sum("size").alias("t"), F.sum(F.col("size") * F.col("size")).alias("q"), F.max(F.struct("size", F.xxhash64(F.lit(turn), "component"), "l")).alias("m")).where("t * t > q")
-        per = materialize(per.select("band", ((F.col("t") * F.col("t") - F.col("q")) / 2 > CROWD * F.col("t")).alias("crowded"), *[F.col(f"m.l.{k}").alias(v) for k, v in _LEADER.items()]), "open")
+        per = keep(per.select("band", ((F.col("t") * F.col("t") - F.col("q")) / 2 > CROWD * F.col("t")).alias("crowded"), *[F.col(f"m.l.{k}").alias(v) for k, v in _LEADER.items()]), "open")
         tried, hit = settle(own.join(per, "band"))
         if not tried or IDLE * hit < tried:
             if hit:
-                labels = components(state["edges"])
+                labels = keep(components(state["edges"]))
                 own = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             break
     lead = own.select("band", *[F.col(k).alias(v) for k, v in _LEADER.items()])
     sparse = own.join(per.where("not crowded").select("band"), "band").join(lead, "band").where(F.col("key") > F.col("a"))
-    crowd = materialize(own.join(per.where("crowded").select("band"), "band").select("key", "node", "n", "component").distinct(), "crowd")
+    crowd = keep(own.join(per.where("crowded").select("band"), "band").select("key", "node", "n", "component").distinct(), "crowd")
     columns = ["a", "na", "ln", "lc", "key", "node", "n", "component"]
-    settle(sparse.select(*columns).union(prefix_pairs(crowd, texts, size, percent).select(*columns)))
-    labels = components(state["edges"])
+    settle(sparse.select(*columns).union(prefix_pairs(crowd, texts, size, percent, keep).select(*columns)))
+    labels = keep(components(state["edges"]))
     named = classes.select("c1", "c2", F.col("r.doc_id").alias("node")).join(labels, "node", "left").select("c1", "c2", F.coalesce("component", "node").alias("class_id"))
     out = each.select("doc_id", "key", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
     component = F.coalesce(F.when(F.col("n") > 0, F.col("class_id")), F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"), "key")
+    result = materialize(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"), "key"), "duplicates")
+    discard(*made)
+    release_shuffles(spark)
+    return result
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, columns as they were; rows that equal the kept one in id and text are reduced to one."""
-    kept = near_duplicates(docs, size, percent).where("kept").select("key").distinct()
-    keyed = docs.withColumn("__key", row_key())
-    one = keyed.join(kept.select(F.col("key").alias("__key")), "__key", "left_semi").dropDuplicates(["__key"])
-    return one.select(*[keyed[c] for c in docs.columns])
+    (own,) = free_names(docs, "row_key")
+    kept = near_duplicates(docs, size, percent).where("kept").select(F.col("key").alias(own)).distinct()
+    return docs.withColumn(own, row_key()).join(kept, own, "left_semi").dropDuplicates([own]).drop(own)
