@@ -3,58 +3,20 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import discard, materialize, shared_dir, table  # noqa: F401  the operators take them from here
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: bytes.translate table that lower-cases A-Z and nothing else.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a temporary folder of this machine serves a local master, as in tests;
-    any other master is refused, since its executors could not see that folder.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
-        found = "file://" + tempfile.mkdtemp(prefix="swathly-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back. Survives lost executors, unlike cached blocks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/swathly-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*dfs: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more, once what was made from them is written."""
-    for df in dfs:
-        for f in df.inputFiles()[:1]:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
-            if "/swathly-" in path.toString():
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans whose results are already written.
 

@@ -22,8 +22,9 @@ to the empty text; ids may be null or repeat; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import zlib
+from array import array
+from bisect import insort
 
 import numpy as np
 import pyarrow as pa
@@ -78,39 +79,48 @@ class Lattice:
 
     # -- one segment, edge by edge -------------------------------------------------
 
-    def edges_from(self, s: str, at: int):
-        """(end, score, ids) of the edges that leave ``at``."""
+    def edges_into(self, s: str, end: int):
+        """(start, score, ids) of the edges that enter ``end``; a byte fallback comes last."""
         found = False
-        for end in range(at + 1, min(len(s), at + self.longest) + 1):
-            p = s[at:end]
+        for start in range(max(0, end - self.longest), end):
+            p = s[start:end]
             i = self.id_of.get(p)
             if i is not None:
-                found |= end == at + 1
-                yield end, self.score[p], (i,)
+                found |= start == end - 1
+                yield start, self.score[p], (i,)
         if not found:
-            raw = s[at].encode("utf-8", "surrogatepass")
-            yield at + 1, BYTE_SCORE * len(raw), tuple(self.byte_id[b] for b in raw)
+            raw = s[end - 1].encode("utf-8", "surrogatepass")
+            yield end - 1, BYTE_SCORE * len(raw), tuple(self.byte_id[b] for b in raw)
 
-    def forward(self, s: str) -> tuple[list[float], list[list]]:
-        """Best score of every prefix, and the edges that enter each position."""
-        best, into = [-np.inf] * (len(s) + 1), [[] for _ in range(len(s) + 1)]
+    def entering(self, s: str):
+        """A function from a place to the edges that enter it; those of a short segment are kept, others looked up each time."""
+        if len(s) <= LONG:
+            return [[], *(list(self.edges_into(s, end)) for end in range(1, len(s) + 1))].__getitem__
+        return lambda end: self.edges_into(s, end)
+
+    def forward(self, s: str, into) -> array:
+        """Best score of every prefix, eight bytes a character."""
+        best = array("d", [-np.inf]) * (len(s) + 1)
         best[0] = 0.0
-        for at in range(len(s)):
-            for end, score, ids in self.edges_from(s, at):
-                into[end].append((at, score, ids))
-                if best[at] + score > best[end]:
-                    best[end] = best[at] + score
-        return best, into
+        for end in range(1, len(s) + 1):
+            best[end] = max([best[start] + score for start, score, _ in into(end)])
+        return best
 
     def a_star(self, s: str, n: int) -> list[tuple[float, tuple]]:
-        """The n best segmentations (score, ids), best first; backward from the end, with the forward scores as exact heuristics."""
+        """The n best segmentations (score, ids), best first; backward from the end, with the forward scores as exact heuristics.
+
+        As heuristics are exact, every entry of the agenda has a completion of just its score; so
+        what is not among the n best entries cannot become one of the n best hypotheses, and the
+        agenda never needs more room, however long the segment is.
+        """
         if (got := self.memo.get(s)) is not None and len(got) >= n:
             return got[:n]
-        best, into = self.forward(s)
+        into = self.entering(s)
+        best = self.forward(s, into)
         # Equal scores: the hypothesis nearest to the start goes on first, so ties never widen the search.
         agenda, out, made = [(-best[len(s)], len(s), 0, 0.0, None)], [], 0
         while agenda and len(out) < n:
-            cost, at, _, tail, node = heapq.heappop(agenda)
+            cost, at, _, tail, node = agenda.pop(0)
             if at == 0:
                 ids: list[int] = []
                 while node:
@@ -118,9 +128,12 @@ class Lattice:
                     ids += own
                 out.append((-cost, tuple(ids)))
                 continue
-            for start, score, own in into[at]:
+            for start, score, own in into(at):
                 made += 1
-                heapq.heappush(agenda, (-(best[start] + score + tail), start, made, score + tail, (own, node)))
+                entry = (-(best[start] + score + tail), start, made, score + tail, (own, node))
+                if len(agenda) < n - len(out) or entry < agenda[-1]:
+                    insort(agenda, entry)
+                    del agenda[n - len(out) :]
         if len(s) <= LONG:
             if len(self.memo) > 50_000:
                 self.memo.clear()
@@ -128,20 +141,22 @@ class Lattice:
         return out[:n]
 
     def best_path(self, s: str) -> tuple[float, tuple, float]:
-        """Best score, its ids, and the smallest loss of another path, by the plain program."""
-        best, into = self.forward(s)
-        back = [-np.inf] * (len(s) + 1)
-        back[len(s)] = 0.0
-        for end in range(len(s), 0, -1):
-            for start, score, _ in into[end]:
-                back[start] = max(back[start], score + back[end])
-        at, ids, on = len(s), [], set()
+        """Best score, its ids, and the smallest loss of another path, by the plain program; memory as in ``forward``."""
+        into = self.entering(s)
+        best = self.forward(s, into)
+        at, ids, come = len(s), [], array("q", [-1]) * (len(s) + 1)  # come: where the best path's edge into a place begins
         while at:
-            start, score, own = min((e for e in into[at] if best[e[0]] + e[1] == best[at]), key=lambda e: e[0])
-            on.add((start, at))
+            start, score, own = min((e for e in into(at) if best[e[0]] + e[1] == best[at]), key=lambda e: e[0])
+            come[at] = start
             ids.append(own)
             at = start
-        other = max((best[a] + score + back[end] for end in range(len(s) + 1) for a, score, _ in into[end] if (a, end) not in on), default=-np.inf)
+        back = array("d", [-np.inf]) * (len(s) + 1)
+        back[len(s)], other = 0.0, -np.inf
+        for end in range(len(s), 0, -1):  # every edge that leaves ``end`` has been met already
+            for start, score, _ in into(end):
+                back[start] = max(back[start], score + back[end])
+                if come[end] != start:
+                    other = max(other, best[start] + score + back[end])
         return best[len(s)], tuple(i for own in reversed(ids) for i in own), best[len(s)] - other
 
     # -- many segments at once -----------------------------------------------------
