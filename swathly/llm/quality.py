@@ -1,22 +1,28 @@
 """Quality classifier: document evidence combined with host and path posteriors by hierarchical empirical Bayes.
 
 A logistic classifier over a text's shape gives each document a probability of good
-quality (its evidence). Grouped sums of the evidence give every path and host a Beta
-posterior: the global mean is the hosts' prior, a host's posterior mean is its paths'
-prior, and the prior strengths come from the spread between sites (method of moments).
-Sparse sites so shrink toward their parents. The document's posterior odds are its own
-odds times the path's odds relative to the global ones, tempered by ``SITE_WEIGHT``.
-
-Sums are of integers (millionths), so they do not depend on the order of rows. A hot host
-costs one row per task before the shuffle; the way back is an equi-join with one row per
-path, which Spark broadcasts only when it is small and otherwise splits by skew.
+quality (its evidence). Grouped sums of the evidence, its squares and counts describe every
+path and host. The levels shrink one into the next: the mean of all documents is the hosts'
+prior, a host's posterior the prior of its paths. How strongly comes from the data by the
+method of moments for unequal groups: the prior counts as many documents as the variance
+measured within sites is times the variance between them, so sites shrink wholly to their
+parent where they differ no more than chance. A document's own evidence is left out of its
+site's sums, since it counts for itself: its posterior odds are its own odds times the
+path's odds relative to those of all other documents, to the power ``SITE_WEIGHT``.
+
+Sums are of integers (millionths and their squares), so they do not depend on the order of
+rows. A hot host costs one row per task before the shuffle; the way back is an equi-join
+with one row per path, which Spark broadcasts only when it is small and otherwise splits by
+skew. Only single rows (sums over all sites) reach the driver.
 
 Training: at most ``SAMPLE`` labelled rows of at most ``LONGEST`` characters whose
 crc32(id) mod 3 is not 1, by a hash of the id.
 
 Defined cases: a null text counts as empty and gets the evidence of an empty text; a null
 host or path is a site of its own; ids may be null or repeat (rows are judged one by
-one); without labels the evidence is 0.5; other columns are ignored.
+one); a document alone at its site gets the parent's posterior, one alone in the corpus its
+own evidence; without labels the evidence is 0.5; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, materialize, slices
+from .common import UPPER, discard, materialize, slices
+from .urlfilter import host_of, path_of
 
 SAMPLE, LONGEST, HELD_OUT = 6_000, 20_000, 1
-SITE_WEIGHT, CUT = 0.5, 0.5
+SITE_WEIGHT, CUT = 1.0, 0.5
 UNIT = 1_000_000
 _RUN = re.compile(r"[^\w\s]{2,}")
 
@@ -124,44 +131,63 @@ def evidence(docs: DataFrame, model: Evidence, host: str, path: str) -> DataFram
     return docs.select("doc_id", site(host).alias("host"), site(path).alias("path"), "text").mapInArrow(work, "doc_id long, host string, path string, e long")
 
 
-def _strength(n_sites: int, between: float, mean: float) -> float:
-    """Prior pseudo-documents of a site: large where sites hardly differ, at least 2."""
-    if n_sites < 2 or between is None or between <= 0:
-        return 1e4
-    return float(min(max(mean * (1 - mean) / between - 1, 2.0), 1e4))
+def pages_as_documents(pages: DataFrame) -> DataFrame:
+    """doc_id, text, host, path of web pages: the text without scripts, styles and tags; the URL's host and the first part of its path."""
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
+    return pages.select(F.col("page_id").alias("doc_id"), bare.alias("text"), host_of(F.col("url")).alias("host"), F.regexp_extract(path_of(F.col("url")), r"^/?([^/]*)", 1).alias("path"))
+
+
+def between(groups: int, n: int, within: float, spread: float, balance: float) -> tuple[float, float]:
+    """Variance (within, between) of one level by the method of moments: ``within`` is the sum of squares inside groups, ``spread`` that of the groups' means about their parents', ``groups`` its degrees of freedom, ``balance`` what a unit of between-variance adds to it."""
+    inside = within / n if n > 0 else 0.0
+    outside = (spread - groups * inside) / balance if balance > 0 else 0.0
+    return inside, max(outside, 0.0)
+
+
+def strength(inside: float, outside: float) -> float | None:
+    """Prior documents of a site; None where sites do not differ beyond chance."""
+    return round(inside / outside, 9) if outside > 0 and inside / outside < 1e9 else None
+
+
+def levels(paths: DataFrame, hosts: DataFrame) -> tuple[int, int, float | None, float | None]:
+    """Documents and summed evidence of all, and the strengths of the priors of hosts and of paths, from single rows of sums over sites."""
+    f = lambda c: F.col(c).cast("double")
+    top = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.count("*").alias("k"), F.sum(f("hq") - f("hs") * f("hs") / f("hn")).alias("w"), F.sum(f("hn") * f("hn")).alias("nn")).first()
+    if not top.n:
+        return 0, 0, None, None
+    mean = top.s / top.n
+    spread = hosts.agg(F.sum(f("hn") * F.pow(f("hs") / f("hn") - mean, 2)).alias("v")).first().v
+    host = strength(*between(top.k - 1, top.n - top.k, top.w, spread, top.n - top.nn / top.n))
+    both = paths.join(hosts, "host")
+    got = both.agg(F.count("*").alias("k"), F.sum(f("q") - f("s") * f("s") / f("n")).alias("w"), F.sum(f("n") * F.pow(f("s") / f("n") - f("hs") / f("hn"), 2)).alias("v"), F.sum(f("n") * f("n") / f("hn")).alias("nn")).first()
+    return top.n, top.s, host, strength(*between(got.k - top.k, top.n - got.k, got.w, got.v, top.n - got.nn))
 
 
 def site_quality(docs: DataFrame, model: Evidence, host: str = "source", path: str = "lang") -> DataFrame:
-    """Per document: doc_id, evidence, host_posterior, path_posterior, quality, keep."""
+    """Per document: doc_id, evidence, host_posterior, path_posterior, quality, keep. The result is written."""
     each = materialize(evidence(docs, model, host, path), "evidence")
-    paths = materialize(each.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("e").alias("s")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    # The spread between sites, each weighed by its documents, less what chance alone gives: a single row, whatever the corpus.
-    of = lambda s, n: F.col(s) / F.col(n) / UNIT
-    top = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.count("*").alias("k")).first()
-    mean = top.s / top.n / UNIT if top.n else 0.5
-    if top.n:
-        inner = hosts.agg(F.sum(F.round(F.col("hn") * F.pow(of("hs", "hn") - mean, 2) * UNIT).cast("long")).alias("v")).first().v / UNIT / top.n
-        b_host = inner - mean * (1 - mean) * top.k / top.n
-        per = paths.join(hosts, "host")
-        got = per.agg(F.sum(F.round(F.col("n") * F.pow(of("s", "n") - of("hs", "hn"), 2) * UNIT).cast("long")).alias("v"), F.count("*").alias("k")).first()
-        b_path = got.v / UNIT / top.n - mean * (1 - mean) * got.k / top.n
-        strong_host, strong_path = _strength(top.k, b_host, mean), _strength(got.k - top.k + 1, b_path, mean)
-    else:
-        strong_host = strong_path = 1e4
-    host_post = (F.col("hs") / UNIT + strong_host * mean) / (F.col("hn") + strong_host)
-    path_post = (F.col("s") / UNIT + strong_path * F.col("host_posterior")) / (F.col("n") + strong_path)
-    sites = paths.join(hosts, "host").withColumn("host_posterior", host_post).withColumn("path_posterior", path_post)
-    odds = lambda p: F.log(p / (1 - p))
-    p = F.col("e") / UNIT
-    base = float(np.log(mean / (1 - mean))) if 0 < mean < 1 else 0.0
-    score = 1 / (1 + F.exp(-(odds(p) + SITE_WEIGHT * (odds(F.col("path_posterior")) - base))))
-    out = each.join(sites.select("host", "path", "host_posterior", "path_posterior"), ["host", "path"])
-    return out.select(
-        "doc_id",
-        F.round(p, 6).alias("evidence"),
-        F.round("host_posterior", 6).alias("host_posterior"),
-        F.round("path_posterior", 6).alias("path_posterior"),
-        F.round(score, 6).alias("quality"),
-        (score >= CUT).alias("keep"),
-    )
+    square = F.col("e").cast("decimal(38,0)") * F.col("e").cast("decimal(20,0)")
+    paths = materialize(each.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("e").alias("s"), F.sum(square.cast("decimal(38,0)")).alias("q")), "paths")
+    hosts = materialize(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq")), "hosts")
+    n, total, strong_host, strong_path = levels(paths, hosts)
+
+    def shrunk(total, count, strong, parent):
+        """The posterior mean of a site from the others' sum and number, and its parent's posterior."""
+        if strong is None:
+            return parent
+        return (total / UNIT + strong * parent) / (count + strong)
+
+    e = F.col("e")
+    p = e / UNIT
+    prior = (F.lit(total) - e) / UNIT / (n - 1) if n > 1 else p
+    host_post = shrunk(F.col("hs") - e, F.col("hn") - 1, strong_host, prior)
+    path_post = shrunk(F.col("s") - e, F.col("n") - 1, strong_path, F.col("host_posterior"))
+    off = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
+    odds = lambda c: F.log(off(c) / (1 - off(c)))
+    own = each.join(paths.join(hosts, "host").select("host", "path", "n", "s", "hn", "hs"), ["host", "path"])
+    own = own.withColumn("prior", prior).withColumn("host_posterior", host_post).withColumn("path_posterior", path_post)
+    score = F.round(1 / (1 + F.exp(-(odds(p) + SITE_WEIGHT * (odds(F.col("path_posterior")) - odds(F.col("prior")))))), 6)
+    out = own.select("doc_id", F.round(p, 6).alias("evidence"), F.round("host_posterior", 6).alias("host_posterior"), F.round("path_posterior", 6).alias("path_posterior"), score.alias("quality"), (score >= CUT).alias("keep"))
+    out = materialize(out, "quality")
+    discard(each, paths, hosts)
+    return out
