@@ -1,15 +1,21 @@
 """Media columns: audio features as fixed-shape tensors with time spans.
 
-A payload is stored losslessly as 8-bit mono PCM in a WAV container and read back from
-those bytes. Features come from the read-back samples: polyphase resampling by a
-rational factor, overlapped log-mel filterbanks, and energy segmentation with
-hysteresis. Log-mel frames are quantised to hundredths and cut into patches of
-``PATCH`` frames, each a fixed-shape tensor (PATCH, MELS) with its time span.
+Two tables are written, and each step reads what the one before has stored:
+
+* media: each payload losslessly as 8-bit mono PCM in a WAV container;
+* features, from the samples of the stored media: polyphase resampling by a rational
+  factor, overlapped log-mel filterbanks, and energy segmentation with hysteresis.
+  Log-mel frames are quantised to hundredths and cut into patches of ``PATCH`` frames.
+  A clip's patches are one Arrow stream in a binary column, where ``logmel`` has the type
+  fixed_shape_tensor(int16, [PATCH, MELS]) beside each patch's time span (Parquet has no
+  such type, and Spark's writer none for the stream: a lost executor leaves no half file).
+
+``digests`` describes both from the second table alone.
 
 Defined cases: a null or empty text becomes one block of 64 zero bytes; ids may be null
-or repeat; other columns are ignored. Frames are computed in blocks of ``BLOCK``, so a
-very long payload does not need memory in proportion beyond its samples. Each document
-is computed alone, hence equal texts get equal values.
+or repeat; an empty table gives no rows; other columns are ignored. Frames are computed in
+blocks of ``BLOCK``, so a very long payload does not need memory in proportion beyond its
+samples. Each document is computed alone, hence equal texts get equal values.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import materialize, slices
 
 RATE, UP, DOWN = 12_000, 2, 3
 OUT_RATE = RATE * UP // DOWN
@@ -122,14 +128,6 @@ def segments(level: np.ndarray, high: float = HIGH_DB, low: float = LOW_DB) -> n
     return np.flatnonzero(on[1:] != on[:-1]).reshape(-1, 2)
 
 
-def features(media: bytes) -> dict:
-    """All features of one stored clip."""
-    rate, data = from_wav(media)
-    x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
-    mels, level = log_mel(resample(x))
-    return {"rate": rate, "data": data, "mels": mels, "spans": segments(level - np.float32(level.mean(dtype=np.float64)))}
-
-
 def patches(mels: np.ndarray) -> np.ndarray:
     """(k, PATCH, MELS); the last patch is filled up with the smallest value."""
     n = -(-len(mels) // PATCH)
@@ -138,61 +136,117 @@ def patches(mels: np.ndarray) -> np.ndarray:
     return out.reshape(n, PATCH, MELS)
 
 
-def describe(f: dict) -> str:
-    mels, spans = f["mels"], f["spans"]
-    means = ",".join(str(int(v)) for v in np.rint(mels.mean(0, dtype=np.float64)))
-    digest = hashlib.sha256(patches(mels).astype("<i2").tobytes()).hexdigest()[:16]
-    return f"frames={len(mels)};mean={means};voiced={int((spans[:, 1] - spans[:, 0]).sum())};spans={len(spans)};tensor={digest}"
+def _ms(frame):
+    return frame * HOP * 1000 // OUT_RATE
 
 
-def audio_digests(docs: DataFrame) -> DataFrame:
-    """One row per document: what was stored, what was read back, and the features' digest."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+TENSOR = pa.fixed_shape_tensor(pa.int16(), (PATCH, MELS))
+STREAM = pa.schema([("patch", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("frames", pa.int32()), ("voiced_frames", pa.int32()), ("logmel", TENSOR)])
+
+
+def analyse(data: bytes) -> tuple[pa.RecordBatch, np.ndarray]:
+    """A clip's patches, as ``STREAM`` has them, and its energetic segments (frames, ends exclusive)."""
+    x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
+    mels, level = log_mel(resample(x))
+    spans = segments(level - np.float32(level.mean(dtype=np.float64)))
+    cut = patches(mels)
+    voiced = np.zeros(len(cut) * PATCH, np.int32)
+    for s, e in spans:
+        voiced[s:e] = 1
+    k = np.arange(len(cut))
+    own = np.minimum(len(mels) - k * PATCH, PATCH)
+    tensors = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(cut.reshape(-1)), PATCH * MELS))
+    columns = [pa.array(k, pa.int32()), pa.array(_ms(k * PATCH), pa.int64()), pa.array(_ms((k + 1) * PATCH), pa.int64()), pa.array(own, pa.int32()), pa.array(voiced.reshape(-1, PATCH).sum(1), pa.int32()), tensors]
+    return pa.RecordBatch.from_arrays(columns, schema=STREAM), spans
+
+
+def to_stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_stream(raw: bytes) -> pa.Table:
+    """The patches of a stored cell."""
+    return pa.ipc.open_stream(raw).read_all()
+
+
+def describe(clip: pa.Table, n_spans: int) -> str:
+    """The feature string, from stored tensors."""
+    frames = int(sum(clip.column("frames").to_pylist()))
+    cut = np.concatenate([c.to_numpy_ndarray() for c in clip.column("logmel").chunks])
+    means = ",".join(str(int(v)) for v in np.rint(cut.reshape(-1, MELS)[:frames].mean(0, dtype=np.float64)))
+    digest = hashlib.sha256(cut.astype("<i2").tobytes()).hexdigest()[:16]
+    return f"frames={frames};mean={means};voiced={sum(clip.column('voiced_frames').to_pylist())};spans={n_spans};tensor={digest}"
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+
+def store_media(docs: DataFrame) -> DataFrame:
+    """The written table of media: doc_id, n_bytes (of the text, before padding), media."""
 
     def work(batches):
         for b in slices(batches, 256):
-            rows = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                media = to_wav(payload_of(t))
-                f = features(media)
-                data = f["data"]
-                rows.append((i, len((t or "").encode("utf-8", "surrogatepass")), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(f)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+            texts = b.column("text").to_pylist()
+            media = [to_wav(payload_of(t)) for t in texts]
+            sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return materialize(docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_bytes long, media binary"), "media", "zstd")
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
 
+_ABOUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+_ABOUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
-def audio_tensors(docs: DataFrame) -> DataFrame:
-    """One row per patch: the media file's tensor of PATCH x MELS numbers, its time span, and how much of it is voiced."""
-    schema = "doc_id long, patch int, start_ms long, end_ms long, voiced_frames int, logmel array<short>"
+
+def store_features(media: DataFrame) -> DataFrame:
+    """The written table of features of a table of media: what was read (sizes and digests), spans (start_ms, end_ms of the energetic segments), patches (an Arrow stream, see ``from_stream``)."""
+    names = [f.split()[0] for f in _ABOUT.split(", ")] + ["spans", "patches"]
+    types = [*_ABOUT_TYPES, pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])), pa.binary()]
 
     def work(batches):
         for b in slices(batches, 64):
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                f = features(to_wav(payload_of(t)))
-                voiced = np.zeros(len(patches(f["mels"])) * PATCH, bool)
-                for s, e in f["spans"]:
-                    voiced[s:e] = True
-                cut = patches(f["mels"])
-                for at in range(0, len(cut), 1024):
-                    part = cut[at : at + 1024]
-                    k = np.arange(at, at + len(part))
-                    ms = lambda frame: frame * HOP * 1000 // OUT_RATE
-                    flat = pa.array(part.reshape(-1))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([i] * len(part), pa.int64()), pa.array(k, pa.int32()), pa.array(ms(k * PATCH), pa.int64()), pa.array(ms((k + 1) * PATCH), pa.int64()), pa.array(voiced.reshape(-1, PATCH)[k].sum(1), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * PATCH * MELS, pa.int32()), flat)],
-                        names=["doc_id", "patch", "start_ms", "end_ms", "voiced_frames", "logmel"],
-                    )
-
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
-
-
-def tensor_table(rows: pa.Table) -> pa.Table:
-    """The ``logmel`` lists of ``audio_tensors`` as an Arrow fixed-shape tensor column, for writing or training."""
-    flat = rows.column("logmel").combine_chunks().flatten().cast(pa.int16())
-    storage = pa.FixedSizeListArray.from_arrays(flat, PATCH * MELS)
-    column = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.int16(), (PATCH, MELS)), storage)
-    return rows.set_column(rows.schema.get_field_index("logmel"), "logmel", column)
+            rows = []
+            for i, n, raw in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media").to_pylist(), strict=True):
+                _, data = from_wav(raw)
+                clip, spans = analyse(data)
+                rows.append((i, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), [{"start_ms": int(_ms(s)), "end_ms": int(_ms(e))} for s, e in spans], to_stream(clip)))
+            yield _batch(rows, names, types)
+
+    schema = f"{_ABOUT}, spans array<struct<start_ms: long, end_ms: long>>, patches binary"
+    return materialize(media.select("doc_id", "n_bytes", "media").mapInArrow(work, schema), "features", "zstd")
+
+
+def digests(features: DataFrame) -> DataFrame:
+    """One row per clip of a table of features: its sizes and digests, and its feature string, worked out from the stored tensors."""
+    about = [f.split()[0] for f in _ABOUT.split(", ")]
+
+    def work(batches):
+        for b in slices(batches, 256):
+            own = [describe(from_stream(raw), len(spans)) for raw, spans in zip(b.column("patches").to_pylist(), b.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in about], pa.array(own, pa.string())], names=[*about, "feature"])
+
+    return features.select(*about, "spans", "patches").mapInArrow(work, f"{_ABOUT}, feature string")
+
+
+def audio_digests(docs: DataFrame) -> DataFrame:
+    """Media and features of a table of documents, stored and read back: ``digests`` of them."""
+    return digests(store_features(store_media(docs)))
+
+
+def audio_patches(features: DataFrame) -> DataFrame:
+    """One row per patch of a table of features: doc_id, patch, start_ms, end_ms, frames, voiced_frames, logmel (PATCH x MELS numbers, row by row)."""
+
+    def work(batches):
+        for b in slices(batches, 16):
+            for i, raw in zip(b.column("doc_id").to_pylist(), b.column("patches").to_pylist(), strict=True):
+                for clip in from_stream(raw).to_batches(max_chunksize=1024):
+                    cut = clip.column("logmel").to_numpy_ndarray().reshape(-1)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(clip.num_rows + 1) * PATCH * MELS, pa.int32()), pa.array(cut))
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * clip.num_rows, pa.int64()), *[clip.column(c) for c in STREAM.names[:-1]], lists], names=["doc_id", *STREAM.names])
+
+    return features.select("doc_id", "patches").mapInArrow(work, "doc_id long, patch int, start_ms long, end_ms long, frames int, voiced_frames int, logmel array<short>")
