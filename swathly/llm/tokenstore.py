@@ -1,7 +1,7 @@
 """Token-ID output: one wavelet-matrix file per shard, with access, rank and select on compressed planes.
 
-Documents are dealt by ranges of (id, hash of the text) and encoded in that order; each
-gets an end id. A shard holds the ids of whole documents, at least ``SHARD`` of them
+Documents are dealt by ranges of (id, hash of the text) and encoded in that order, equal
+rows to several ranges where they are many; each gets an end id. A shard holds the ids of whole documents, at least ``SHARD`` of them
 where there are as many. Its file has a header (document ids and lengths, zeros of each
 plane, offsets of blocks and the ones before each) and, per bit of an id from the highest,
 a plane of bits in the order of the planes above (zeros first), cut into blocks of
@@ -327,7 +327,9 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard: int = SHA
         if ids:
             yield close()
 
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
+    # The row number only spreads equal rows, whose order does not matter, over more than one range.
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("r"))
+    ordered = own.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h", "r").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
     return materialize(ordered.select("doc_id", "text").mapInArrow(work, schema), "shards")
 
 
