@@ -226,18 +226,112 @@ def test_mask_keeps_rows_and_columns(odd, empty):
 # -- 2 quality ---------------------------------------------------------------------
 
 
-def test_quality(spark, docs, odd, empty):
+def posteriors(rows):
+    """The docstring's rules, document by document: rows of (id, e in millionths, host, path); gives (id, evidence, host, path, quality, keep)."""
+    n, total = len(rows), sum(e for _, e, *_ in rows)
+
+    def level(group_of, parent_of):
+        groups = {}
+        for r in rows:
+            groups.setdefault(group_of(r), []).append(r[1])
+        parents = {}
+        for r in rows:
+            parents.setdefault(parent_of(r), []).append(r[1])
+        parent = {group_of(r): parent_of(r) for r in rows}
+        mean = lambda x: sum(x) / len(x)
+        within = sum((e - mean(g)) ** 2 for g in groups.values() for e in g)
+        spread = sum(len(g) * (mean(g) - mean(parents[parent[k]])) ** 2 for k, g in groups.items())
+        balance = n - sum(len(g) ** 2 / len(parents[parent[k]]) for k, g in groups.items())
+        inside = within / (n - len(groups)) if n > len(groups) else 0.0
+        outside = (spread - (len(groups) - len(parents)) * inside) / balance if balance > 1e-9 else 0.0
+        return groups, (inside / outside if outside > 0 and inside / outside < 1e9 else None)
+
+    hosts, kh = level(lambda r: r[2], lambda r: 0)
+    paths, kp = level(lambda r: (r[2], r[3]), lambda r: r[2])
+    out = []
+    for i, e, h, q in rows:
+        prior = (total - e) / (n - 1) if n > 1 else e
+        host = prior if kh is None else (sum(hosts[h]) - e + kh * prior) / (len(hosts[h]) - 1 + kh)
+        path = host if kp is None else (sum(paths[h, q]) - e + kp * host) / (len(paths[h, q]) - 1 + kp)
+        odds = lambda x: np.log(min(max(x / 1e6, 1e-6), 1 - 1e-6) / (1 - min(max(x / 1e6, 1e-6), 1 - 1e-6)))
+        z = 1 / (1 + np.exp(-(odds(e) + odds(path) - odds(prior))))
+        out.append((i, e / 1e6, host / 1e6, path / 1e6, z, z >= 0.5))
+    return out, kh, kp
+
+
+def sites(seed=3):
+    """Dense and sparse hosts of unlike quality, with unlike paths; null host and path."""
+    rng, rows = random.Random(seed), []
+    for host, size, level in [("good.org", 300, 0.8), ("bad.net", 200, 0.25), ("mixed.com", 200, 0.5), *[(f"s{k}.net", 2, 0.5) for k in range(30)], (None, 3, 0.4), ("one.net", 1, 0.5)]:
+        for _ in range(size):
+            path = rng.choice(["a", "b", None])
+            rows.append((len(rows), f"{min(max(rng.gauss(level + (0.15 if path == 'a' else -0.1), 0.2), 0.01), 0.99):.6f}", host, path))
+    return rows
+
+
+def test_quality_equals_brute_force(spark, docs, monkeypatch):
+    """Every column, on made sites and on the documents; a method that did nothing, or counted a document twice, would fail."""
+    made, judged = sites(), quality.evidence
+
+    def said(df, m, host, path):
+        """Without a model the evidence is the text read as a number."""
+        if m is not None:
+            return judged(df, m, host, path)
+        name = "coalesce('=' || {0}, '') AS {0}"
+        return df.selectExpr("doc_id", name.format("host"), name.format("path"), "cast(round(cast(text AS double) * 1e6) AS bigint) AS e")
+
+    monkeypatch.setattr(quality, "evidence", said)
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    cases = [
+        (spark.createDataFrame(made, "doc_id long, text string, host string, path string"), None, "host", "path"),
+        (docs, model, "source", "lang"),
+        (docs.limit(1), model, "source", "lang"),
+    ]
+    for df, m, host, path in cases:
+        rows = [(r.doc_id, r.e, r.host, r.path) for r in quality.evidence(df, m, host, path).collect()]
+        want, kh, kp = posteriors(rows)
+        got = {r.doc_id: r for r in quality.site_quality(df, m, host, path).collect()}
+        assert len(got) == len(rows)
+        for i, e, h, p, z, keep in want:
+            r = got[i]
+            assert (r.evidence, r.host_posterior, r.path_posterior, r.quality) == pytest.approx((e, h, p, z), abs=2e-6), i
+            assert r.keep == keep or abs(z - 0.5) < 1e-5
+        if df.columns[-1] == "path":
+            assert kh and kp and kh < 10
+            changed = [i for i, e, _, _, z, keep in want if keep != (e >= 0.5)]
+            assert len(changed) > 20  # sites change decisions
+            # Dense sites stand by their own mean, sparse ones near the prior.
+            by = {}
+            for i, _, h, _ in made:
+                by.setdefault(h, []).append(got[i])
+            prior = sum(float(t) for _, t, *_ in made) / len(made)
+            assert abs(by["bad.net"][0].host_posterior - prior) > 0.2
+            assert abs(by["one.net"][0].host_posterior - prior) < 0.01
+            assert np.mean([abs(by[f"s{k}.net"][0].host_posterior - prior) for k in range(30)]) < 0.15
+
+
+def test_quality_of_pages(spark, docs):
+    """Hosts and paths of real URLs, dense and sparse ones."""
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    each = quality.evidence(docs, model, "source", "lang").toPandas()
-    got = quality.site_quality(docs, model).toPandas()
-    assert len(got) == docs.count()
-    mean = each.e.sum() / len(each) / 1e6
-    # A site's posterior lies between its own mean and its parent's.
-    site = docs.select("doc_id", "source").toPandas().merge(got, on="doc_id")
-    raw = site.groupby("source").evidence.mean()
-    for s, g in site.groupby("source"):
-        assert min(raw[s], mean) - 1e-6 <= g.host_posterior.iloc[0] <= max(raw[s], mean) + 1e-6
-    assert quality.site_quality(odd, model).count() == odd.count()
+    pages = quality.pages_as_documents(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    rows = [(r.doc_id, r.e, r.host, r.path) for r in quality.evidence(pages, model, "host", "path").collect()]
+    sizes = Counter(h for _, _, h, _ in rows)
+    assert max(sizes.values()) >= 10 and min(sizes.values()) == 1 and {p for *_, p in rows} >= {"=en", "=fr"}
+    want, *_ = posteriors(rows)
+    got = {r.doc_id: r for r in quality.site_quality(pages, model, "host", "path").collect()}
+    assert all((got[i].host_posterior, got[i].path_posterior, got[i].quality) == pytest.approx((h, p, z), abs=2e-6) for i, _, h, p, z, _ in want)
+    odd = spark.createDataFrame([(1, None, None), (None, "http://A.org/x/y", "<p>a<script>b</script>c"), (2, "nothing", "")], "page_id long, url string, html string")
+    assert [(r.doc_id, r.text, r.host, r.path) for r in quality.pages_as_documents(odd).collect()] == [(1, None, "", ""), (None, " a c", "a.org", "x"), (2, "", "", "")]
+
+
+def test_quality_cases(spark, docs, odd, empty):
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = quality.site_quality(odd, model, "host", "path")
+    assert got.count() == odd.count() and got.columns == ["doc_id", "evidence", "host_posterior", "path_posterior", "quality", "keep"]
+    rows = [(None, r.e, r.host, r.path) for r in quality.evidence(odd, model, "lang", "source").collect()]
+    assert {h for _, _, h, _ in rows} == {"=en", ""}
+    want = sorted(round(z, 4) for *_, z, _ in posteriors(rows)[0])
+    assert sorted(round(r.quality, 4) for r in quality.site_quality(odd, model, "lang", "source").collect()) == pytest.approx(want, abs=2e-4)
     assert quality.site_quality(empty, model).count() == 0
     assert quality.train([], []).probabilities(["x"]).tolist() == [0.5]
 
@@ -355,12 +449,78 @@ def test_resampler_and_segments():
     assert abs(centre[int(m.mean(0).argmax())] - 1000) < 200
 
 
-def test_audio_tensors(spark, docs):
-    import pyarrow as pa
-
-    rows = audio.audio_tensors(docs.limit(3))
-    t = audio.tensor_table(pa.Table.from_pylist([r.asDict() for r in rows.collect()]))
-    assert t.schema.field("logmel").type.shape == [audio.PATCH, audio.MELS] and t.num_rows == rows.count()
+def naive_features(data: bytes):
+    """Log-mel frames (in hundredths) and segments by plain loops over the definition: filter the zero-stuffed signal, keep every third sample, one frame at a time."""
+    x = (np.frombuffer(data, np.uint8).astype(np.float64) - 128) / 128
+    half = 24
+    taps = np.sinc(np.arange(-half, half + 1) / 3) * np.hanning(2 * half + 3)[1:-1]
+    taps *= 2 / taps.sum()
+    stuffed = np.zeros(2 * len(x))
+    stuffed[::2] = x
+    y = np.convolve(stuffed, taps)[half : half + len(stuffed)][::3]
+    n = max(1, -(-max(len(y) - 256, 0) // 128) + 1)
+    y = np.concatenate([y, np.zeros((n - 1) * 128 + 256 - len(y))])
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(2595 * np.log10(1 + 40 / 700), 2595 * np.log10(1 + 4000 / 700), 22)]
+    mels, level = np.zeros((n, 20)), np.zeros(n)
+    for k in range(n):
+        frame = y[128 * k : 128 * k + 256]
+        power = np.abs(np.fft.fft(frame * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 256)))[:129]) ** 2
+        for m in range(20):
+            total = 0.0
+            for j in range(129):
+                f = j * 8000 / 256
+                total += power[j] * max(0.0, min((f - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - f) / (edges[m + 2] - edges[m + 1])))
+            mels[k, m] = 100 * np.log10(total + 1e-6)
+        level[k] = 10 * np.log10((frame**2).mean() + 1e-8)
+    spans, on = [], False
+    for k, v in enumerate(level - level.mean()):
+        if not on and v >= 3:
+            on, begin = True, k
+        elif on and v < -1:
+            on = False
+            spans.append([begin, k])
+    return mels, spans + ([[begin, n]] if on else [])
+
+
+def test_audio_equals_naive(spark, docs):
+    rows = [r for r in docs.collect() if len(r.text or "") < 3000][:12]
+    df = spark.createDataFrame([tuple(r) for r in rows] + [(9001, "x", "", "", 0), (9002, None, "", "", 0), (9003, "\x00" * 900 + "~" * 500 + "\x00" * 900, "", "", 0)], DOCS)
+    stored = audio.store_features(audio.store_media(df))
+    cells = {r.doc_id: r for r in stored.collect()}
+    digests = {r.doc_id: r for r in audio.digests(stored).collect()}
+    for r in df.collect():
+        mels, spans = naive_features(audio.payload_of(r.text))
+        clip = audio.from_stream(bytes(cells[r.doc_id].patches))
+        assert clip.schema.field("logmel").type == audio.TENSOR and clip.schema.field("logmel").type.shape == [audio.PATCH, audio.MELS]
+        got = np.concatenate([c.to_numpy_ndarray() for c in clip.column("logmel").chunks]).reshape(-1, audio.MELS)
+        assert sum(clip.column("frames").to_pylist()) == len(mels) and len(got) == -(-len(mels) // audio.PATCH) * audio.PATCH
+        assert np.abs(got[: len(mels)] - mels).max() <= 1.5 and (got[len(mels) :] == -600).all()
+        assert [(s.start_ms, s.end_ms) for s in cells[r.doc_id].spans] == [(s * 16, e * 16) for s, e in spans]
+        assert clip.column("start_ms").to_pylist() == [k * 32 * 16 for k in range(clip.num_rows)] and clip.column("end_ms").to_pylist() == [(k + 1) * 32 * 16 for k in range(clip.num_rows)]
+        feature = dict(x.split("=") for x in digests[r.doc_id].feature.split(";"))
+        assert int(feature["frames"]) == len(mels) and int(feature["spans"]) == len(spans) and int(feature["voiced"]) == sum(e - s for s, e in spans)
+        assert feature["tensor"] == hashlib.sha256(got.astype("<i2").tobytes()).hexdigest()[:16]
+        assert np.abs(np.array(feature["mean"].split(","), float) - mels.mean(0)).max() <= 1
+
+
+def test_audio_query_reads_what_was_stored(spark, docs):
+    """Digests and features follow the stored tables: a changed medium, or a changed tensor, shows."""
+    from pyspark.sql import functions as F
+
+    media = audio.store_media(docs.limit(2))
+    assert {bytes(r.media[:4]) for r in media.collect()} == {b"RIFF"}
+    other = media.withColumn("media", F.when(F.col("doc_id") == media.first().doc_id, F.lit(audio.to_wav(b"~" * 640))).otherwise(F.col("media")))
+    changed = media.first().doc_id
+    a, b = ({r.doc_id: r for r in audio.digests(audio.store_features(m)).collect()} for m in (media, other))
+    assert b[changed].payload_sha256 == hashlib.sha256(b"~" * 640).hexdigest() and all(a[i] == b[i] for i in a if i != changed) and a[changed].feature != b[changed].feature
+    stored = audio.store_features(media)
+    cell = stored.where(F.col("doc_id") == changed).first()
+    clip, _ = audio.analyse(b"~" * 6400)
+    forged = stored.withColumn("patches", F.when(F.col("doc_id") == changed, F.lit(audio.to_stream(clip))).otherwise(F.col("patches")))
+    got = {r.doc_id: r.feature for r in audio.digests(forged).collect()}
+    assert got[changed] == audio.describe(audio.from_stream(audio.to_stream(clip)), len(cell.spans)) != a[changed].feature
+    rows = audio.audio_patches(stored).collect()
+    assert Counter(r.doc_id for r in rows) == Counter({r.doc_id: audio.from_stream(bytes(r.patches)).num_rows for r in stored.collect()}) and all(len(r.logmel) == audio.PATCH * audio.MELS for r in rows)
 
 
 # -- 6 toxicity --------------------------------------------------------------------
@@ -375,6 +535,76 @@ def test_toxicity_held_out(spark):
     assert (got.predicted == (got.score >= 0.7)).all() and got.score.between(0, 1).all()
 
 
+def naive_score(m, text):
+    """The model's definition by loops: every window of every filter, one at a time, over the whole text."""
+    words = re.findall(r"\w+", text.lower())
+    x = [sum(m.table[m.row_of.get(b, 0)].astype(float) for b in toxicity._rows(w)) for w in words]
+    best = []
+    for width, f, wide in [*((w, f, False) for w, f in zip(toxicity.WIDTHS, m.filters, strict=False)), *((w, f, True) for w, f in zip(toxicity.WIDE, m.filters[len(toxicity.WIDTHS) :], strict=True))]:
+        for k in range(toxicity.FILTERS):
+            sums = []
+            for at in range(max(len(words), 1) + 0):
+                own = x[at : at + width]
+                sums.append(sum((row * f[0 if wide else j, :, k]).sum() for j, row in enumerate(own)))
+            b = m.bias[len(best)]
+            best.append(max([s + b for s in sums] + [b, 0.0]))
+    langs = Counter(g for w in words for g, ws in toxicity.FUNCTION_WORDS.items() if w in ws.split())
+    lang = max(toxicity.FUNCTION_WORDS, key=lambda g: langs[g]) if langs else "other"
+    raw = float(np.dot(best, m.out[:-1]) + m.out[-1])
+    at, scale = m.shift[lang]
+    return 1 / (1 + np.exp(-np.clip((raw - at) * scale + np.log(0.7 / 0.3), -30, 30)))
+
+
+def test_toxicity_equals_naive_convolution(spark, docs):
+    """Scores and decisions of the query against windows taken one by one."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [r for r in docs.collect() if len(r.text or "") < 1500][:25] + [(9001, "", "", "", 0), (9002, None, "", "", 0), (9003, "le la une", "", "", 0)]
+    df = spark.createDataFrame([tuple(r) for r in rows], DOCS)
+    for r in toxicity.toxicity(df, model).join(df, "doc_id").collect():
+        want = naive_score(model, r.text or "")
+        assert r.score == pytest.approx(want, abs=1e-4) and (r.predicted == (want >= 0.7) or abs(want - 0.7) < 1e-4)
+
+
+def test_training_filters_adds_something(monkeypatch):
+    """Two words side by side are toxic, either of them apart is not: filters over places learn it, the starting weights of single words don't."""
+
+    def made(seed, n):
+        rng, out = random.Random(seed), []
+        for i in range(n):
+            w = [f"w{rng.randrange(300)}" for _ in range(14)]
+            if i % 2:
+                w[5:5] = ["vile", "thing"]
+            else:
+                w[11:11] = ["thing"] * (rng.random() < 0.5)
+                w[2:2] = ["vile"] * (rng.random() < 0.5)
+            out.append(" ".join(w))
+        return out, [i % 2 for i in range(n)]
+
+    train, (texts, labels) = made(1, 1500), made(2, 400)
+
+    def ranked():
+        raw, y = toxicity.train(*train, list(range(1500))).logits(texts)[0], np.array(labels)
+        p, n = raw[y == 1][:, None], raw[y == 0][None]
+        return (p > n).mean() + 0.5 * (p == n).mean()
+
+    trained = ranked()
+    monkeypatch.setattr(toxicity, "EPOCHS", 0)
+    assert trained > ranked() + 0.05
+
+
+def test_calibration_rows_stay_out_of_the_weights():
+    """Changing the labels of the rows kept back changes thresholds only."""
+    rng = random.Random(2)
+    ids = list(range(200))
+    back = [zlib.crc32(b"c" + str(i).encode()) % 5 == 0 for i in ids]
+    labels = [i % 2 for i in ids]
+    texts = [f"{'vile' if y else 'kind'} {' '.join('w%d' % rng.randrange(5000) for _ in range(12))}" for y in labels]
+    a = toxicity.train(texts, labels, ids)
+    b = toxicity.train(texts, [1 - y if k and i % 3 else y for i, y, k in zip(ids, labels, back, strict=True)], ids)
+    assert a.row_of == b.row_of and (a.table == b.table).all() and (a.out == b.out).all() and all((x == y).all() for x, y in zip(a.filters, b.filters, strict=True))
+    assert a.shift != b.shift
+
+
 def test_toxicity_cases(spark, docs, odd, empty):
     model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     got = toxicity.toxicity(odd, model).collect()
@@ -497,10 +727,53 @@ def lattice():
     return nbest.Lattice(nbest.default_model())
 
 
+def first_edges(lattice, s):
+    """(end, score, ids) of the pieces that a text can begin with; bytes where its first character is no piece."""
+    found = [(k, lattice.score[s[:k]], (lattice.id_of[s[:k]],)) for k in range(1, len(s) + 1) if s[:k] in lattice.id_of]
+    if not found or found[0][0] > 1:
+        raw = s[0].encode("utf-8", "surrogatepass")
+        found.append((1, nbest.BYTE_SCORE * len(raw), tuple(lattice.byte_id[b] for b in raw)))
+    return found
+
+
 def all_paths(lattice, s):
     if not s:
         return [(0.0, ())]
-    return [(score + a, ids + b) for end, score, ids in lattice.edges_from(s, 0) for a, b in all_paths(lattice, s[end:])]
+    return [(score + a, ids + b) for end, score, ids in first_edges(lattice, s) for a, b in all_paths(lattice, s[end:])]
+
+
+def test_nbest_table_equals_enumeration(spark, lattice):
+    """Every column of the query against all paths of each text."""
+    texts = [None, "", " ", "the cat sat", "Hello  ☃x", "▁ab  c ", "émen été", "aaaaaaa", "\n\n", "x", "not here", "the the", "中文字", "x" * 9]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOCS)
+    n = 0
+    for r in nbest.nbest_digests(df).collect():
+        t = texts[r.doc_id] or ""
+        paths = sorted(all_paths(lattice, nbest.BLANK + t.replace(" ", nbest.BLANK)), key=lambda x: -x[0]) if t else [(0.0, ())]
+        n += 1
+        assert [round(x, 6) for x in r.nbest_scores] == [round(x, 6) for x, _ in paths[:4]] and r.best_score == r.nbest_scores[0]
+        by_crc = {zlib.crc32(np.array(i, "<u4").tobytes()): (round(x, 6), len(i)) for x, i in paths}
+        assert len(set(r.nbest_crc32)) == len(r.nbest_crc32) and [by_crc[c][0] for c in r.nbest_crc32] == [round(x, 6) for x in r.nbest_scores]
+        assert r.n_pieces == by_crc[r.nbest_crc32[0]][1] and r.exact
+        assert r.decoded_sha256 == hashlib.sha256(t.replace(nbest.BLANK, " ").encode()).hexdigest()
+    assert n == len(texts)
+
+
+def test_long_segment_needs_bounded_memory(lattice):
+    import tracemalloc
+
+    unit = max((p for p in lattice.id_of if p.isalpha() and p.isascii()), key=lambda p: (len(p) < 5, len(p), p))
+    text = next(t for t in ("a" * 30_000, unit * 8_000) if len(lattice.cut(t)) == 1)
+    short = text[:40]
+    want = sorted((x for x, _ in all_paths(lattice, nbest.BLANK + short[:12])), reverse=True)[:4]
+    assert [x for x, _ in lattice.a_star(nbest.BLANK + short[:12], 4)] == want
+    tracemalloc.start()
+    got = lattice.encode(text, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 * len(text)
+    assert len({tuple(i) for _, i in got}) == 4 and [x for x, _ in got] == sorted((x for x, _ in got), reverse=True)
+    assert all(lattice.decode(i) == text for _, i in got)
 
 
 @pytest.mark.parametrize("text", ["the cat", "Hello  ☃x", "▁ab  c ", "émen été", "aaaa", "\n\n", "x"])
