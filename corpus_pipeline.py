@@ -13,12 +13,10 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from swathly.llm import decontam, nbest, neardup, secrets, toxicity
-from swathly.llm.common import shared_dir, table
+from swathly.llm.common import discard, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,17 +47,15 @@ STAGES = [
     ("sentencepiece", segment),
 ]
 
-#: The classifier's weights and the lattice search are beyond SQL; tests compare each stage with a brute-force version.
+#: The classifier's weights and the lattice search are beyond SQL; tests compare each stage with a brute-force version (the classifier's with windows taken one by one).
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over ``documents``; what each returns is written to the shared folder."""
+    """The stages one after another over ``documents``; what each returns is written to the shared folder, and deleted once the next stage is written, too."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = f"{base}/{name}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    for k, (name, stage) in enumerate(STAGES):
+        last, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(last)
     return docs
