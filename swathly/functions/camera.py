@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,9 +40,11 @@ def undistort(x, y, d: Distortion, steps: int = 10, tol: float = 1e-8) -> Vec:
 
 
 def project(p: Vec, fx: float, fy: float, cx: float, cy: float, d: Distortion = NONE) -> dict[str, Column]:
-    """u, v and valid (in front of the camera) of a point in camera coordinates; null behind it."""
+    """u, v and valid (in front of the camera) of a point in camera coordinates; null behind it and in its plane."""
     front = p[2] > 0
-    xd, yd = distort(p[0] / p[2], p[1] / p[2], d)
+    xd, yd = F.try_divide(p[0], p[2]), F.try_divide(p[1], p[2])
+    if any(d):
+        xd, yd = distort(xd, yd, d)
     return {"u": F.when(front, fx * xd + cx), "v": F.when(front, fy * yd + cy), "valid": front}
 
 
@@ -51,10 +55,12 @@ def in_image(u, v, width: int, height: int) -> Column:
 
 
 def projection_jacobian(p: Vec, fx: float, fy: float) -> Mat:
-    """Derivatives of u and v by the camera coordinates, without distortion."""
+    """Derivatives of u and v by the camera coordinates, without distortion; zeros at and behind the camera."""
     x, y, z = p
-    o = F.lit(0.0)
-    return [[fx / z, o, -fx * x / (z * z)], [o, fy / z, -fy * y / (z * z)]]
+    o, front = F.lit(0.0), z > 0
+    safe = F.when(front, z).otherwise(1.0)
+    of = lambda c: F.when(front, c).otherwise(0.0)
+    return [[of(fx / safe), o, of(-fx * x / (safe * safe))], [o, of(fy / safe), of(-fy * y / (safe * safe))]]
 
 
 def reprojection_error(u, v, pu, pv) -> Column:
@@ -89,9 +95,35 @@ def angle_pixel(theta, focal: float, centre: float) -> Column:
     return focal * F.tan(col(theta)) + centre
 
 
-def interpolate(x, xs: list[float], ys: list[float]) -> Column:
-    """Piecewise linear through a short table of rising xs, constant beyond its ends; one expression per row."""
+def distort_line(x: Column, y: Column, k1: float, k2: float, p1: float, p2: float) -> Column:
+    """Across-track coordinate only, for a line of pixels: two radial terms."""
+    r2 = x * x + y * y
+    return x * (1 + k1 * r2 + k2 * r2 * r2) + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)
+
+
+def distort_swapped(x: Column, y: Column, k1: float, k2: float, p1: float, p2: float) -> Vec:
+    """The same with both coordinates and the tangential terms exchanged, as another writer of parameters has them."""
+    return distort(x, y, (k1, k2, 0.0, p2, p1))
+
+
+def project_angles(across_deg, along_deg, f: float, cx: float, cy: float, d: Distortion) -> Vec:
+    """u, v of a direction given by its two angles, through the full lens model."""
+    xd, yd = distort(F.tan(F.radians(col(across_deg))), F.tan(F.radians(col(along_deg))), d)
+    return [f * xd + cx, f * yd + cy]
+
+
+def interpolate(x, xs: list[float], ys: list[float], outside: str | float = "clamp") -> Column:
+    """Piecewise linear through a short table of rising xs; one expression per row.
+
+    Beyond its ends: constant ('clamp'), along the last piece ('extrapolate'), or a number.
+    """
     x = col(x)
+    if outside != "clamp":
+        inner = interpolate(x, xs, ys)
+        if outside != "extrapolate":
+            return F.when(x.isNull(), None).when((x < xs[0]) | (x > xs[-1]), float(outside)).otherwise(inner)
+        line = lambda k: float(ys[k]) + (x - float(xs[k])) * (float(ys[k + 1] - ys[k]) / float(xs[k + 1] - xs[k]))
+        return F.when(x < xs[0], line(0)).when(x > xs[-1], line(len(xs) - 2)).otherwise(inner)
     pairs = F.array(*[F.struct(F.lit(float(a)).alias("x0"), F.lit(float(b)).alias("x1"), F.lit(float(c)).alias("y0"), F.lit(float(d)).alias("y1")) for a, b, c, d in zip(xs, xs[1:], ys, ys[1:], strict=False)])
     at = F.element_at(F.filter(pairs, lambda s: x <= s["x1"]), 1)
     t = (x - at["x0"]) / (at["x1"] - at["x0"])
@@ -101,19 +133,133 @@ def interpolate(x, xs: list[float], ys: list[float]) -> Column:
 def table_pixel(theta_deg, table: list[float]) -> dict[str, Column]:
     """Pixel of an across-track angle by the table of pixel angles, and whether the angle itself is in the field of view."""
     theta = col(theta_deg)
-    return {"u": interpolate(theta, table, [float(i) for i in range(len(table))]), "in_fov": F.coalesce((theta >= table[0]) & (theta <= table[-1]), F.lit(False))}
+    return {"u": interpolate(theta, list(table), [float(i) for i in range(len(table))]), "in_fov": F.coalesce((theta >= table[0]) & (theta <= table[-1]), F.lit(False))}
+
+
+@dataclass(frozen=True)
+class TableCamera:
+    """A line of pixels by a table of across-track angles (degrees, rising), the smile of the line and an affine correction in flight.
+
+    Camera axes: x across, y along (backward), z down. The smile is a polynomial of the angle in
+    degrees, constant first, that gives degrees forward, hence its sign. In flight tangents are
+    scaled by f_lab / f and shifted by the principal point over f. ``first`` is the sample of the
+    table's first pixel.
+    """
+
+    table: tuple[float, ...]
+    smile: tuple[float, ...] = (0.0,)
+    f_lab: float = 1.0
+    f: float = 1.0
+    cx: float = 0.0
+    cy: float = 0.0
+    first: int = 0
+
+    def __post_init__(self):
+        if self.f <= 0:
+            raise ValueError(f"focal length {self.f} is not positive")
+        if any(b <= a for a, b in zip(self.table, self.table[1:], strict=False)):
+            raise ValueError("the table of angles does not rise")
+
+    @property
+    def scale(self) -> float:
+        return self.f_lab / self.f
+
+    @property
+    def shift(self) -> tuple[float, float]:
+        return self.cx / self.f, self.cy / self.f
+
+    def along(self, theta_deg) -> Column:
+        """Tangent along track, in the lab, of the pixel that looks across at an angle."""
+        return -F.tan(F.radians(horner(list(self.smile), col(theta_deg))))
+
+    def ray(self, u) -> Vec:
+        """Direction of a pixel of the table."""
+        theta = interpolate(u, [float(k) for k in range(len(self.table))], list(self.table))
+        return [self.scale * F.tan(F.radians(theta)) - self.shift[0], self.scale * self.along(theta) - self.shift[1], F.lit(1.0)]
+
+    def angle(self, p: Vec) -> Column:
+        """Across-track angle in the lab, in degrees; null in the camera's plane."""
+        return F.degrees(F.atan((F.try_divide(p[0], p[2]) + self.shift[0]) / self.scale))
+
+    def pixel(self, p: Vec) -> Column:
+        """Pixel of a point, cut off at the ends: ``in_view`` tells whether it is one."""
+        return table_pixel(self.angle(p), self.table)["u"]
+
+    def sample(self, u) -> Column:
+        return col(u) + float(self.first)
+
+    def in_view(self, p: Vec) -> Column:
+        """By the angle itself, not the cut-off pixel."""
+        return table_pixel(self.angle(p), self.table)["in_fov"]
+
+    def residual(self, p: Vec) -> Column:
+        """What the scan-line solver brings to zero: the tangent along track less the one of the pixel that sees the point."""
+        theta = F.greatest(F.least(self.angle(p), F.lit(float(self.table[-1]))), F.lit(float(self.table[0])))
+        return F.try_divide(p[1], p[2]) - (self.scale * self.along(theta) - self.shift[1])
+
+
+@dataclass(frozen=True)
+class PolynomialCamera:
+    """A line of ``width`` pixels by a focal length, a principal point and two polynomials of (u - width / 2) / width, constant first, in pixels."""
+
+    f: float
+    centre: float
+    width: int
+    across: tuple[float, ...] = (0.0,)
+    along: tuple[float, ...] = (0.0,)
+    first: int = 0
+
+    def _xi(self, u: Column) -> Column:
+        return (u - self.width / 2) / float(self.width)
+
+    def distortion(self, u) -> Vec:
+        x = self._xi(col(u))
+        return [horner(list(self.across), x), horner(list(self.along), x)]
+
+    def derivative(self, u) -> Column:
+        """Of the across-track distortion by u."""
+        return horner([k * c for k, c in enumerate(self.across)][1:] or [0.0], self._xi(col(u))) / float(self.width)
+
+    def ray(self, u) -> Vec:
+        dx, dy = self.distortion(u)
+        return [(col(u) + dx - self.centre) / self.f, dy / self.f, F.lit(1.0)]
+
+    def pixel(self, p: Vec, steps: int = 8) -> Column:
+        """Newton on u + distortion(u) = the undistorted pixel: a fold over a sequence, one expression."""
+        ideal = self.f * F.try_divide(p[0], p[2]) + self.centre
+        step = lambda u, _: u - (u + self.distortion(u)[0] - ideal) / (1 + self.derivative(u))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ideal, step)
+
+    def sample(self, u) -> Column:
+        return col(u) + float(self.first)
+
+    def edges(self) -> tuple[float, float]:
+        """Tangents of the first and the last pixel."""
+        at = lambda u: (u + sum(c * ((u - self.width / 2) / self.width) ** k for k, c in enumerate(self.across)) - self.centre) / self.f
+        return at(0.0), at(self.width - 1.0)
+
+    def in_view(self, p: Vec) -> Column:
+        low, high = self.edges()
+        x = F.try_divide(p[0], p[2])
+        return F.coalesce((x >= low) & (x <= high), F.lit(False))
+
+    def residual(self, p: Vec) -> Column:
+        return F.try_divide(p[1], p[2]) - self.distortion(self.pixel(p))[1] / self.f
+
+
+def angles_to_distortion(u, across_deg, along_deg, f: float, centre: float) -> Vec:
+    """A table of angles as distortion in pixels: across and along track."""
+    return [f * F.tan(F.radians(col(across_deg))) + centre - col(u), f * F.tan(F.radians(col(along_deg)))]
 
 
-def table_ray(u, table: list[float], smile: list[float] = (0.0,)) -> Vec:
-    """Ray of a pixel: across-track angle by the table, along-track angle by a polynomial in degrees, negated."""
-    theta = interpolate(u, [float(i) for i in range(len(table))], table)
-    return [-F.tan(F.radians(horner(list(smile), theta))), F.tan(F.radians(theta)), F.lit(1.0)]
+def distortion_to_angles(u, dx, dy, f: float, centre: float) -> Vec:
+    """The angles in degrees back from distortion; along track forward, so its sign turns."""
+    return [F.degrees(F.atan((col(u) + col(dx) - centre) / f)), -F.degrees(F.atan(col(dy) / f))]
 
 
-def along_track_residual(p: Vec, smile: list[float] = (0.0,)) -> Column:
-    """What the scan-line solver brings to zero: the tangent along track less the one the pixel's smile asks for."""
-    theta = F.degrees(F.atan2(p[1], p[2]))
-    return p[0] / p[2] + F.tan(F.radians(horner(list(smile), theta)))
+def ground_error(error_arcsec, height) -> Column:
+    """Metres on the ground of an angle in seconds of arc, from a height above it."""
+    return col(height) * F.tan(F.radians(col(error_arcsec) / 3600))
 
 
 def poly_inverse(target, coefficients: list[float], start, steps: int = 8) -> Column:
@@ -134,12 +280,15 @@ def camera_position(imu: Vec, body_to_world: Mat, lever: Vec) -> Vec:
     return plus(imu, matvec(body_to_world, lever))
 
 
-def to_camera(point: Vec, imu: Vec, body_to_world: Mat, body_to_camera: Mat, lever: Vec) -> Vec:
-    return matvec(body_to_camera, matvec(transpose(body_to_world), sub(point, camera_position(imu, body_to_world, lever))))
+def to_camera(point: Vec, imu: Vec, body_to_world: Mat, body_to_camera: Mat, lever: Vec, sign: int = -1) -> Vec:
+    """A point in camera coordinates. The lever arm is taken from the vector to the point; sign=1 adds it, as some files were made."""
+    body = matvec(transpose(body_to_world), sub(point, imu))
+    return matvec(body_to_camera, [x + sign * y for x, y in zip(body, lever, strict=True)])
 
 
 def point_ray_distance(point: Vec, origin: Vec, direction: Vec) -> Column:
-    return norm(cross(sub(point, origin), direction)) / norm(direction)
+    """Null for a ray without a direction."""
+    return F.try_divide(norm(cross(sub(point, origin), direction)), norm(direction))
 
 
 def two_rays(a: Vec, da: Vec, b: Vec, db: Vec, parallel: float = 1e-7) -> dict[str, Column]:
@@ -147,7 +296,7 @@ def two_rays(a: Vec, da: Vec, b: Vec, db: Vec, parallel: float = 1e-7) -> dict[s
     n = cross(da, db)
     n2 = dot(n, n)
     w = sub(b, a)
-    t, s = dot(cross(w, db), n) / n2, dot(cross(w, da), n) / n2
+    t, s = F.try_divide(dot(cross(w, db), n), n2), F.try_divide(dot(cross(w, da), n), n2)
     p, q = [x + d * t for x, d in zip(a, da, strict=True)], [x + d * s for x, d in zip(b, db, strict=True)]
     ok = F.sqrt(n2) >= parallel
     return {"x": F.when(ok, (p[0] + q[0]) / 2), "y": F.when(ok, (p[1] + q[1]) / 2), "z": F.when(ok, (p[2] + q[2]) / 2), "miss": F.when(ok, norm(sub(p, q)))}
@@ -162,6 +311,6 @@ def rigid_inverse(m: Mat, t: Vec, v: Vec) -> Vec:
 
 
 def ground_on_plane(origin: Vec, ray: Vec, height) -> Vec:
-    """Where a ray meets the horizontal plane at a height."""
-    k = (col(height) - origin[2]) / ray[2]
+    """Where a ray meets the horizontal plane at a height; null for a level ray."""
+    k = F.try_divide(col(height) - origin[2], ray[2])
     return [o + r * k for o, r in zip(origin, ray, strict=True)]

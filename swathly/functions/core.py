@@ -6,7 +6,7 @@ import math
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = list[Column]
@@ -92,3 +92,13 @@ def horner(coefficients: list[float], x: Column) -> Column:
 
 def lerp(a: Column, b: Column, t: Column) -> Column:
     return a + (b - a) * t
+
+
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Columns worked out once per row, behind a generator of one row.
+
+    The optimizer neither merges a generator with what comes after it nor pushes a filter on its
+    columns below it, so a long formula is not copied into each of its uses.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__staged")
+    return df.select("*", one).select("*", *[F.col(f"__staged.{n}").alias(n) for n in columns]).drop("__staged")

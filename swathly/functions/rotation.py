@@ -47,8 +47,54 @@ def rpy_of(m: Mat) -> Vec:
 
 
 def opk_of(m: Mat) -> Vec:
-    """Omega, phi, kappa of an r1r2r3 matrix."""
-    return [F.atan2(-m[1][2], m[2][2]), F.asin(F.greatest(F.least(m[0][2], F.lit(1.0)), F.lit(-1.0))), F.atan2(-m[0][1], m[0][0])]
+    """Omega, phi, kappa of an r1r2r3 matrix; with phi at a right angle omega is 0 and kappa takes the whole turn."""
+    locked = F.abs(m[0][2]) >= 0.9999
+    phi = F.asin(F.greatest(F.least(m[0][2], F.lit(1.0)), F.lit(-1.0)))
+    omega = F.when(locked, 0.0).otherwise(F.atan2(-m[1][2], m[2][2]))
+    kappa = F.when(locked, F.when(m[0][2] > 0, F.atan2(m[1][0], m[1][1])).otherwise(F.atan2(-m[1][0], m[1][1]))).otherwise(F.atan2(-m[0][1], m[0][0]))
+    return [omega, phi, kappa]
+
+
+def ned_enu() -> Mat:
+    """Exchange of north-east-down and east-north-up."""
+    return [[F.lit(float(x)) for x in r] for r in ((0, 1, 0), (1, 0, 0), (0, 0, -1))]
+
+
+def quarter_turn() -> Mat:
+    """A right angle about z."""
+    return [[F.lit(float(x)) for x in r] for r in ((0, -1, 0), (1, 0, 0), (0, 0, 1))]
+
+
+def body_to_camera() -> Mat:
+    """Body (forward, right, down) to camera (right, back, down)."""
+    return [[F.lit(float(x)) for x in r] for r in ((0, 1, 0), (-1, 0, 0), (0, 0, 1))]
+
+
+def rpy_to_opk_deg(roll, pitch, heading) -> Vec:
+    """Photogrammetric angles in degrees of an attitude in radians, for a camera a quarter turn from the body in east-north-up axes."""
+    swap = ned_enu()
+    world = matmul(matmul(swap, rpy_matrix(roll, pitch, heading)), swap)
+    omega, phi, kappa = opk_of(matmul(quarter_turn(), world))
+    locked = F.abs(F.sin(phi)) >= 0.9999
+    return [F.degrees(omega), F.degrees(phi), F.degrees(F.when(locked, kappa).otherwise(-kappa))]
+
+
+def mounted(roll, pitch, yaw, mount: Mat, order: str = "mount_first") -> Mat:
+    """A boresight rotation (zyx) and a mounting matrix: 'mount_first' is mount times boresight, 'boresight_first' the other product."""
+    bore = rpy_matrix(roll, pitch, yaw)
+    return matmul(mount, bore) if order == "mount_first" else matmul(bore, mount)
+
+
+def boresight_of(optimised: Mat, mount: Mat) -> Vec:
+    """Roll, pitch, yaw of the boresight in a body-to-camera rotation that is boresight times mount."""
+    return rpy_of(matmul(optimised, transpose(mount)))
+
+
+def axis_angle_matrix(v: Vec) -> Mat:
+    """Rotation of a vector whose direction is the axis and whose length the angle; none for the zero vector."""
+    n = F.sqrt(dot(v, v))
+    safe = F.when(n < 1e-15, 1.0).otherwise(n)
+    return rodrigues([x / safe for x in v], F.when(n < 1e-15, 0.0).otherwise(n))
 
 
 def is_rotation(m: Mat, tol: float = 1e-6) -> Column:
@@ -71,6 +117,10 @@ def skew(v: Vec) -> Mat:
     return [[o, -v[2], v[1]], [v[2], o, -v[0]], [-v[1], v[0], o]]
 
 
+def skew_transposed(v: Vec) -> Mat:
+    return transpose(skew(v))
+
+
 def rodrigues(axis: Vec, angle) -> Mat:
     """Active rotation about a unit axis."""
     a = col(angle)

@@ -19,6 +19,56 @@ def validate(observations: DataFrame, points: DataFrame, poses: DataFrame, point
     return both.withColumn("reason", reason).withColumn("valid", reason.isNull())
 
 
+def validate_control(observations: DataFrame, points: DataFrame, poses: DataFrame, camera: dict, boresight=(0.0, 0.0, 0.0), lever=(0.0, 0.0, 0.0), convention: str = "zyx") -> DataFrame:
+    """Each observation (gcp_id, gcp_name, image_id, u, v) of a control point (gcp_id, x, y, z Earth-centred) against its projection by the pose of its image (image_id, latitude, longitude, height, roll, pitch, yaw in degrees).
+
+    camera: fx, fy, cx, cy and, if wanted, distortion, width, height. Adds xc, yc, zc (the point in
+    camera coordinates), distance, projected_u, projected_v, error, valid and reason: 'no point',
+    then 'no pose', 'behind camera' or 'outside image'. What cannot be projected has null here;
+    ``with_sentinels`` writes it as the zeros and infinities of the report.
+    """
+    from ..functions import camera as cam
+    from ..functions import core, geodesy, rotation
+
+    v = validate(observations, points, poses, "gcp_id", "image_id")
+    get = lambda s, *names: [F.col(f"{s}.{n}").cast("double") for n in names]
+    lat, lon, h, *angles = get("pose", "latitude", "longitude", "height", "roll", "pitch", "yaw")
+    # From the inertial unit to the point.
+    away = core.sub(get("point", "x", "y", "z"), geodesy.geodetic_to_ecef(lat, lon, h, degrees=True))
+    v = core.staged(v, dict(zip(("__x", "__y", "__z"), away, strict=True)))
+    v = core.staged(v, dict(zip(("__n", "__e", "__d"), core.matvec(geodesy.ecef_to_ned(F.radians(lat), F.radians(lon)), core.vec("__x", "__y", "__z")), strict=True)))
+    turn = rotation.rpy_matrix(*[F.radians(a) for a in angles])
+    body = core.matvec(turn if convention == "zyx" else core.transpose(turn), core.vec("__n", "__e", "__d"))
+    # The lever arm is taken away in body axes, the boresight is a matrix of numbers.
+    v = core.staged(v, {n: x - float(y) for n, x, y in zip(("__x1", "__y1", "__z1"), body, lever, strict=True)})
+    x, y, z = (sum((float(k) * F.col(c) for k, c in zip(row[1:], ("__y1", "__z1"), strict=True)), float(row[0]) * F.col("__x1")) for row in zyx_matrix(*np.radians(boresight)))
+    v = core.staged(v, {"xc": y, "yc": -x, "zc": z})  # right, back, down of forward, right, down
+    c = [F.col(k) for k in ("xc", "yc", "zc")]
+    seen = cam.project(c, camera["fx"], camera["fy"], camera["cx"], camera["cy"], camera.get("distortion", cam.NONE))
+    v = core.staged(v, {"distance": core.norm(c), "projected_u": seen["u"], "projected_v": seen["v"]})
+    sized = camera.get("width", 0) > 0 and camera.get("height", 0) > 0
+    inside = cam.in_image("projected_u", "projected_v", camera["width"], camera["height"]) if sized else F.lit(True)
+    v = core.staged(v.withColumnRenamed("reason", "__r").drop("valid"), {"reason": F.coalesce(F.col("__r"), F.when(F.coalesce(F.col("zc") <= 0, F.lit(True)), "behind camera").when(~inside, "outside image"))})
+    v = v.withColumn("valid", F.col("reason").isNull()).drop(*[n for n in v.columns if n.startswith("__")])
+    error = F.when(F.col("valid"), cam.reprojection_error("u", "v", "projected_u", "projected_v"))
+    return v.withColumn("error", error).drop("point", "pose")
+
+
+def with_sentinels(results: DataFrame) -> DataFrame:
+    """Projections that are missing as 0, errors that are as infinity."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return results.withColumns({"projected_u": zero("projected_u"), "projected_v": zero("projected_v"), "error": F.coalesce(F.col("error"), F.lit(float("inf")))})
+
+
+def control_report(results: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The statistics of all valid observations (one row), of each control point and of each image."""
+    from .stats import error_by_groups, error_stats
+
+    total = error_stats(results, "error", F.col("valid"), (threshold,), threshold)
+    both = error_by_groups(results, "error", F.col("valid"), ("gcp_id", "image_id"))
+    return total, both.where("gcp_id is not null").drop("image_id"), both.where("image_id is not null").drop("gcp_id")
+
+
 def completeness(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys of a that b lacks."""
     return a.select(key).distinct().join(b.select(key), key, "left_anti")
@@ -62,18 +112,17 @@ def triangulation_report(points: DataFrame, rays: DataFrame, control: DataFrame,
     return r.join(g, key, "left").select(key, "views", "rmse_px", F.coalesce(e, F.lit(-1.0)).alias("error_3d"))
 
 
-def mutual_nearest(a: DataFrame, b: DataFrame, distance: Column, pair_key: str | None = None) -> DataFrame:
-    """id_a, id_b, confidence of descriptors that are each other's nearest within a tile pair.
+def mutual_nearest(a: DataFrame, b: DataFrame, distance: Column, pair_key: str) -> DataFrame:
+    """pair_key, id_a, id_b, confidence of descriptors that are each other's nearest within a tile pair.
 
-    a: id_a, da; b: id_b, db (and pair_key). Tiles bound the candidates; both nearest searches are
-    grouped minima.
+    a: pair_key, id_a, da; b: pair_key, id_b, db. A matcher compares the descriptors of a tile pair,
+    whose numbers the tiling bounds; both nearest searches are grouped minima. Whole images are
+    tiled first (``raster.overlapping_tiles``), there is no search without a key.
     """
-    both = a.join(b, pair_key) if pair_key else a.crossJoin(b)
-    keys = [pair_key] if pair_key else []
-    d = both.withColumn("d", distance)
-    na = d.groupBy(*keys, "id_a").agg(F.min(F.struct("d", "id_b")).alias("m")).select(*keys, "id_a", F.col("m.id_b").alias("id_b"), F.col("m.d").alias("d"))
-    nb = d.groupBy(*keys, "id_b").agg(F.min(F.struct("d", "id_a")).alias("m")).select(*keys, "id_b", F.col("m.id_a").alias("id_a"))
-    return na.join(nb, [*keys, "id_a", "id_b"]).select(*keys, "id_a", "id_b", (1 / (F.col("d") + 1e-8)).alias("confidence"))
+    d = a.join(b, pair_key).withColumn("d", distance)
+    na = d.groupBy(pair_key, "id_a").agg(F.min(F.struct("d", "id_b")).alias("m")).select(pair_key, "id_a", F.col("m.id_b").alias("id_b"), F.col("m.d").alias("d"))
+    nb = d.groupBy(pair_key, "id_b").agg(F.min(F.struct("d", "id_a")).alias("m")).select(pair_key, "id_b", F.col("m.id_a").alias("id_a"))
+    return na.join(nb, [pair_key, "id_a", "id_b"]).select(pair_key, "id_a", "id_b", (1 / (F.col("d") + 1e-8)).alias("confidence"))
 
 
 def match_tiles(tiles_a: DataFrame, tiles_b: DataFrame, matcher, schema: str) -> DataFrame:
@@ -82,9 +131,66 @@ def match_tiles(tiles_a: DataFrame, tiles_b: DataFrame, matcher, schema: str) ->
     return both.groupBy("tile_x", "tile_y").applyInPandas(matcher, schema)
 
 
+def homography(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The plane projection that takes points p to q (n, 2), n of 4 or more, by least squares on normalised coordinates."""
+
+    def normal(x):
+        m, d = x.mean(0), max(np.sqrt(((x - x.mean(0)) ** 2).sum(1).mean() / 2), 1e-12)
+        return np.array([[1 / d, 0, -m[0] / d], [0, 1 / d, -m[1] / d], [0, 0, 1]])
+
+    tp, tq = normal(p), normal(q)
+    one = np.ones((len(p), 1))
+    a, b = np.hstack([p, one]) @ tp.T, np.hstack([q, one]) @ tq.T
+    z = np.zeros_like(a)
+    rows = np.concatenate([np.hstack([a, z, -b[:, :1] * a]), np.hstack([z, a, -b[:, 1:2] * a])])
+    h = np.linalg.inv(tq) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ tp
+    return h / (h[2, 2] if abs(h[2, 2]) > 1e-12 else 1.0)
+
+
+def transfer_errors(h: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    x = np.hstack([p, np.ones((len(p), 1))]) @ h.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.nan_to_num(np.linalg.norm(q - x[:, :2] / x[:, 2:], axis=1), nan=np.inf)
+
+
+def robust_homography(p: np.ndarray, q: np.ndarray, limit: float = 5.0, tries: int = 500, seed: int = 42) -> tuple[np.ndarray, np.ndarray] | None:
+    """The projection that most matches agree with within ``limit`` pixels, fitted to them, and which they are; None if no four agree. Seeded, so the same on every run."""
+    rng, best = np.random.default_rng(seed), np.zeros(len(p), bool)
+    for _ in range(tries):
+        pick = rng.choice(len(p), 4, replace=False)
+        near = transfer_errors(homography(p[pick], q[pick]), p, q) <= limit
+        if near.sum() > best.sum():
+            best = near
+            if best.all():
+                break
+    if best.sum() < 4:
+        return None
+    h = homography(p[best], q[best])
+    return h, transfer_errors(h, p, q) <= limit
+
+
+def fit_matches(matches: DataFrame, keys: list[str], limit: float = 5.0) -> DataFrame:
+    """keys, matches, mean_confidence, inlier_ratio, mean_error of each image (or tile) pair's matches x1, y1, x2, y2, confidence.
+
+    The error is the mean over all matches, not the agreeing ones alone; 0 and -1 for fewer than four
+    matches or without a projection. A pair's matches meet in one task, which a matcher bounds.
+    """
+    import pandas as pd
+
+    kinds = ", ".join(f"{k} {matches.schema[k].dataType.simpleString()}" for k in keys)
+
+    def work(name, m):
+        p, q = m[["x1", "y1"]].to_numpy(float), m[["x2", "y2"]].to_numpy(float)
+        found = robust_homography(p, q, limit) if len(m) >= 4 else None
+        ratio, error = (0.0, -1.0) if found is None else (float(found[1].mean()), float(transfer_errors(found[0], p, q).mean()))
+        return pd.DataFrame([[*name, len(m), float(m.confidence.mean()), ratio, error]], columns=[*keys, "matches", "mean_confidence", "inlier_ratio", "mean_error"])
+
+    return matches.groupBy(*keys).applyInPandas(work, f"{kinds}, matches long, mean_confidence double, inlier_ratio double, mean_error double")
+
+
 def match_metrics(matches: DataFrame, inlier: str, error: str, confidence: str) -> DataFrame:
-    """Count, mean confidence, inlier ratio and mean error; fewer than four matches give 0 and -1."""
-    s = matches.agg(F.count("*").alias("matches"), F.avg(confidence).alias("mean_confidence"), F.avg(F.col(inlier).cast("double")).alias("r"), F.avg(F.when(F.col(inlier), F.col(error))).alias("e"))
+    """Count, mean confidence, inlier ratio and mean error over all of matches that are judged already; fewer than four give 0 and -1."""
+    s = matches.agg(F.count("*").alias("matches"), F.coalesce(F.avg(confidence), F.lit(0.0)).alias("mean_confidence"), F.avg(F.col(inlier).cast("double")).alias("r"), F.avg(error).alias("e"))
     few = F.col("matches") < 4
     return s.select("matches", "mean_confidence", F.when(few, 0.0).otherwise(F.col("r")).alias("inlier_ratio"), F.when(few, -1.0).otherwise(F.coalesce("e", F.lit(-1.0))).alias("mean_error"))
 
@@ -92,6 +198,13 @@ def match_metrics(matches: DataFrame, inlier: str, error: str, confidence: str)
 # -- boresight ---------------------------------------------------------------------
 
 
+def zyx_matrix(roll: float, pitch: float, yaw: float) -> np.ndarray:
+    """Rz Ry Rx of three numbers."""
+    from .solve import body_to_ned
+
+    return body_to_ned(*(np.array(float(a)) for a in (roll, pitch, yaw)))
+
+
 def _r123(a: np.ndarray):
     (cx, cy, cz), (sx, sy, sz) = np.cos(a), np.sin(a)
     x = np.array([[1, 0, 0], [0, cx, -sx], [0, sx, cx]])
@@ -151,6 +264,97 @@ def boresight(pairs: DataFrame, start=(0.0, 0.0, 0.0), prior_sigma: float = 1.0,
     return x, factor * np.linalg.inv(n + w0), factor
 
 
+def adjust_boresight(pairs: DataFrame, sigmas: dict[str, float], lever=(0.0, 0.0, 0.0), start=(0.0, 0.0, 0.0), most: int = 20, tol: float = 1e-12) -> dict:
+    """Small boresight angles by Gauss-Helmert adjustment with twelve observations a pair: two positions and attitudes.
+
+    pairs: pi, pj (3, map coordinates), ri, rj (3, roll, pitch, yaw), mi, mj (9, north-east-down to map),
+    ui, uj (3, points in body axes), as arrays. sigmas: xy, z, rp, y (radians) and p2p, the condition's.
+    The condition of a pair is the distance of its two ground points. Each iteration is one job: every
+    task eliminates its pairs' corrections and adds up a 3 x 3 system, the driver solves it; a last
+    job sums the squares. Returns theta, covariance, sigma0, mean_miss, pairs and whether it converged.
+    """
+    prior = np.array([1 / sigmas["xy"] ** 2] * 2 + [1 / sigmas["z"] ** 2] + [1 / sigmas["rp"] ** 2] * 2 + [1 / sigmas["y"] ** 2])
+    p_block, weight = np.diag(np.tile(prior, 2)), np.eye(3) / sigmas["p2p"] ** 2
+    arm = np.array(lever, float)
+
+    def side(get, k, theta):
+        """Ground point less position, its derivatives by theta and by attitude, of one side."""
+        m, u = get(f"m{k}").reshape(-1, 3, 3), get(f"u{k}")
+        # The rotation body to north-east-down is the transpose of R1 R2 R3 with passive factors.
+        turn, by = _body_to_ned(get(f"r{k}"))
+        s = u + np.cross(theta, u) + arm
+        skew = np.cross(np.eye(3)[None], u[:, None, :]).transpose(0, 2, 1)  # column c: e_c x u
+        return np.einsum("nij,njk,nk->ni", m, turn, s), m @ turn @ skew, np.stack([np.einsum("nij,njk,nk->ni", m, d, s) for d in by], -1)
+
+    def pass_(theta, step):
+        def work(batches):
+            out = np.zeros(15)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                get = lambda c, b=b: b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                (gi, ai, di), (gj, aj, dj) = side(get, "i", theta), side(get, "j", theta)
+                w, a = get("pi") + gi - get("pj") - gj, ai - aj
+                eye = np.broadcast_to(np.eye(3), (b.num_rows, 3, 3))
+                bb = np.concatenate([eye, di, -eye, -dj], 2)
+                wb = bb.transpose(0, 2, 1) @ weight
+                x = np.linalg.solve(wb @ bb + p_block, wb)  # (n, 12, 3)
+                s = weight - weight @ bb @ x
+                if step is None:
+                    out[:9] += np.einsum("nki,nkl,nlj->ij", a, s, a).reshape(-1)
+                    out[9:12] += np.einsum("nki,nkl,nl->i", a, s, w)
+                else:
+                    rest = np.einsum("nij,j->ni", a, step) + w
+                    v = -np.einsum("nij,nj->ni", x, rest)
+                    left = rest + np.einsum("nij,nj->ni", bb, v)
+                    out[12] += np.einsum("ni,ij,nj->", v, p_block, v) + np.einsum("ni,ij,nj->", left, weight, left)
+                out[13] += np.linalg.norm(w, axis=1).sum()
+                out[14] += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+        rows = pairs.mapInArrow(work, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()  # 15 numbers
+        s = np.zeros(15)
+        for r in rows:
+            s[r.i] = r.v
+        return s
+
+    theta, done, step, normal, before = np.array(start, float), False, np.zeros(3), np.eye(3), np.array(start, float)
+    for _ in range(most):
+        s = pass_(theta, None)
+        if not s[14]:
+            raise ValueError("no pairs")
+        normal, before = s[:9].reshape(3, 3), theta
+        step = np.linalg.solve(normal, -s[9:12])
+        theta = theta + step
+        if np.linalg.norm(step) < tol:
+            done = True
+            break
+    s = pass_(before, step)
+    rest = 3 * s[14] - 3
+    if rest <= 0:
+        raise ValueError("too few pairs")
+    return {"theta": theta, "covariance": s[12] / rest * np.linalg.inv(normal), "sigma0": float(np.sqrt(s[12] / rest)), "mean_miss": s[13] / s[14], "pairs": int(s[14]), "converged": done}
+
+
+def _body_to_ned(rpy: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(R1 R2 R3) transposed, with factors that turn about x, y and z as R1(a) = [[1, 0, 0], [0, cos a, -sin a], [0, sin a, cos a]], and its derivatives by the three angles."""
+    c, s = np.cos(rpy), np.sin(rpy)
+    o, i = np.zeros(len(rpy)), np.ones(len(rpy))
+    mat = lambda *rows: np.stack([np.stack(r, -1) for r in rows], -2)
+    f = [
+        mat((i, o, o), (o, c[:, 0], -s[:, 0]), (o, s[:, 0], c[:, 0])),
+        mat((c[:, 1], o, s[:, 1]), (o, i, o), (-s[:, 1], o, c[:, 1])),
+        mat((c[:, 2], -s[:, 2], o), (s[:, 2], c[:, 2], o), (o, o, i)),
+    ]
+    d = [
+        mat((o, o, o), (o, -s[:, 0], -c[:, 0]), (o, c[:, 0], -s[:, 0])),
+        mat((-s[:, 1], o, c[:, 1]), (o, o, o), (-c[:, 1], o, -s[:, 1])),
+        mat((-s[:, 2], -c[:, 2], o), (c[:, 2], -s[:, 2], o), (o, o, o)),
+    ]
+    turned = lambda m: m.transpose(0, 2, 1)
+    return turned(f[0] @ f[1] @ f[2]), [turned(d[0] @ f[1] @ f[2]), turned(f[0] @ d[1] @ f[2]), turned(f[0] @ f[1] @ d[2])]
+
+
 # -- tie points --------------------------------------------------------------------
 
 
@@ -177,17 +381,35 @@ def match_template(kind: Column, parts: list[Column]) -> Column:
 # -- orthorectification ------------------------------------------------------------
 
 
-def ortho(grid: DataFrame, surface: DataFrame, surface_grid, to_ecef, trajectory, body_to_camera, line_times, table_deg, cube: DataFrame, lines: int, samples: int) -> DataFrame:
-    """row, col, spectrum of output cells: surface height, scan-line time, cube lookup. Cells without height or view drop out."""
+def ortho(grid: DataFrame, surface: DataFrame, surface_grid, to_ecef, trajectory, body_to_camera, line_times, camera, cube: DataFrame, lines: int, samples: int, from_ecef=None, ground: float | None = None, resampling: str = "bilinear", rays: int = 50, tol: float = 0.5) -> DataFrame:
+    """row, col, spectrum of output cells: surface height, scan-line time, visibility, cube lookup. Cells without height, view or pixel drop out.
+
+    ``from_ecef`` (to the surface's coordinates) switches on the visibility test: a cell is hidden if
+    the surface rises above its ray to the sensor. ``ground`` takes one height for all cells instead
+    of the surface's. resampling: bilinear or nearest.
+    """
     from . import raster
     from .solve import scanline_times
 
     cells = grid.withColumn("pid", F.struct("row", "col").cast("string"))
-    pts = cells.select("pid", surface_grid.row_of(F.col("y")).alias("r"), surface_grid.col_of(F.col("x")).alias("c"))
-    z = raster.bilinear(pts, surface, "pid", "r", "c", surface_grid.rows, surface_grid.cols).where("z is not null")
-    e = cells.join(z, "pid")
+    if ground is None:
+        pts = cells.select("row", "col", "x", "y", "pid", surface_grid.row_of(F.col("y")).alias("r"), surface_grid.col_of(F.col("x")).alias("c"))
+        e = raster.bilinear(pts, surface, "pid", "r", "c", surface_grid.rows, surface_grid.cols, "z", ["row", "col", "x", "y"]).where("z is not null")
+    else:
+        e = cells.select("row", "col", "x", "y", "pid", F.lit(float(ground)).alias("z"))
     xyz = to_ecef(F.col("x"), F.col("y"), F.col("z"))
-    ground = e.select(F.col("pid").alias("point_id"), *[v.alias(k) for v, k in zip(xyz, ("ex", "ey", "ez"), strict=True)]).toDF("point_id", "x", "y", "z")
-    seen = scanline_times(ground, trajectory, body_to_camera, line_times, table_deg).where("valid")
-    spectra = raster.cube_lookup(seen, cube, "point_id", "line", "u", lines, samples)
-    return cells.select("row", "col", F.col("pid").alias("point_id")).join(spectra, "point_id").drop("point_id")
+    # What a cell needs further on travels in its id, so it is not joined again.
+    own = F.struct("row", "col", "x", "y", "z")
+    points = e.select(own.alias("point_id"), *[v.alias(k) for v, k in zip(xyz, ("ex", "ey", "ez"), strict=True)]).toDF("point_id", "x", "y", "z")
+    seen = scanline_times(points, trajectory, body_to_camera, line_times, camera).where("valid")
+    if from_ecef is not None:
+        sensor = from_ecef(F.col("sx"), F.col("sy"), F.col("sz"))
+        lines_of_sight = seen.select("point_id", *[F.col(f"point_id.{k}").alias(f"g{k}") for k in "xyz"], *[v.alias(f"s{k}") for v, k in zip(sensor, "xyz", strict=True)])
+        hidden = raster.occluded(lines_of_sight, surface, "point_id", ("sx", "sy", "sz"), ("gx", "gy", "gz"), surface_grid, rays, tol).where("occluded")
+        seen = seen.join(hidden, "point_id", "left_anti")
+    places = seen.select("point_id", "line", "sample")
+    if resampling == "bilinear":
+        spectra = raster.cube_lookup(places, cube, "point_id", "line", "sample", lines, samples)
+    else:
+        spectra = raster.cube_nearest(places, cube, "line", "sample")
+    return spectra.where("spectrum is not null").select("point_id.row", "point_id.col", "spectrum")

@@ -30,15 +30,24 @@ class Grid:
         return (self.y0 - y) / self.res
 
 
-def bilinear(points: DataFrame, cells: DataFrame, point_id: str, row: str, col: str, rows: int, cols: int, value: str = "z") -> DataFrame:
-    """point_id and z: null where any of the four neighbours is missing (even at weight 0) or the base cell lies outside [0, n - 2]."""
-    base_r, base_c = F.floor(row).cast("long"), F.floor(col).cast("long")
-    inside = points.select(point_id, base_r.alias("r"), base_c.alias("c"), (F.col(row) - F.floor(row)).alias("fr"), (F.col(col) - F.floor(col)).alias("fc")).where((F.col("r") >= 0) & (F.col("r") <= rows - 2) & (F.col("c") >= 0) & (F.col("c") <= cols - 2))
-    near = F.array(*[F.struct((F.col("r") + i).alias("row"), (F.col("c") + j).alias("col"), ((F.col("fr") if i else 1 - F.col("fr")) * (F.col("fc") if j else 1 - F.col("fc"))).alias("w")) for i in (0, 1) for j in (0, 1)])
-    each = inside.select(point_id, F.explode(near).alias("n")).select(point_id, "n.*")
-    z = each.join(cells.where(F.col(value).isNotNull() & ~F.isnan(value)).select("row", "col", value), ["row", "col"])
-    got = z.groupBy(point_id).agg(F.sum(F.col("w") * F.col(value)).alias("__z"), F.count("*").alias("__n")).where("__n = 4")
-    return points.select(point_id).join(got.select(point_id, F.col("__z").alias(value)), point_id, "left")
+def _corners(r: Column, c: Column, fr: Column, fc: Column) -> Column:
+    """Four neighbours of a place with their weights, in a fixed order."""
+    return F.array(*[F.struct(F.lit(2 * i + j).alias("k"), (r + i).alias("__r"), (c + j).alias("__c"), ((fr if i else 1 - fr) * (fc if j else 1 - fc)).alias("w")) for i in (0, 1) for j in (0, 1)])
+
+
+def bilinear(points: DataFrame, cells: DataFrame, point_id: str, row: str, col: str, rows: int, cols: int, value: str = "z", carry: list[str] = ()) -> DataFrame:
+    """point_id, the carried columns and z: null where any of the four neighbours is missing (even at weight 0) or the base cell lies outside [0, n - 2].
+
+    One join by cell and one sum by point; a point is not joined again with what it carries.
+    """
+    r, c = F.floor(row).cast("long"), F.floor(col).cast("long")
+    inside = (r >= 0) & (r <= rows - 2) & (c >= 0) & (c <= cols - 2)
+    near = F.when(inside, _corners(r, c, F.col(row) - F.floor(row), F.col(col) - F.floor(col)))
+    each = points.select(point_id, *carry, F.explode_outer(near).alias("__n")).select(point_id, *carry, "__n.*")
+    own = cells.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col("row").cast("long").alias("__r"), F.col("col").cast("long").alias("__c"), F.col(value).alias("__v"))
+    z = each.join(own, ["__r", "__c"], "left")
+    total = F.when(F.count("__v") == 4, F.sum(F.col("w") * F.col("__v")))
+    return z.groupBy(point_id, *carry).agg(total.alias(value))
 
 
 def nearest(points: DataFrame, cells: DataFrame, row: str, col: str, value: str = "z") -> DataFrame:
@@ -49,31 +58,47 @@ def nearest(points: DataFrame, cells: DataFrame, row: str, col: str, value: str
 
 
 def cube_lookup(points: DataFrame, cube: DataFrame, point_id: str, line: str, sample: str, lines: int, samples: int, edge: str = "fixed") -> DataFrame:
-    """Spectrum of a point between four pixels of a cube (line, sample, spectrum).
+    """point_id, spectrum of every point, between four pixels of a cube (line, sample, spectrum): null outside, or where a pixel of some weight is missing.
 
-    edge='fixed' takes the last pixel at the last place; edge='compat' the one before it.
+    edge='fixed' takes the last pixel at the last place; edge='compat' the one before it. Whole
+    spectra are weighed and added; the four of a point meet in one row.
     """
     frac = {c: F.col(c) - F.floor(c) for c in (line, sample)}
     base = {c: F.greatest(F.lit(0), F.least(F.floor(c), F.lit(n - 2))).cast("long") for c, n in ((line, lines), (sample, samples))}
     if edge == "fixed":
         frac = {c: F.col(c) - base[c] for c in (line, sample)}
-    inside = points.where((F.col(line) >= 0) & (F.col(line) <= lines - 1) & (F.col(sample) >= 0) & (F.col(sample) <= samples - 1))
-    near = F.array(*[F.struct((base[line] + i).alias("l"), (base[sample] + j).alias("s"), ((frac[line] if i else 1 - frac[line]) * (frac[sample] if j else 1 - frac[sample])).alias("w")) for i in (0, 1) for j in (0, 1)])
-    each = inside.select(point_id, F.explode(near).alias("n")).select(point_id, "n.*").where("w <> 0")
-    got = each.join(cube.select(F.col("line").alias("l"), F.col("sample").alias("s"), F.posexplode("spectrum").alias("band", "v")), ["l", "s"])
-    by_band = got.groupBy(point_id, "band").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    return by_band.groupBy(point_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "v"))), lambda x: x["v"]).alias("spectrum"))
+    inside = (F.col(line) >= 0) & (F.col(line) <= lines - 1) & (F.col(sample) >= 0) & (F.col(sample) <= samples - 1)
+    near = F.when(inside, F.filter(_corners(base[line], base[sample], frac[line], frac[sample]), lambda n: n["w"] != 0))
+    each = points.select(point_id, F.explode_outer(near).alias("__n")).select(point_id, "__n.*")
+    own = cube.where("spectrum is not null").select(F.col("line").cast("long").alias("__r"), F.col("sample").cast("long").alias("__c"), F.col("spectrum").cast("array<double>").alias("s"))
+    got = each.join(own, ["__r", "__c"], "left").groupBy(point_id).agg(F.count("w").alias("need"), F.count("s").alias("n"), F.sort_array(F.collect_list(F.struct("k", "w", "s"))).alias("v"))
+    weighed = F.transform("v", lambda x: F.transform(x["s"], lambda y: y * x["w"]))
+    total = F.aggregate(F.slice(weighed, F.lit(2), F.lit(3)), F.get(weighed, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return got.select(point_id, F.when((F.col("need") > 0) & (F.col("n") == F.col("need")), total).alias("spectrum"))
+
+
+def cube_nearest(points: DataFrame, cube: DataFrame, line: str, sample: str) -> DataFrame:
+    """The points with the spectrum of the pixel at the half-even rounded place; null outside."""
+    at = points.withColumn("__l", F.rint(line).cast("long")).withColumn("__s", F.rint(sample).cast("long"))
+    own = cube.select(F.col("line").cast("long").alias("__l"), F.col("sample").cast("long").alias("__s"), "spectrum")
+    return at.join(own, ["__l", "__s"], "left").drop("__l", "__s")
 
 
 def occluded(rays: DataFrame, cells: DataFrame, ray_id: str, start: tuple[str, str, str], end: tuple[str, str, str], grid: Grid, samples: int = 50, tol: float = 0.5) -> DataFrame:
-    """ray_id, occluded: whether the surface rises above any of the ray's samples by more than ``tol``. Missing surface hides nothing."""
+    """ray_id, occluded: whether the surface rises above any of the ray's samples by more than ``tol``. Missing surface hides nothing.
+
+    A sample carries its height through the lookup. It can matter only where the surface reaches it,
+    so samples above the highest cell (one number) are not looked up at all.
+    """
+    top = cells.agg(F.max(F.when(~F.isnan("z"), F.col("z"))).alias("__top"))
     alpha = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: F.lit(0.05) + k * (0.9 / max(samples - 1, 1)))
     s = rays.select(ray_id, F.posexplode(alpha).alias("__k", "__a"), *start, *end)
     at = [F.col(p) + (F.col(q) - F.col(p)) * F.col("__a") for p, q in zip(start, end, strict=True)]
-    s = s.select(F.struct(ray_id, "__k").alias("pid"), grid.row_of(at[1]).alias("r"), grid.col_of(at[0]).alias("c"), at[2].alias("rz"))
-    z = bilinear(s, cells, "pid", "r", "c", grid.rows, grid.cols)
-    hit = s.select("pid", "rz").join(z, "pid")
-    return hit.groupBy(F.col(f"pid.{ray_id}").alias(ray_id)).agg(F.coalesce(F.bool_or(F.col("z") > F.col("rz") + tol), F.lit(False)).alias("occluded"))
+    s = s.select(F.struct(ray_id, "__k").alias("__pid"), grid.row_of(at[1]).alias("__row"), grid.col_of(at[0]).alias("__col"), at[2].alias("__z"))
+    low = s.join(F.broadcast(top)).where(F.col("__top") > F.col("__z") + tol).drop("__top")  # one row
+    z = bilinear(low, cells, "__pid", "__row", "__col", grid.rows, grid.cols, "z", ["__z"])
+    hit = z.where(F.col("z") > F.col("__z") + tol).select(F.col(f"__pid.{ray_id}").alias("__id")).distinct()
+    return rays.select(ray_id).distinct().join(hit, F.col(ray_id) == F.col("__id"), "left").select(ray_id, F.col("__id").isNotNull().alias("occluded"))
 
 
 def output_grid(spark: SparkSession, xmin: float, ymin: float, xmax: float, ymax: float, gsd: float, tile: int) -> DataFrame:
@@ -106,3 +131,24 @@ def resample(target: DataFrame, cells: DataFrame, grid: Grid, x: Column, y: Colu
     """Inverse mapping of a reprojected raster: for each target cell (row, col) the source value at (x, y), linearly."""
     pts = target.select(F.struct("row", "col").alias("pid"), grid.row_of(y).alias("r"), grid.col_of(x).alias("c"))
     return bilinear(pts, cells, "pid", "r", "c", grid.rows, grid.cols, value).select("pid.row", "pid.col", value)
+
+
+def to_cells(points: DataFrame, grid: Grid, x: Column, y: Column) -> DataFrame:
+    """Points with their fractional row and column; no half-cell offset."""
+    return points.withColumn("row", grid.row_of(y)).withColumn("col", grid.col_of(x))
+
+
+def undulation_grid(spark: SparkSession, xmin: float, ymin: float, xmax: float, ymax: float, step: float) -> DataFrame:
+    """x, y, undulation on a grid that takes in both bounds, by the approximate geoid plane."""
+    from ..functions.geodesy import swiss_geoid
+
+    nx, ny = math.ceil((xmax - xmin) / step) + 1, math.ceil((ymax - ymin) / step) + 1
+    g = spark.range(nx * ny).select(F.least(F.lit(xmin) + (F.col("id") % nx) * step, F.lit(float(xmax))).alias("x"), F.least(F.lit(ymin) + F.expr(f"id div {nx}") * step, F.lit(float(ymax))).alias("y"))
+    return g.withColumn("undulation", swiss_geoid("x", "y"))
+
+
+def edge_samples(grid: Grid, per_edge: int = 20) -> list[tuple[float, float]]:
+    """Points along the four edges of a raster, from which its extent in another projection is read."""
+    w, h = grid.cols * grid.res, grid.rows * grid.res
+    f = [k / (per_edge - 1) for k in range(per_edge)]
+    return [(grid.x0 + w * t, grid.y0) for t in f] + [(grid.x0 + w * t, grid.y0 - h) for t in f] + [(grid.x0, grid.y0 - h * t) for t in f] + [(grid.x0 + w, grid.y0 - h * t) for t in f]

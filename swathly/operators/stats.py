@@ -7,17 +7,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scale import ranked_percentiles
+
 
 def error_stats(df: DataFrame, error: str, valid: Column, thresholds: tuple[float, ...], pass_at: float) -> DataFrame:
     """One row over the valid rows: mean, population spread, extremes, exact median, root mean square, counts within thresholds, pass rate; zeros if none is valid."""
+    middle = ranked_percentiles(df.where(valid), error, (0.5,)).toDF("__median")
     e = F.when(valid, F.col(error))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     n = F.count(e)
     counts = [F.count_if(valid & (F.col(error) <= t)).alias(f"within_{str(t).replace('.', '_')}") for t in thresholds]
-    return df.agg(
+    own = df.agg(
         F.count("*").alias("n_total"), n.alias("n_valid"), zero(F.avg(e)).alias("mean_error"), zero(F.stddev_pop(e)).alias("std_error"), zero(F.min(e)).alias("min_error"), zero(F.max(e)).alias("max_error"),
-        zero(F.median(e)).alias("median_error"), zero(F.sqrt(F.avg(e * e))).alias("rmse"), *counts, zero(F.count_if(valid & (F.col(error) <= pass_at)) / F.nullif(n, F.lit(0))).alias("pass_rate"),
+        zero(F.sqrt(F.avg(e * e))).alias("rmse"), *counts, zero(F.count_if(valid & (F.col(error) <= pass_at)) / F.nullif(n, F.lit(0))).alias("pass_rate"),
     )
+    columns = [*own.columns[:6], "median_error", *own.columns[6:]]
+    return own.join(F.broadcast(middle)).withColumn("median_error", zero(F.col("__median"))).select(*columns)  # one row each
 
 
 def error_by_groups(df: DataFrame, error: str, valid: Column, groups: tuple[str, str]) -> DataFrame:
@@ -30,9 +35,12 @@ def error_by_groups(df: DataFrame, error: str, valid: Column, groups: tuple[str,
 
 
 def percentiles(df: DataFrame, value: str, ps: tuple[float, ...], keys: list[str] = (), approximate: bool = False) -> DataFrame:
-    """Linearly interpolated percentiles; approximate ones only on request."""
-    f = F.percentile_approx if approximate else F.percentile
-    return df.groupBy(*keys).agg(*[f(value, F.lit(p)).alias(f"p{round(p * 100):02d}") for p in ps])
+    """Linearly interpolated percentiles p02, p50, ..., exact whatever the size of a key; approximate ones only on request."""
+    names = [f"p{round(p * 100):02d}" for p in ps]
+    if approximate:
+        own = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(float(p)) for p in ps])).alias("__p"))
+        return own.select(*keys, *[F.get("__p", F.lit(k)).alias(n) for k, n in enumerate(names)])
+    return ranked_percentiles(df, value, ps, list(keys)).toDF(*keys, *names)
 
 
 def stretch(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98, gamma: float = 1.0, top: int = 255) -> DataFrame:
@@ -51,6 +59,19 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return df.where(F.col(value).between(low, high)).groupBy(b.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def undulation(df: DataFrame, height_in: str, height_out: str) -> DataFrame:
+    """Mean, lowest and highest difference of two heights over the points that have both, and their number."""
+    d = F.col(height_out) - F.col(height_in)
+    return df.agg(F.count(d).alias("n"), F.avg(d).alias("mean_undulation"), F.min(d).alias("min_undulation"), F.max(d).alias("max_undulation"))
+
+
+def grouped_index(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """key, rows: the rows of each key as an ordered array. For keys of bounded size, as a point's or an image's measurements."""
+    rest = [c for c in df.columns if c != key]
+    own = F.struct(*order, *[c for c in rest if c not in order])
+    return df.groupBy(key).agg(F.sort_array(F.collect_list(own)).alias("rows"))
+
+
 def linear_fit(df: DataFrame, y: str, x: str, keys: list[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
@@ -104,19 +125,34 @@ def shift_advice(df: DataFrame, du: str, dv: str, limit: float) -> DataFrame:
 
 
 def gray_range(df: DataFrame, spectrum: str, out: str = "gray") -> DataFrame:
-    """Band mean of each pixel, brought to 0..255 over the whole image, cut off."""
+    """Band mean of each pixel, brought to 0..255 over the whole image, cut off; null without bands."""
     total = F.aggregate(F.col(spectrum), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    g = df.withColumn("__g", total / F.size(spectrum))
+    g = df.withColumn("__g", F.try_divide(total, F.size(spectrum)))
     b = g.agg(F.min("__g").alias("__a"), F.max("__g").alias("__b"))
-    return g.join(F.broadcast(b)).withColumn(out, F.when(F.col("__b") > F.col("__a"), ((F.col("__g") - F.col("__a")) / (F.col("__b") - F.col("__a")) * 255).cast("int")).otherwise(0)).drop("__g", "__a", "__b")  # one row
+    return g.join(F.broadcast(b)).withColumn(out, F.when(F.col("__b") > F.col("__a"), ((F.col("__g") - F.col("__a")) / (F.col("__b") - F.col("__a")) * 255).cast("int")).when(F.col("__g").isNotNull(), 0)).drop("__g", "__a", "__b")  # one row
+
+
+def nearest_class(df: DataFrame, label: str, vector: str) -> DataFrame:
+    """The rows with ``nearest``: the class whose mean vector is nearest, the smaller label on ties. The classes' means travel as one array: a row per class, whatever the corpus."""
+    x = F.transform(vector, lambda v: v.cast("double"))
+    means = df.select(label, F.posexplode(x).alias("i", "v")).groupBy(label, "i").agg(F.avg("v").alias("v"))
+    means = means.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("m"))
+    few = means.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "m"))).alias("__means"))
+    gap = lambda m: F.round(F.aggregate(F.zip_with(x, m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b), 9)
+    best = F.array_min(F.transform("__means", lambda e: F.struct(gap(e["m"]).alias("d"), e["label"].alias("label"))))
+    return df.join(F.broadcast(few)).withColumn("nearest", best["label"]).drop("__means")  # one row
 
 
 # -- principal components ----------------------------------------------------------
 
 
 def moments(df: DataFrame, spectrum: str, bands: int, nodata: float | None = None) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and sample covariance of the valid spectra: partial sums per task, shifted by a first mean, added up in a few rows."""
-    own = df.select(F.col(spectrum).cast("array<double>").alias("s"))
+    """Count, mean and sample covariance of the valid spectra: partial sums per task, shifted by a first mean, added up in a few rows.
+
+    Not valid are null spectra, those with another number of bands or a null among them, and
+    those whose bands are all ``nodata``.
+    """
+    own = df.select(F.col(spectrum).cast("array<double>").alias("s")).where((F.size("s") == bands) & F.forall("s", lambda x: x.isNotNull()))
     if nodata is not None:
         own = own.where(F.exists("s", lambda x: x != nodata))
     first = own.agg(F.count("*").alias("n"), *[F.avg(F.element_at("s", k + 1)).alias(f"m{k}") for k in range(bands)]).first()

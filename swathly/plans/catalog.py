@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import asof, geometry, sequence, stats
+from ..operators import asof, geometry, select, sequence, stats
 from ..session import table
 
 QUERIES: dict = {}
@@ -114,14 +114,17 @@ def q_rates(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
-d AS (SELECT *, CASE WHEN a * lag(a) OVER w + b * lag(b) OVER w < 0 THEN 1 ELSE 0 END AS neg FROM p WINDOW w AS (ORDER BY vec_id)),
-s AS (SELECT *, CASE WHEN sum(neg) OVER (ORDER BY vec_id) % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM d)
-SELECT vec_id, round(a * s, 6) + 0.0 AS a, round(b * s, 6) + 0.0 AS b FROM s"""
+    """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS v, lag(embedding::DOUBLE[]) OVER (ORDER BY vec_id) AS u FROM embeddings),
+d AS (SELECT vec_id, v, CASE WHEN u IS NOT NULL AND list_dot_product(v, u) < 0 THEN 1 ELSE 0 END AS neg FROM p), s AS (SELECT *, CASE WHEN sum(neg) OVER (ORDER BY vec_id) % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM d)
+SELECT vec_id, s AS sign, round(list_sum(v) * s, 6) + 0.0 AS total FROM s"""
 )
 def q_quat_sign(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"), F.lit(0).alias("flight"))
-    return sequence.sign_continuity(e, ["flight"], ["vec_id"], ["a", "b"]).select("vec_id", _r("a").alias("a"), _r("b").alias("b"))
+    """All numbers of each vector, as one series without a key."""
+    parts = [f"v{k}" for k in range(64)]
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(1.0).alias("one"), *[F.col("embedding")[k].cast("double").alias(p) for k, p in enumerate(parts)])
+    own = sequence.sign_continuity(e.withColumn("first", F.col("v0")), [], ["vec_id"], parts)
+    total = sum((F.col(p) for p in parts[1:]), F.col("v0"))
+    return own.select("vec_id", F.when(F.col("v0") == F.col("first"), 1.0).otherwise(-1.0).alias("sign"), _r(total).alias("total"))
 
 
 @query(
@@ -267,11 +270,16 @@ def q_semi(spark, sf_dir):
     return geometry.split_members(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")[0].select(F.col("k").alias("c_custkey"))
 
 
-@query("SELECT 'customer' AS side, c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'order', o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'part', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query(
+    """SELECT 'customer' AS side, c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT 'order', o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+UNION ALL SELECT 'part', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')"""
+)
 def q_anti3(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
-    p, l = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"))
-    parts = [("customer", c, o), ("order", o, c), ("part", p, l)]
+    """Customers without a closed order, orders of customers without credit, parts that never came back."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    p, l = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k"))
+    key = lambda df, name: df.select(F.col(name).alias("k"))
+    parts = [("customer", key(c, "c_custkey"), key(o.where("o_orderstatus = 'F'"), "o_custkey")), ("order", key(o, "o_custkey"), key(c.where("c_acctbal > 0"), "c_custkey")), ("part", p, l)]
     out = None
     for side, a, b in parts:
         one = geometry.completeness(a, b, "k").select(F.lit(side).alias("side"), "k")
@@ -290,25 +298,22 @@ UNION ALL SELECT 'intersect', k FROM (SELECT c_nationkey AS k FROM customer INTE
 )
 def q_set_ops(spark, sf_dir):
     a, b = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
-    named = lambda op, df: df.select(F.lit(op).alias("op"), "k")
-    return named("except", a.distinct().exceptAll(b.distinct())).unionByName(named("union", a.union(b).distinct())).unionByName(named("intersect", a.intersect(b))).unionByName(named("all", a.union(b)))
+    return select.set_operations(a, b, "k")
 
 
 @query("SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
 def q_topk(spark, sf_dir):
-    return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
+    return select.top_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 50).select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
 @query("WITH t AS (SELECT unnest([450.0, 550.0, 650.0, 1200.0]) AS target) SELECT target, arg_min(p_partkey, (abs(p_retailprice - target), p_partkey)) AS p_partkey FROM part, t GROUP BY target")
 def q_closest_wave(spark, sf_dir):
-    """Four targets against every part: each part is exploded into them, then grouped."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.explode(F.array(*[F.lit(t) for t in (450.0, 550.0, 650.0, 1200.0)])).alias("target"))
-    return p.groupBy("target").agg(F.min_by("p_partkey", F.struct(F.abs(F.col("p_retailprice") - F.col("target")), "p_partkey")).alias("p_partkey"))
+    return select.closest(table(spark, sf_dir, "part"), "p_retailprice", "p_partkey", [450.0, 550.0, 650.0, 1200.0])
 
 
 @query(
     """WITH a AS (SELECT label AS k, vec_id AS id_a, embedding AS x FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT label AS k, vec_id AS id_b, embedding AS y FROM embeddings WHERE vec_id % 2 = 1),
-d AS (SELECT k, id_a, id_b, round(sqrt((x[1]::DOUBLE-y[1]::DOUBLE)**2+(x[2]::DOUBLE-y[2]::DOUBLE)**2+(x[3]::DOUBLE-y[3]::DOUBLE)**2+(x[4]::DOUBLE-y[4]::DOUBLE)**2), 9) AS d FROM a JOIN b USING (k)),
+d AS (SELECT k, id_a, id_b, round(list_distance(x::DOUBLE[], y::DOUBLE[]), 9) AS d FROM a JOIN b USING (k)),
 na AS (SELECT k, id_a, min((d, id_b)) AS m FROM d GROUP BY ALL), nb AS (SELECT k, id_b, min((d, id_a)) AS m FROM d GROUP BY ALL)
 SELECT na.k, na.id_a, nb.id_b, round(1 / (na.m[1] + 1e-8), 4) AS confidence FROM na JOIN nb ON na.k = nb.k AND na.m[2] = nb.id_b AND nb.m[2] = na.id_a"""
 )
@@ -316,8 +321,8 @@ def q_mutual_nearest(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     a = e.where("vec_id % 2 = 0").select(F.col("label").alias("k"), F.col("vec_id").alias("id_a"), F.col("embedding").alias("x"))
     b = e.where("vec_id % 2 = 1").select(F.col("label").alias("k"), F.col("vec_id").alias("id_b"), F.col("embedding").alias("y"))
-    sq = lambda k: F.pow(F.col("x")[k].cast("double") - F.col("y")[k].cast("double"), 2)
-    m = geometry.mutual_nearest(a, b, F.round(F.sqrt(sq(0) + sq(1) + sq(2) + sq(3)), 9), "k")
+    squares = F.zip_with("x", "y", lambda p, q: F.pow(p.cast("double") - q.cast("double"), F.lit(2.0)))
+    m = geometry.mutual_nearest(a, b, F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v)), 9), "k")
     return m.select("k", "id_a", "id_b", F.round("confidence", 4).alias("confidence"))
 
 
@@ -378,38 +383,57 @@ def q_linfit(spark, sf_dir):
     return stats.linear_fit(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"]).select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"))
 
 
-@query(
-    "WITH d AS (SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings) SELECT i, j, round(v, 6) + 0.0 AS cov FROM (SELECT 0 AS i, 0 AS j, covar_samp(a, a) AS v FROM d UNION ALL SELECT 0, 1, covar_samp(a, b) FROM d UNION ALL SELECT 0, 2, covar_samp(a, c) FROM d UNION ALL SELECT 1, 1, covar_samp(b, b) FROM d UNION ALL SELECT 1, 2, covar_samp(b, c) FROM d UNION ALL SELECT 2, 2, covar_samp(c, c) FROM d)"
-)
+BANDS = "b AS (SELECT vec_id, i - 1 AS i, embedding[i]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
+
+
+@query(f"WITH {BANDS} SELECT a.i::INT AS i, c.i::INT AS j, round(covar_samp(a.x, c.x), 6) + 0.0 AS cov FROM b a JOIN b c ON a.vec_id = c.vec_id AND a.i <= c.i GROUP BY a.i, c.i")
 def q_mean_cov(spark, sf_dir):
+    """Every entry of the covariance, which bands x bands numbers carry."""
     _, _, cov = stats.moments(table(spark, sf_dir, "embeddings"), "embedding", 64)
-    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 6) + 0.0) for i in range(3) for j in range(i, 3)], "i int, j int, cov double")
+    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 6) + 0.0) for i in range(64) for j in range(i, 64)], "i int, j int, cov double")
 
 
-@query()
+@query(f"WITH {BANDS}, v AS (SELECT i, var_samp(x) AS v FROM b GROUP BY i) SELECT i::INT AS band, round(v / sum(v) OVER (), 4) AS importance FROM v")
 def q_pca_importance(spark, sf_dir):
+    """Over all components a band's share is that of its variance, which SQL knows without any eigenvector."""
     _, _, cov = stats.moments(table(spark, sf_dir, "embeddings"), "embedding", 64)
-    values, vectors, k = stats.components(cov, 0.95)
-    return spark.createDataFrame([(b, round(v, 4)) for b, v in stats.band_importance(values, vectors, k)], "band int, importance double")
+    values, vectors, k = stats.components(cov, 1.0)
+    return spark.createDataFrame([(b, round(v, 4)) for b, v in stats.band_importance(values, vectors, 64)], "band int, importance double")
 
 
-@query()
+@query(f"WITH {BANDS}, m AS (SELECT i, avg(x) AS m FROM b GROUP BY i) SELECT vec_id, round(sum((x - m) ** 2), 4) AS length2 FROM b JOIN m USING (i) GROUP BY vec_id")
 def q_pca_scores(spark, sf_dir):
+    """Scores on all components keep a row's distance from the mean."""
     e = table(spark, sf_dir, "embeddings")
     _, mean, cov = stats.moments(e, "embedding", 64)
-    _, vectors, _ = stats.components(cov, 0.95)
-    return stats.scores(e, "embedding", mean, vectors, 3).select("vec_id", F.transform("scores", lambda x: F.round(F.abs(x), 4)).alias("abs_scores"))
+    _, vectors, _ = stats.components(cov, 1.0)
+    return stats.scores(e, "embedding", mean, vectors, 64).select("vec_id", F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length2"))
+
+
+@query(
+    f"WITH {BANDS}, p AS (SELECT a.i AS i, c.i AS j, covar_samp(a.x, c.x) AS v FROM b a JOIN b c ON a.vec_id = c.vec_id GROUP BY a.i, c.i) SELECT round(sum(CASE WHEN i = j THEN v END), 4) AS trace, round(sum(v * v), 4) AS squares, 64 AS orthonormal, 64 AS eigenpairs FROM p"
+)
+def q_pca_spectrum(spark, sf_dir):
+    """Sums of the eigenvalues and of their squares against those of the covariance; how many vectors are orthonormal and solve A v = lambda v."""
+    _, _, cov = stats.moments(table(spark, sf_dir, "embeddings"), "embedding", 64)
+    values, vectors, _ = stats.components(cov, 1.0)
+    near = lambda x: int((abs(x).max(0) < 1e-9).sum())
+    gram = vectors.T @ vectors
+    gram[range(64), range(64)] -= 1
+    return spark.createDataFrame([(round(float(values.sum()), 4), round(float((values**2).sum()), 4), near(gram), near(cov @ vectors - vectors * values))], "trace double, squares double, orthonormal int, eigenpairs int")
 
 
-@query("SELECT vec_id, len(list_filter(embedding, lambda x: x > 0.1)) > 0 AS valid FROM embeddings")
+@query("SELECT vec_id, len(list_filter(embedding, lambda x: round(x::DOUBLE, 0) <> 0)) > 0 AS valid FROM embeddings")
 def q_pixel_mask(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.exists("embedding", lambda x: x > F.lit(0.1)).alias("valid"))
+    """Valid is a pixel with any band beside the missing value; rounded to whole numbers, many have none."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 0) + F.lit(0.0)).alias("s"))
+    return select.valid_pixels(own, "s", 0.0).select("vec_id", "valid")
 
 
 @query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS b0, round(embedding[6]::DOUBLE, 6) AS b1, round(embedding[64]::DOUBLE, 6) AS b2 FROM embeddings")
 def q_band_subset(spark, sf_dir):
-    pick = F.transform(F.array(F.lit(0), F.lit(5), F.lit(63)), lambda i: F.get("embedding", i))
-    return table(spark, sf_dir, "embeddings").select("vec_id", pick.alias("s")).select("vec_id", *[F.round(F.col("s")[k].cast("double"), 6).alias(f"b{k}") for k in range(3)])
+    own, _ = select.band_subset(table(spark, sf_dir, "embeddings"), "embedding", [63, 0, 5, 0])
+    return own.select("vec_id", F.col("embedding").alias("s")).select("vec_id", *[F.round(F.col("s")[k].cast("double"), 6).alias(f"b{k}") for k in range(3)])
 
 
 @query("WITH g AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding) AS g FROM embeddings), b AS (SELECT min(g) AS a, max(g) AS b FROM g) SELECT vec_id, trunc((g - a) / (b - a) * 255)::INT AS gray FROM g, b")

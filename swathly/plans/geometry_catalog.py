@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import camera, core, geodesy, rotation
-from ..operators import geometry, raster, sequence, solve, stats
+from ..operators import geometry, raster, select, sequence, solve, stats
 from ..session import table
 from ..sources import text
 from .catalog import query
@@ -102,33 +102,43 @@ def q_tiles_overlap(spark, sf_dir):
     return raster.overlapping_tiles(spark, 200, 150, 64, 16)
 
 
+CUBE = """c AS (SELECT l_orderkey % 20 AS line, l_linenumber % 4 AS sample, min(l_quantity) AS a, max(l_discount) AS b FROM lineitem GROUP BY 1, 2 HAVING NOT (line = 7 AND sample = 2)),
+p AS (SELECT s_suppkey, (s_suppkey * 7 % 230) / 10.0 - 1 AS l, (s_suppkey * 3 % 40) / 10.0 AS s FROM supplier)"""
+
+
+def _cube(spark, sf_dir):
+    """A cube without one of its pixels, and points, some of them outside."""
+    l = table(spark, sf_dir, "lineitem")
+    cube = l.groupBy((F.col("l_orderkey") % 20).alias("line"), (F.col("l_linenumber") % 4).alias("sample")).agg(F.min("l_quantity").alias("a"), F.max("l_discount").alias("b")).where("not (line = 7 and sample = 2)").select("line", "sample", F.array("a", "b").alias("spectrum"))
+    k = F.col("s_suppkey")
+    return cube, table(spark, sf_dir, "supplier").select("s_suppkey", (k * 7 % 230 / 10.0 - 1).alias("l"), (k * 3 % 40 / 10.0).alias("s"))
+
+
 @query(
-    """WITH c AS (SELECT l_orderkey % 20 AS line, l_linenumber % 4 AS sample, min(l_quantity) AS a, max(l_discount) AS b FROM lineitem GROUP BY 1, 2),
-p AS (SELECT s_suppkey, (s_suppkey * 7 % 190) / 10.0 AS l, (s_suppkey * 3 % 30) / 10.0 AS s FROM supplier),
-b AS (SELECT *, greatest(0, least(floor(l), 18))::BIGINT AS bl, greatest(0, least(floor(s), 2))::BIGINT AS bs FROM p),
-n AS (SELECT s_suppkey, bl + i AS line, bs + j AS sample, (CASE i WHEN 1 THEN l - bl ELSE 1 - (l - bl) END) * (CASE j WHEN 1 THEN s - bs ELSE 1 - (s - bs) END) AS w FROM b, (VALUES (0), (1)) x(i), (VALUES (0), (1)) y(j))
-SELECT s_suppkey, round(sum(w * a), 6) AS b0, round(sum(w * b), 6) AS b1 FROM n JOIN c USING (line, sample) WHERE w <> 0 GROUP BY s_suppkey"""
+    f"""WITH {CUBE}, b AS (SELECT *, greatest(0, least(floor(l), 18))::BIGINT AS bl, greatest(0, least(floor(s), 2))::BIGINT AS bs FROM p WHERE l BETWEEN 0 AND 19 AND s BETWEEN 0 AND 3),
+n AS (SELECT s_suppkey, bl + i AS line, bs + j AS sample, (CASE i WHEN 1 THEN l - bl ELSE 1 - (l - bl) END) * (CASE j WHEN 1 THEN s - bs ELSE 1 - (s - bs) END) AS w FROM b, (VALUES (0), (1)) x(i), (VALUES (0), (1)) y(j)),
+g AS (SELECT s_suppkey, sum(w * a) AS b0, sum(w * b) AS b1 FROM n LEFT JOIN c USING (line, sample) WHERE w <> 0 GROUP BY s_suppkey HAVING count(*) = count(a))
+SELECT s_suppkey, round(b0, 6) AS b0, round(b1, 6) AS b1 FROM supplier LEFT JOIN g USING (s_suppkey)"""
 )
 def q_cube_lookup(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")
-    cube = l.groupBy((F.col("l_orderkey") % 20).alias("line"), (F.col("l_linenumber") % 4).alias("sample")).agg(F.min("l_quantity").alias("a"), F.max("l_discount").alias("b")).select("line", "sample", F.array("a", "b").alias("spectrum"))
-    k = F.col("s_suppkey")
-    pts = table(spark, sf_dir, "supplier").select("s_suppkey", (k * 7 % 190 / 10.0).alias("l"), (k * 3 % 30 / 10.0).alias("s"))
+    cube, pts = _cube(spark, sf_dir)
     return raster.cube_lookup(pts, cube, "s_suppkey", "l", "s", 20, 4).select("s_suppkey", *[F.round(F.col("spectrum")[i], 6).alias(f"b{i}") for i in range(2)])
 
 
+@query(f"WITH {CUBE} SELECT s_suppkey, a AS b0, b AS b1 FROM p LEFT JOIN c ON round_even(l, 0)::BIGINT = line AND round_even(s, 0)::BIGINT = sample")
+def q_cube_nearest(spark, sf_dir):
+    cube, pts = _cube(spark, sf_dir)
+    return raster.cube_nearest(pts, cube, "l", "s").select("s_suppkey", *[F.col("spectrum")[i].alias(f"b{i}") for i in range(2)])
+
+
 @query(
-    """WITH c AS (SELECT label, avg(embedding[1]::DOUBLE) AS a, avg(embedding[2]::DOUBLE) AS b, avg(embedding[3]::DOUBLE) AS c FROM embeddings GROUP BY label),
-d AS (SELECT vec_id, c.label, round((embedding[1]::DOUBLE - a)**2 + (embedding[2]::DOUBLE - b)**2 + (embedding[3]::DOUBLE - c)**2, 9) AS d FROM embeddings, c)
+    """WITH v AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)), m AS (SELECT label, i, avg(x) AS m FROM v GROUP BY label, i),
+d AS (SELECT v.vec_id, m.label, round(sum((x - m) ** 2), 9) AS d FROM v JOIN m ON v.i = m.i GROUP BY v.vec_id, m.label)
 SELECT vec_id, arg_min(label, (d, label)) AS nearest FROM d GROUP BY vec_id"""
 )
 def q_nn_embed(spark, sf_dir):
-    """Every vector against the few class means, which one row of arrays carries."""
     e = table(spark, sf_dir, "embeddings")
-    x = lambda k: F.col("embedding")[k].cast("double")
-    means = e.groupBy("label").agg(*[F.avg(x(k)).alias(f"m{k}") for k in range(3)]).agg(F.collect_list(F.struct("label", "m0", "m1", "m2")).alias("means"))
-    d = F.transform("means", lambda m: F.struct(F.round(F.pow(x(0) - m["m0"], 2) + F.pow(x(1) - m["m1"], 2) + F.pow(x(2) - m["m2"], 2), 9).alias("d"), m["label"].alias("label")))
-    return e.join(F.broadcast(means)).select("vec_id", F.array_min(d)["label"].alias("nearest"))  # one row, one entry per class
+    return stats.nearest_class(e, "label", "embedding").select("vec_id", F.col("nearest"))
 
 
 # -- geodesy -----------------------------------------------------------------------
@@ -171,10 +181,13 @@ def q_local_enu(spark, sf_dir):
     return _places(spark, sf_dir).select("c_custkey", *_named(dict(zip(("east", "north", "up"), enu, strict=True)), 4))
 
 
-@query(f"WITH {PLACES} SELECT c_custkey, round(-sin(radians(lat)) * cos(radians(lon)), 9) + 0.0 AS n0, round(-sin(radians(lon)), 9) + 0.0 AS e0, round(-sin(radians(lat)), 9) + 0.0 AS d2 FROM p")
+NED = ("-sin(a) * cos(b)", "-sin(a) * sin(b)", "cos(a)", "-sin(b)", "cos(b)", "0.0", "-cos(a) * cos(b)", "-cos(a) * sin(b)", "-sin(a)")
+
+
+@query(f"WITH {PLACES}, q AS (SELECT c_custkey, radians(lat) AS a, radians(lon) AS b FROM p) SELECT c_custkey, " + ", ".join(f"round({x}, 9) + 0.0 AS m{k // 3}{k % 3}" for k, x in enumerate(NED)) + " FROM q")
 def q_ned(spark, sf_dir):
     m = geodesy.ecef_to_ned(F.radians("lat"), F.radians("lon"))
-    return _places(spark, sf_dir).select("c_custkey", *_named({"n0": m[0][0], "e0": m[1][0], "d2": m[2][2]}, 9))
+    return _places(spark, sf_dir).select("c_custkey", *_named({f"m{i}{j}": m[i][j] for i in range(3) for j in range(3)}, 9))
 
 
 @query(f"WITH {PLACES}, q AS (SELECT c_custkey, (lat*3600-169028.66)/10000 AS p, (lon*3600-26782.5)/10000 AS m FROM p) SELECT c_custkey, round(2600072.37+211455.93*m-10938.51*m*p-0.36*m*p*p-44.54*m*m*m, 3) AS e, round(1200147.07+308807.95*p+3745.25*m*m+76.63*p*p-194.56*m*m*p+119.79*p*p*p, 3) AS n, round(49.5+1.5e-5*(2600072.37+211455.93*m-10938.51*m*p-0.36*m*p*p-44.54*m*m*m-2600000)+2.0e-5*(1200147.07+308807.95*p+3745.25*m*m+76.63*p*p-194.56*m*m*p+119.79*p*p*p-1200000), 4) AS geoid FROM q")
@@ -183,12 +196,24 @@ def q_swiss(spark, sf_dir):
     return _places(spark, sf_dir).select("c_custkey", F.round(e, 3).alias("e"), F.round(n, 3).alias("n"), F.round(geodesy.swiss_geoid(e, n), 4).alias("geoid"))
 
 
-@query(f"WITH {PLACES} SELECT c_custkey, true AS close FROM p")
+#: Transverse Mercator by the Krueger series, its numbers for WGS 84 as published.
+KRUEGER = """k AS (SELECT *, radians(lat) AS f, radians(lon - 9) AS d FROM p), s AS (SELECT *, sinh((0.5 * ln((1 + sin(f)) / (1 - sin(f)))) - {k} * (0.5 * ln((1 + {k} * sin(f)) / (1 - {k} * sin(f))))) AS t FROM k), x AS (SELECT *, atan2(t, cos(d)) AS xi, (0.5 * ln((1 + sin(d) / sqrt(1 + t * t)) / (1 - sin(d) / sqrt(1 + t * t)))) AS eta FROM s),
+w AS (SELECT c_custkey, 500000 + 0.9996::DOUBLE * {r} * (eta + {a0} * cos(2*xi) * sinh(2*eta) + {a1} * cos(4*xi) * sinh(4*eta) + {a2} * cos(6*xi) * sinh(6*eta) + {a3} * cos(8*xi) * sinh(8*eta)) AS e, 0.9996::DOUBLE * {r} * (xi + {a0} * sin(2*xi) * cosh(2*eta) + {a1} * sin(4*xi) * cosh(4*eta) + {a2} * sin(6*xi) * cosh(6*eta) + {a3} * sin(8*xi) * cosh(8*eta)) AS n FROM x)""".format(k=repr(2 * math.sqrt(0.0016792203863836984) / (1 + 0.0016792203863836984)), r="6367449.145823415::DOUBLE", a0="0.0008377318206244698::DOUBLE", a1="7.608527773572489e-07::DOUBLE", a2="1.197645503242494e-09::DOUBLE", a3="2.42917068039708e-12::DOUBLE")
+
+
+@query(f"WITH {PLACES}, {KRUEGER} SELECT c_custkey, round(e, 2) AS e, round(n, 2) AS n FROM w")
+def q_utm_forward(spark, sf_dir):
+    """Easting and northing, to the centimetre; a test compares them with another series."""
+    e, n = geodesy.utm_forward("lat", "lon", 32632)
+    return _places(spark, sf_dir).select("c_custkey", F.round(e, 2).alias("e"), F.round(n, 2).alias("n"))
+
+
+@query(f"WITH {PLACES} SELECT c_custkey, round(lat, 8) AS lat, round(lon, 8) AS lon FROM p")
 def q_utm_roundtrip(spark, sf_dir):
-    """Forward and back to within a hundredth of a second's thousandth."""
-    p = _places(spark, sf_dir).withColumns(dict(zip(("e", "n"), geodesy.utm_forward("lat", "lon", 32632), strict=True)))
+    """Forward and back."""
+    p = _places(spark, sf_dir).select("c_custkey", *[c.alias(k) for c, k in zip(geodesy.utm_forward("lat", "lon", 32632), "en", strict=True)])
     la, lo = geodesy.utm_inverse("e", "n", 32632)
-    return p.select("c_custkey", ((F.abs(la - F.col("lat")) < 1e-8) & (F.abs(lo - F.col("lon")) < 1e-8)).alias("close"))
+    return p.select("c_custkey", F.round(la, 8).alias("lat"), F.round(lo, 8).alias("lon"))
 
 
 @query(f"WITH {PLACES} SELECT c_custkey, round(sqrt(((8.2 - lon) * 111000.0 * cos(radians(lat)))**2 + ((46.8 - lat) * 111000.0)**2), 3) AS metres, round(1.0003 - 0.0000205 * h / 1000, 12) AS air FROM p")
@@ -207,10 +232,13 @@ def _angles(spark, sf_dir):
 ANGLES = "a AS (SELECT event_id, (event_id % 61 - 30) / 100.0 AS r, (event_id % 37 - 18) / 100.0 AS p, (event_id % 628) / 100.0 - 3.1 AS y FROM events)"
 
 
-@query(f"WITH {ANGLES} SELECT event_id, round(cos(y)*cos(p), 9) + 0.0 AS m00, round(cos(y)*sin(p)*sin(r) - sin(y)*cos(r), 9) + 0.0 AS m01, round(sin(y)*sin(p)*cos(r) - cos(y)*sin(r), 9) + 0.0 AS m12, round(cos(p)*cos(r), 9) + 0.0 AS m22 FROM a")
+ZYX = ("cos(y)*cos(p)", "cos(y)*sin(p)*sin(r) - sin(y)*cos(r)", "cos(y)*sin(p)*cos(r) + sin(y)*sin(r)", "sin(y)*cos(p)", "sin(y)*sin(p)*sin(r) + cos(y)*cos(r)", "sin(y)*sin(p)*cos(r) - cos(y)*sin(r)", "-sin(p)", "cos(p)*sin(r)", "cos(p)*cos(r)")
+
+
+@query(f"WITH {ANGLES} SELECT event_id, " + ", ".join(f"round({x}, 9) + 0.0 AS m{k // 3}{k % 3}" for k, x in enumerate(ZYX)) + " FROM a")
 def q_euler(spark, sf_dir):
     m = rotation.rpy_matrix("roll", "pitch", "yaw")
-    return _angles(spark, sf_dir).select("event_id", *_named({"m00": m[0][0], "m01": m[0][1], "m12": m[1][2], "m22": m[2][2]}, 9))
+    return _angles(spark, sf_dir).select("event_id", *_named({f"m{i}{j}": m[i][j] for i in range(3) for j in range(3)}, 9))
 
 
 @query(f"WITH {ANGLES} SELECT event_id, round(r, 9) + 0.0 AS roll, round(p, 9) + 0.0 AS pitch, round(CASE WHEN y > pi() THEN y - 2 * pi() ELSE y END, 9) + 0.0 AS yaw, true AS ok FROM a")
@@ -327,13 +355,20 @@ def q_triangulate(spark, sf_dir):
     return t.select("o_orderkey", "views", *[_r(k, 4).alias(k) for k in "xyz"])
 
 
-@query("SELECT o_orderkey, 3::BIGINT AS views, 0.0 AS rmse_px, CASE WHEN o_orderkey % 2 = 0 THEN 0.0 ELSE -1.0 END AS error_3d FROM orders")
+@query(
+    "WITH p AS (SELECT o_orderkey AS k, (o_orderkey % 97)::DOUBLE AS x, (o_orderkey % 89)::DOUBLE AS y, (o_orderkey % 53)::DOUBLE AS z FROM orders), v(cx, cy, cz) AS (VALUES " + ", ".join(f"({x}, {y}, {z})" for x, y, z in VIEWS) + "), "
+    "r AS (SELECT k, x - cx AS ax, y - cy AS ay, z + 3 - cz AS az, x - cx AS dx, y - cy AS dy, z - cz AS dz FROM p, v), "
+    "s AS (SELECT k, ((ax*ax + ay*ay + az*az) * (dx*dx + dy*dy + dz*dz) - (ax*dx + ay*dy + az*dz)**2) / (ax*dx + ay*dy + az*dz)**2 AS t FROM r) "
+    "SELECT k AS o_orderkey, 3::BIGINT AS views, round(1200 * sqrt(avg(greatest(t, 0))), 3) AS rmse_px, CASE WHEN k % 2 = 0 THEN 5.0 ELSE -1.0 END AS error_3d FROM s GROUP BY k"
+)
 def q_triangulation_report(spark, sf_dir):
+    """Points three metres too high, against control points four metres to the side of the true place."""
     v = _views(spark, sf_dir)
     t = geometry.triangulate(v, "o_orderkey", ("cx", "cy", "cz"), ("dx", "dy", "dz"))
-    control = v.where("o_orderkey % 2 = 0").groupBy("o_orderkey").agg(*[F.first(f"p{k}").alias(k) for k in "xyz"])
-    r = geometry.triangulation_report(t, v, control, "o_orderkey", ("cx", "cy", "cz"), ("dx", "dy", "dz"), 1200.0)
-    return r.select("o_orderkey", "views", _r("rmse_px", 2).alias("rmse_px"), _r("error_3d", 3).alias("error_3d"))
+    raised = t.withColumn("z", F.rint("z") + 3).withColumn("x", F.rint("x")).withColumn("y", F.rint("y"))
+    control = v.where("o_orderkey % 2 = 0").groupBy("o_orderkey").agg((F.first("px") + 4).alias("x"), F.first("py").alias("y"), F.first("pz").alias("z"))
+    r = geometry.triangulation_report(raised, v, control, "o_orderkey", ("cx", "cy", "cz"), ("dx", "dy", "dz"), 1200.0)
+    return r.select("o_orderkey", "views", _r("rmse_px", 3).alias("rmse_px"), _r("error_3d", 3).alias("error_3d"))
 
 
 VECTORS = "v AS (SELECT o_orderkey, o_orderkey % 11 - 5.0 AS a, o_orderkey % 7 - 3.0 AS b, o_orderkey % 5 + 1.0 AS c FROM orders)"
@@ -367,39 +402,46 @@ def straight_flight(n: int = 500, seconds: float = 10.0) -> solve.Trajectory:
     return solve.Trajectory.of(t, np.full(n, math.radians(46.95)), np.radians(7.44 + 0.02 * t / seconds), np.full(n, 1500.0), z, z, np.full(n, math.pi / 2))
 
 
-@query()
+@query("SELECT c_custkey AS point_id, round((0.001 + c_custkey % 180 / 10000.0) / 0.02 * 10, 4) AS time, round((0.001 + c_custkey % 180 / 10000.0) / 0.02 * 999, 3) AS line, 31.5 AS u, 36.5 AS sample, true AS valid FROM customer")
 def q_newton_time(spark, sf_dir):
-    """Ground points below the track, one per customer: the time each was seen."""
+    """Ground points below the track, one per customer: on a straight level flight each is seen when the sensor has its longitude, by the middle of the line."""
     k = F.col("c_custkey")
     p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), F.lit(46.95).alias("lat"), (7.441 + k % 180 / 10000.0).alias("lon"))
     x = geodesy.geodetic_to_ecef("lat", "lon", 500.0, degrees=True)
     g = p.select("point_id", *[c.alias(n) for c, n in zip(x, "xyz", strict=True)])
-    s = solve.scanline_times(g, straight_flight(), np.eye(3), np.linspace(0, 10, 1000), np.linspace(-20, 20, 64))
-    return s.select("point_id", F.round("time", 4).alias("time"), F.round("line", 2).alias("line"), "valid")
+    sensor = camera.TableCamera(tuple(np.linspace(-20, 20, 64)), (0.0, 0.0, 1e-4), first=5)
+    s = solve.scanline_times(g, straight_flight(), solve.MOUNT, np.linspace(0, 10, 1000), sensor)
+    return s.select("point_id", F.round("time", 4).alias("time"), F.round("line", 3).alias("line"), F.round("u", 3).alias("u"), F.round("sample", 3).alias("sample"), "valid")
 
 
 @query("SELECT l_orderkey, l_linenumber, xor(l_orderkey & 65535, 32768) AS v FROM lineitem")
 def q_xor(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").bitwiseAND(65535).bitwiseXOR(F.lit(32768)).alias("v"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", select.flip_sign_bit(F.col("l_orderkey")).alias("v"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT count(*)::DOUBLE AS n, sum(t) AS a, sum(t**2) AS b, sum(t**3) AS c, sum(t**4) AS d, sum(y) AS p, sum(t*y) AS q, sum(t*t*y) AS r FROM (SELECT l_quantity - 25 AS t, l_extendedprice AS y FROM lineitem)),
+d AS (SELECT *, n*(b*d - c*c) - a*(a*d - c*b) + b*(a*c - b*b) AS det FROM s),
+k AS (SELECT (p*(b*d - c*c) - a*(q*d - c*r) + b*(q*c - b*r)) / det AS c0, (n*(q*d - c*r) - p*(a*d - c*b) + b*(a*r - q*b)) / det AS c1, (n*(b*r - q*c) - a*(a*r - q*b) + p*(a*c - b*b)) / det AS c2 FROM d)
+SELECT 0 AS power, round(c0 - 25*c1 + 625*c2, 2) + 0.0 AS coefficient FROM k UNION ALL SELECT 1, round(c1 - 50*c2, 2) + 0.0 FROM k UNION ALL SELECT 2, round(c2, 2) + 0.0 FROM k"""
+)
 def q_polyfit(spark, sf_dir):
     c = stats.polynomial_fit(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", 2)
-    return spark.createDataFrame([(k, round(float(v), 2)) for k, v in enumerate(c)], "power int, coefficient double")
+    return spark.createDataFrame([(k, round(float(v), 2) + 0.0) for k, v in enumerate(c)], "power int, coefficient double")
 
 
 # -- text formats ------------------------------------------------------------------
 
 
 def _talk(spark, sf_dir):
-    """Conversations as lines of a block file: a header, a row per turn, the end mark."""
+    """Conversations as lines of a block file: a header, a row per turn, the end mark; some have a note and a lone number first, which are no headers."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     body = c.select("conv_id", (F.col("turn") + 1).alias("line_no"), F.when(F.col("turn") % 5 == 4, F.lit("broken line")).otherwise(F.concat_ws(" ", F.col("turn").cast("string"), F.format_string("%.2f", F.col("turn") * 1.5), F.lit("-3.25"))).alias("value"))
     ends = c.groupBy("conv_id").agg(F.max("turn").alias("t"))
     head = ends.select("conv_id", F.lit(0).cast("long").alias("line_no"), F.concat(F.lit(""), F.col("conv_id"), F.lit(" point "), F.col("conv_id")).alias("value"))
+    notes = ends.where("conv_id % 4 = 1").select("conv_id", F.explode(F.array(F.struct(F.lit(-2).cast("long").alias("line_no"), F.lit("a note").alias("value")), F.struct(F.lit(-1).cast("long").alias("line_no"), F.lit("77").alias("value")))).alias("n")).select("conv_id", "n.*")
     tail = ends.select("conv_id", (F.col("t") + 2).alias("line_no"), F.lit("-99").alias("value"))
-    return head.unionByName(body).unionByName(tail)
+    return head.unionByName(body).unionByName(tail).unionByName(notes)
 
 
 @query("SELECT conv_id, conv_id::INT AS gcp_id, 'point ' || conv_id AS gcp_name, turn::INT AS image_id, round(turn * 1.5, 2) AS u, -3.25 AS v FROM conversations WHERE turn % 5 <> 4")
@@ -411,16 +453,14 @@ def q_bingo_parse(spark, sf_dir):
 @query("SELECT conv_id, conv_id::INT AS image_id, turn::INT AS point_id, round(turn * 1.5, 2) AS u FROM conversations WHERE turn % 5 <> 4 AND conv_id % 3 <> 0")
 def q_bingo_images(spark, sf_dir):
     """Blocks by image; those of every third conversation lack their end mark and drop out."""
-    lines = _talk(spark, sf_dir).where("not (value = '-99' and conv_id % 3 = 0)")
+    lines = _talk(spark, sf_dir).where("line_no >= 0 and not (value = '-99' and conv_id % 3 = 0)")
     return text.blocks(lines, "image", ["conv_id"]).select("conv_id", "image_id", "point_id", F.round("u", 2).alias("u"))
 
 
 @query("WITH h AS (SELECT page_id, regexp_extract_all(url, '([a-z]+)\\.example', 1) AS a, regexp_extract_all(url, '/([0-9]+)', 1) AS b FROM pages), n AS (SELECT page_id, list_concat(a, b) AS h FROM h) SELECT page_id, side - 1 AS side, h[side] AS name FROM n, (VALUES (1), (2)) s(side) WHERE len(h) = 2")
 def q_regex_pairs(spark, sf_dir):
     """Rows that hold exactly two names."""
-    p = table(spark, sf_dir, "pages")
-    h = F.concat(F.regexp_extract_all("url", F.lit(r"([a-z]+)\.example"), F.lit(1)), F.regexp_extract_all("url", F.lit(r"/([0-9]+)"), F.lit(1)))
-    return p.select("page_id", h.alias("h")).where(F.size("h") == 2).select("page_id", F.posexplode("h").alias("side", "name"))
+    return text.named_pairs(table(spark, sf_dir, "pages"), "page_id", "url", [r"([a-z]+)\.example", r"/([0-9]+)"])
 
 
 @query("SELECT page_id, (i - 1)::INT AS side, 'L' || n || '_UVT' AS name FROM (SELECT page_id, ['1' || page_id, '2' || page_id] AS a FROM pages WHERE page_id % 2 = 0), (VALUES (1), (2)) s(i), LATERAL (SELECT a[i] AS n)")
@@ -467,7 +507,13 @@ def q_template(spark, sf_dir):
     return e.select("event_type", geometry.match_template(F.when(F.col("event_type") == "click", "single").otherwise("many"), parts).alias("line"))
 
 
-@query("SELECT event_type, count(*) AS n, '{\"event_type\":\"' || event_type || '\",\"n\":' || count(*) || '}' AS report FROM events GROUP BY event_type")
+REPORT = """WITH g AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), u AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT 'summary' AS part, '{"n":' || count(*) || '}' AS value FROM events UNION ALL SELECT 'per_type', '{"event_type":"' || event_type || '","n":' || n || '}' FROM g
+UNION ALL SELECT 'per_user', '{"user_id":' || user_id || ',"n":' || n || '}' FROM u UNION ALL SELECT 'details', '{"event_id":' || event_id || ',"user_id":' || user_id || '}' FROM events"""
+
+
+@query(REPORT)
 def q_json_report(spark, sf_dir):
-    g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return g.select("event_type", "n", F.to_json(F.struct("event_type", "n")).alias("report"))
+    e = table(spark, sf_dir, "events")
+    per = {name: e.groupBy(key).agg(F.count("*").alias("n")) for name, key in (("per_type", "event_type"), ("per_user", "user_id"))}
+    return text.report_lines(e.agg(F.count("*").alias("n")), per, e.select("event_id", "user_id"))

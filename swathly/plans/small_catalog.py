@@ -28,10 +28,21 @@ def q_true_heading(spark, sf_dir):
     return e.select("event_id", _r(geodesy.earth_rate_heading("p", "w"), 8).alias("plus"), _r(geodesy.earth_rate_heading("p", "w", "minus"), 8).alias("minus"))
 
 
-@query("WITH h AS (SELECT l_orderkey, l_linenumber, l_partkey AS g, l_partkey + l_linenumber % 3 - 1 AS n FROM lineitem) SELECT l_orderkey, l_linenumber, CASE g - n WHEN 1 THEN g - 1 WHEN -1 THEN g + 1 ELSE g END AS pps, g * 10 + (n - 7) AS tick, (n & 65535) << 16 | ((n >> 16) & 65535) AS swapped FROM h")
+PPS = """h AS (SELECT l_orderkey, l_linenumber, l_partkey AS g, l_partkey + CASE l_linenumber % 6 WHEN 0 THEN 10100 WHEN 1 THEN 10270 WHEN 2 THEN 10000 WHEN 3 THEN 200 WHEN 4 THEN -30 ELSE 5000 END AS nav,
+l_suppkey AS pps, l_suppkey + CASE l_orderkey % 5 WHEN 0 THEN 1000 WHEN 1 THEN 2699 WHEN 2 THEN 2700 WHEN 3 THEN 0 ELSE -5 END AS tele FROM lineitem), d AS (SELECT *, (nav - g) / 1e4 AS a, (tele - pps) / 1e5 AS b FROM h)"""
+
+
+@query(
+    f"WITH {PPS} SELECT l_orderkey, l_linenumber, CASE WHEN (a > 1 AND a < 1.027) AND (b > 0 AND b < 0.027) THEN g + 1 WHEN (a < 1 AND a < 0.027) AND (b > 0 AND b < 0.027) THEN g + 1 ELSE g END AS pps, g * 10 + (nav - 7) AS tick, (nav & 65535) << 16 | ((nav >> 16) & 65535) AS swapped FROM d"
+)
 def q_pps(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("g"), (F.col("l_partkey") + F.col("l_linenumber") % 3 - 1).alias("n"))
-    return l.select("l_orderkey", "l_linenumber", select.corrected_pps(F.col("g"), F.col("n")).alias("pps"), select.line_time(F.col("g"), F.col("n"), F.lit(7)).alias("tick"), select.swap_words(F.col("n")).alias("swapped"))
+    """Pulses brought up to date: the navigation time a little over a second ahead, or hardly at all, and the telegram shortly after the pulse."""
+    n, o, g, p = (F.col(c) for c in ("l_linenumber", "l_orderkey", "l_partkey", "l_suppkey"))
+    nav = g + F.when(n % 6 == 0, 10100).when(n % 6 == 1, 10270).when(n % 6 == 2, 10000).when(n % 6 == 3, 200).when(n % 6 == 4, -30).otherwise(5000)
+    tele = p + F.when(o % 5 == 0, 1000).when(o % 5 == 1, 2699).when(o % 5 == 2, 2700).when(o % 5 == 3, 0).otherwise(-5)
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", g.alias("g"), nav.alias("nav"), tele.alias("tele"), p.alias("p"))
+    pps = select.corrected_pps(F.col("g"), F.col("nav"), F.col("tele"), F.col("p"))
+    return l.select("l_orderkey", "l_linenumber", pps.alias("pps"), select.line_time(F.col("g"), F.col("nav"), F.lit(7)).alias("tick"), select.swap_words(F.col("nav")).alias("swapped"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey < 1000 AS is_control, first_value(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) < 1000 AS block_control FROM lineitem")
@@ -45,10 +56,12 @@ def q_trim_edges(spark, sf_dir):
     return select.trim_edges(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), F.col("o_totalprice") > 1000, ["o_orderkey"], ["o_custkey"]).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT round(coalesce(min(value), 0), 6) AS first, round(coalesce(max(value), 0), 6) AS last FROM events WHERE event_type = 'none of these'")
-def q_time_range_empty(spark, sf_dir):
-    r = select.time_range(table(spark, sf_dir, "events").where("event_type = 'none of these'"), "value")
-    return r.select(F.round("first", 6).alias("first"), F.round("last", 6).alias("last"))
+@query("SELECT 'none' AS part, round(coalesce(min(value), 0), 6) AS first, round(coalesce(max(value), 0), 6) AS last FROM events WHERE event_type = 'none of these' UNION ALL SELECT 'all', round(min(value), 6), round(max(value), 6) FROM events")
+def q_time_range(spark, sf_dir):
+    """Of a series, and of an empty one."""
+    e = table(spark, sf_dir, "events")
+    parts = [select.time_range(df, "value").select(F.lit(name).alias("part"), F.round("first", 6).alias("first"), F.round("last", 6).alias("last")) for name, df in (("none", e.where("event_type = 'none of these'")), ("all", e))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("SELECT count(DISTINCT user_id) AS n_user_id, count(DISTINCT event_type) AS n_event_type FROM events")
@@ -68,7 +81,7 @@ def q_top_bands(spark, sf_dir):
     return select.top_bands(e, "vec_id", "band", "v", n=1)
 
 
-@query()
+@query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_type || '|' || event_id), event_id) AS n FROM events) WHERE n <= 20")
 def q_sample(spark, sf_dir):
     return select.sample_per_key(table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], 20)
 

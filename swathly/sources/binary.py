@@ -23,7 +23,7 @@ NAV_FIELDS = (
 NAV_BYTES = 8 * len(NAV_FIELDS)
 # A frame line of 1280 x 328 16-bit numbers and the places of its header fields.
 LINE_BYTES, HEADER_BYTES = 1280 * 328 * 2, 2560
-INTERNAL_AT, FLAG_AT, GPS_AT, PPS_AT, FLAG = 0, 80, 116, 164, 0xBABE
+INTERNAL_AT, FLAG_AT, NAV_AT, GPS_AT, PPS_AT, TELEGRAM_AT, FLAG = 0, 80, 103, 116, 164, 168, 0xBABE
 #: ENVI data type codes.
 ENVI_TYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
 
@@ -114,10 +114,17 @@ class _NavReader(DataSourceReader):
 
 
 def decode_headers(raw: np.ndarray) -> dict[str, np.ndarray]:
-    """Fields of line headers (n, bytes): the second counter is big-endian by words, little-endian within them."""
+    """Fields of line headers (n, bytes): the counters of pulse and telegram are big-endian by words, little-endian within them."""
     u = lambda at, kind: raw[:, at : at + np.dtype(kind).itemsize].copy().view(kind)[:, 0].astype(np.int64)
-    words = raw[:, PPS_AT : PPS_AT + 4].copy().view("<u2").astype(np.int64)
-    return {"internal_time": u(INTERNAL_AT, "<u4"), "flagged": u(FLAG_AT, "<u2") == FLAG, "gps_pps": u(GPS_AT, ">u4"), "internal_pps": words[:, 0] << 16 | words[:, 1]}
+
+    def words(at):
+        w = raw[:, at : at + 4].copy().view("<u2").astype(np.int64)
+        return w[:, 0] << 16 | w[:, 1]
+
+    return {"internal_time": u(INTERNAL_AT, "<u4"), "flagged": u(FLAG_AT, "<u2") == FLAG, "gps_pps": u(GPS_AT, ">u4"), "internal_pps": words(PPS_AT), "nav_time": u(NAV_AT, ">u4"), "telegram_time": words(TELEGRAM_AT)}
+
+
+FRAME_FIELDS = ("internal_time", "flagged", "gps_pps", "internal_pps", "nav_time", "telegram_time")
 
 
 class FrameSource(DataSource):
@@ -128,7 +135,7 @@ class FrameSource(DataSource):
         return "frames"
 
     def schema(self):
-        return "file string, line_id long, internal_time long, flagged boolean, gps_pps long, internal_pps long"
+        return "file string, line_id long, internal_time long, flagged boolean, gps_pps long, internal_pps long, nav_time long, telegram_time long"
 
     def reader(self, schema):
         return _FrameReader(self.options)
@@ -159,7 +166,7 @@ class _FrameReader(DataSourceReader):
                 raw[k] = np.frombuffer(f.read(head), np.uint8)
         d = decode_headers(raw)
         n = np.arange(partition.first, partition.last)
-        yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(n)), pa.array(n), *[pa.array(d[k]) for k in ("internal_time", "flagged", "gps_pps", "internal_pps")]], names=["file", "line_id", "internal_time", "flagged", "gps_pps", "internal_pps"])
+        yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(n)), pa.array(n), *[pa.array(d[k]) for k in FRAME_FIELDS]], names=["file", "line_id", *FRAME_FIELDS])
 
 
 def envi_header(path: str) -> dict:
@@ -193,8 +200,18 @@ def write_envi_header(path: str, lines: int, samples: int, bands: int, data_type
     Path(path).write_text("ENVI\n" + "".join(f"{k} = {show(v)}\n" for k, v in rows.items()))
 
 
+def raw_header(path: str, samples: int, bands: int, data_type: int = 12) -> dict:
+    """Stands for the header of a headerless file of frames (line, sample, band); a partial last line is left out."""
+    size = samples * bands * np.dtype(ENVI_TYPES[data_type]).itemsize
+    return {"lines": os.path.getsize(path) // size, "samples": samples, "bands": bands, "data type": data_type, "interleave": "bip"}
+
+
 class CubeSource(DataSource):
-    """spark.read.format('cube').option('header', path).load(path): line, sample, spectrum; option bands picks some (from 0), as pruning."""
+    """spark.read.format('cube').option('header', path).load(path): line, sample, spectrum; option bands picks some (from 0), as pruning.
+
+    Without a header, options raw_samples and raw_bands describe a file of raw frames. Option
+    flip is combined with every whole number by exclusive or (0x8000 makes signed from unsigned).
+    """
 
     @classmethod
     def name(cls):
@@ -210,7 +227,9 @@ class CubeSource(DataSource):
 class _CubeReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
-        self.head = envi_header(options.get("header", self.path + ".hdr"))
+        raw = options.get("raw_samples")
+        self.head = raw_header(self.path, int(raw), int(options["raw_bands"])) if raw else envi_header(options.get("header", self.path + ".hdr"))
+        self.flip = int(options.get("flip", "0"), 0)
         self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
         self.lines = int(options.get("lines", 256))
 
@@ -227,23 +246,26 @@ class _CubeReader(DataSourceReader):
         cube = np.memmap(partition.path, kind, "r", offset=h.get("header offset", 0), shape=shape)
         for line in range(partition.first, partition.last):
             x = {"bil": lambda: cube[line].T, "bip": lambda: cube[line], "bsq": lambda: cube[:, line].T}[mode]()
-            x = np.ascontiguousarray(x if self.bands is None else x[:, self.bands], np.float64)
+            x = x if self.bands is None else x[:, self.bands]
+            x = np.ascontiguousarray(x ^ x.dtype.type(self.flip) if self.flip else x, np.float64)
             at = pa.array(np.arange(samples + 1) * x.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(samples, line, np.int32)), pa.array(np.arange(samples, dtype=np.int32)), pa.ListArray.from_arrays(at, pa.array(x.reshape(-1)))], names=["line", "sample", "spectrum"])
 
 
-def raw_to_bil(source: str, target: str, samples: int, bands: int, flip: int = 0x8000) -> int:
-    """Raw 16-bit frames (line, sample, band) to a BIL cube and header, values XOR ``flip``; lines written. A partial last line is left out."""
-    size = samples * bands * 2
-    lines = os.path.getsize(source) // size
-    with open(source, "rb") as f, open(target, "wb") as out:
-        for _ in range(lines):
-            x = np.frombuffer(f.read(size), "<u2").reshape(samples, bands)
-            out.write((x.T ^ np.uint16(flip)).tobytes())
-    write_envi_header(target + ".hdr", lines, samples, bands, 12)
+def raw_to_bil(spark, source: str, target: str, samples: int, bands: int, flip: int = 0x8000) -> int:
+    """Raw 16-bit frames (line, sample, band) to a BIL cube of part files and a header, values XOR ``flip``; lines written. Each task reads and writes its own lines."""
+    lines = raw_header(source, samples, bands)["lines"]
+    cube = spark.read.format("cube").options(raw_samples=samples, raw_bands=bands, flip=flip).load(source)
+    write_cube(cube, target, lines, samples, bands, 12)
     return lines
 
 
+def reinterleave(spark, source: str, target: str, per_file: int = 512) -> None:
+    """A cube of any interleave (its header beside it) as BIL."""
+    h = envi_header(source + ".hdr")
+    write_cube(spark.read.format("cube").load(source), target, h["lines"], h["samples"], h["bands"], h["data type"], per_file)
+
+
 def register(spark) -> None:
     for s in (NavSource, FrameSource, CubeSource):
         spark.dataSource.register(s)

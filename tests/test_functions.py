@@ -93,7 +93,7 @@ def test_newton_finds_the_line(spark):
     ground = solve.ecef(np.array([math.radians(46.95)]), np.array([math.radians(7.44 + 0.02 * at / 10)]), np.array([500.0]))[0]
     df = spark.createDataFrame([(1, *map(float, ground))], "point_id long, x double, y double, z double")
     for variant in ("central", "forward"):
-        got = solve.scanline_times(df, tr, np.eye(3), tr.t, np.linspace(-20, 20, 64), variant=variant).first()
+        got = solve.scanline_times(df, tr, solve.MOUNT, tr.t, np.linspace(-20, 20, 64), variant=variant).first()
         assert got.valid and abs(got.time - at) < 1e-3
 
 
@@ -101,3 +101,30 @@ def test_spline_is_exact_for_cubics():
     x = np.linspace(0, 3, 9)
     f = lambda t: 2 * t**3 - t + 1
     assert np.allclose(solve.cubic_spline(x, f(x))(np.array([0.13, 1.7, 2.9])), f(np.array([0.13, 1.7, 2.9])))
+
+
+def test_utm_against_another_series(spark):
+    """The series in the longitude difference, as published for hand computation, and the meridian's length by summation."""
+    a, e2 = geodesy.WGS84_A, geodesy.WGS84_E2
+    e1 = e2 / (1 - e2)
+    for lat, lon in ((46.95, 7.44), (0.5, 9.0), (60.0, 11.9), (-33.0, 6.2), (80.0, 9.5)):
+        f, d = math.radians(lat), math.radians(lon - 9)
+        phi = np.linspace(0, f, 200_001)
+        g = a * (1 - e2) / (1 - e2 * np.sin(phi) ** 2) ** 1.5
+        m = float(((g[1:] + g[:-1]) / 2 * np.diff(phi)).sum())
+        nu, t, c, x = a / math.sqrt(1 - e2 * math.sin(f) ** 2), math.tan(f) ** 2, e1 * math.cos(f) ** 2, d * math.cos(f)
+        east = 500_000 + 0.9996 * nu * (x + (1 - t + c) * x**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * e1) * x**5 / 120)
+        north = 0.9996 * (m + nu * math.tan(f) * (x**2 / 2 + (5 - t + 9 * c + 4 * c * c) * x**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * e1) * x**6 / 720))
+        got = one(spark, *geodesy.utm_forward(F.lit(lat), F.lit(lon), 32632))
+        assert list(got) == pytest.approx([east, north], abs=0.01)
+        south = one(spark, *geodesy.utm_forward(F.lit(lat), F.lit(lon), 32732))
+        assert south[1] == pytest.approx(got[1] + 10_000_000)
+
+
+def test_codes_with_heights(spark):
+    for epsg in (4978, 4979, 32632, 3857):
+        x = geodesy.project3(F.lit(46.9), F.lit(7.4), F.lit(512.0), epsg)
+        if epsg != 3857:
+            assert list(one(spark, *geodesy.unproject3(*x, epsg))) == pytest.approx([46.9, 7.4, 512.0], abs=1e-6)
+    with pytest.raises(ValueError):
+        geodesy.project3(F.lit(1.0), F.lit(1.0), F.lit(1.0), 1234)
