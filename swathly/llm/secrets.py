@@ -272,9 +272,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit_words(docs: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """Rank of each dictionary word: the fixed ones, then the ``size`` most frequent words of two or more documents, by count and then the word."""
-    top = word_counts(docs).where("n > 1").orderBy(F.desc("n"), "word").limit(size).collect()  # at most ``size`` words
+def fit_words(docs: DataFrame, size: int = VOCABULARY, parts: int = 4) -> dict[str, int]:
+    """Rank of each dictionary word: the fixed ones, then the ``size`` most frequent words of two or more documents, by count and then the word.
+
+    Each task keeps its own ``size`` first words, then each of ``parts`` tasks does among those, so
+    the driver gets at most ``parts`` x ``size`` words, however many tasks there were.
+    """
+    order = [F.desc("n"), F.asc("word")]
+
+    def first(batches):
+        left = size
+        for b in batches:
+            if left:
+                b = b.slice(0, left)
+                left -= b.num_rows
+                yield b
+
+    best = word_counts(docs).where("n > 1").sortWithinPartitions(*order).mapInArrow(first, "word string, n long")
+    best = best.repartition(parts).sortWithinPartitions(*order).mapInArrow(first, "word string, n long")
+    top = best.orderBy(*order).limit(size).collect()
     ranks = dict(WORD_RANK)
     for r in top:
         ranks.setdefault(r.word, len(ranks) + 1)
