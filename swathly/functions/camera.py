@@ -48,6 +48,15 @@ def project(p: Vec, fx: float, fy: float, cx: float, cy: float, d: Distortion =
     return {"u": F.when(front, fx * xd + cx), "v": F.when(front, fy * yd + cy), "valid": front}
 
 
+def project_guarded(p: Vec, fx: float, fy: float, cx: float, cy: float, d: Distortion = NONE, tiny: float = 1e-6) -> Vec:
+    """u and v wherever the point is: a depth of 0 counts as ``tiny``, and points behind are projected, too."""
+    z = F.when(p[2] == 0, tiny).otherwise(p[2])
+    xd, yd = p[0] / z, p[1] / z
+    if any(d):
+        xd, yd = distort(xd, yd, d)
+    return [fx * xd + cx, fy * yd + cy]
+
+
 def in_image(u, v, width: int, height: int) -> Column:
     """Half-open bounds."""
     u, v = col(u), col(v)

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rotation import angle_lerp_deg
+from ..functions.core import staged
+from ..functions.rotation import angle_lerp_deg, slerp
 
 
 def bracket(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], closed: str = "left") -> DataFrame:
@@ -37,11 +38,33 @@ def _row_type(df: DataFrame):
     return df.schema.__class__(df.schema.fields)
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], direction: str = "backward") -> DataFrame:
-    """The epoch at or before (backward) or at or after (forward) each left row: columns r_<name>, null where there is none."""
-    side = "prev" if direction == "backward" else "next"
+def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], direction: str = "backward", clamp: bool = False) -> DataFrame:
+    """The epoch at or before (backward) or at or after (forward) each left row: columns r_<name>, null where there is none; with ``clamp`` the one at the series' end."""
+    side, other = ("prev", "next") if direction == "backward" else ("next", "prev")
     both = bracket(left, right, keys, time, values, "right" if direction == "backward" else "left")
-    return both.select(*left.columns, *[F.col(f"{side}.{v}").alias(f"r_{v}") for v in [time, *values]])
+    found = F.coalesce(side, other) if clamp else F.col(side)
+    return both.withColumn("__f", found).select(*left.columns, *[F.col(f"__f.{v}").alias(f"r_{v}") for v in [time, *values]])
+
+
+def interpolate_attitude(left: DataFrame, right: DataFrame, keys: list[str], time: str, quaternion: tuple[str, str, str, str]) -> DataFrame:
+    """Quaternions (scalar first) between the epochs at or before and after each left row, by the short way on the sphere; held at the series' ends: columns i_<name>."""
+    both = bracket(left, right, keys, time, list(quaternion), "right")
+    both = both.withColumn("__a", F.coalesce("prev", "next")).withColumn("__b", F.coalesce("next", "prev"))
+    num = lambda c: c.cast("double")
+    t0, t1 = num(F.col(f"__a.{time}")), num(F.col(f"__b.{time}"))
+    k = F.coalesce(F.try_divide(num(F.col(time)) - t0, t1 - t0), F.lit(0.0))
+    k = F.least(F.greatest(k, F.lit(0.0)), F.lit(1.0))
+    both = staged(both.withColumn("__k", k), {f"__{s}{j}": F.col(f"__{s}.{q}") for s in "ab" for j, q in enumerate(quaternion)})
+    mixed = slerp([F.col(f"__a{j}") for j in range(4)], [F.col(f"__b{j}") for j in range(4)], F.col("__k"))
+    return both.select(*left.columns, *[c.alias(f"i_{q}") for c, q in zip(mixed, quaternion, strict=True)])
+
+
+def require_inside(interpolated: DataFrame, value: str, time: str) -> DataFrame:
+    """The rows of ``interpolate``, or an error naming a time that lies outside the series."""
+    lost = interpolated.where(F.col(value).isNull()).select(time).first()
+    if lost is not None:
+        raise ValueError(f"{time} {lost[0]} is outside the trajectory")
+    return interpolated
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], tolerance=None, as_number: Column | None = None) -> DataFrame:

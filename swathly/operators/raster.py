@@ -152,3 +152,32 @@ def edge_samples(grid: Grid, per_edge: int = 20) -> list[tuple[float, float]]:
     w, h = grid.cols * grid.res, grid.rows * grid.res
     f = [k / (per_edge - 1) for k in range(per_edge)]
     return [(grid.x0 + w * t, grid.y0) for t in f] + [(grid.x0 + w * t, grid.y0 - h) for t in f] + [(grid.x0, grid.y0 - h * t) for t in f] + [(grid.x0 + w, grid.y0 - h * t) for t in f]
+
+
+def equalize_tiles(cells: DataFrame, value: str, tiles: tuple[int, int], size: tuple[int, int], clip: float = 0.03, bins: int = 256) -> DataFrame:
+    """Adaptive histogram equalisation of values in 0..1: row, col, ``value``, ``equalized``.
+
+    The image is cut into a grid of tiles. Each tile's histogram is clipped at a share of its cells,
+    what is cut off spread evenly, and summed up to a mapping; a cell takes the mappings of the four
+    tiles around it by its distance from their centres. Histograms are small sums (tiles x bins rows).
+    """
+    (tr, tc), (rows, cols) = tiles, size
+    h, w = rows / tr, cols / tc
+    bin_of = F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int")
+    own = cells.where(F.col(value).isNotNull()).withColumn("__bin", F.greatest(bin_of, F.lit(0)))
+    place = own.withColumn("__tr", F.least(F.floor(F.col("row") / h), F.lit(tr - 1)).cast("int")).withColumn("__tc", F.least(F.floor(F.col("col") / w), F.lit(tc - 1)).cast("int"))
+    counts = place.groupBy("__tr", "__tc", "__bin").agg(F.count("*").alias("n"))
+    per = counts.groupBy("__tr", "__tc").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("__bin", "n"))).alias("m"))  # bins entries
+    full = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0)).cast("double") / F.col("total"))
+    cut = F.transform("f", lambda x: F.least(x, F.lit(float(clip))))
+    rest = F.aggregate("f", F.lit(0.0), lambda a, x: a + F.greatest(x - clip, F.lit(0.0))) / bins
+    per = per.withColumn("f", full).withColumn("c", cut).withColumn("rest", rest)
+    summed = F.aggregate("c", F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x + F.col("rest"))))
+    maps = per.select(F.col("__tr").alias("__r"), F.col("__tc").alias("__c"), F.slice(summed, 2, bins).alias("map"))
+    y, x = (F.col("row") + 0.5) / h - 0.5, (F.col("col") + 0.5) / w - 0.5
+    y, x = F.least(F.greatest(y, F.lit(0.0)), F.lit(float(tr - 1))), F.least(F.greatest(x, F.lit(0.0)), F.lit(float(tc - 1)))
+    r, c = F.floor(y).cast("long"), F.floor(x).cast("long")
+    near = own.select("row", "col", value, "__bin", F.explode(F.filter(_corners(r, c, y - r, x - c), lambda n: n["w"] != 0)).alias("__n")).select("row", "col", value, "__bin", "__n.*")
+    both = near.join(maps, ["__r", "__c"])
+    mapped = F.get("map", F.col("__bin"))
+    return both.groupBy("row", "col", value).agg((F.sum(F.col("w") * mapped) / F.sum("w")).alias("equalized"))

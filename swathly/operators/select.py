@@ -180,3 +180,21 @@ def flip_sign_bit(x: Column) -> Column:
 def swath_elevation(points: DataFrame, height: str) -> DataFrame:
     """Mean surface height along the track; 0 where there is none."""
     return points.agg(F.coalesce(F.avg(F.when(~F.isnan(height), F.col(height))), F.lit(0.0)).alias("elevation"))
+
+
+def transform_points(df: DataFrame, at: tuple[str, str, str], source: int, target: int, geoid: bool = False) -> DataFrame:
+    """The points with px, py, pz in another system, by EPSG code; every row stays what it is, so an input number keeps the order.
+
+    With ``geoid`` the heights of Swiss points (2056) are over the geoid and get its undulation added,
+    or taken away again on the way back.
+    """
+    from ..functions.geodesy import project3, swiss_geoid, unproject3
+
+    x, y, h = (F.col(c) for c in at)
+    if geoid and source == 2056:
+        h = h + swiss_geoid(x, y)
+    lat, lon, up = unproject3(x, y, h, source)
+    px, py, pz = project3(lat, lon, up, target)
+    if geoid and target == 2056:
+        pz = pz - swiss_geoid(px, py)
+    return df.withColumns({"px": px, "py": py, "pz": pz})

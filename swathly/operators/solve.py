@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.camera import PolynomialCamera, TableCamera
 from .scale import numbered
@@ -315,6 +316,26 @@ def cubic_spline(xs: np.ndarray, ys: np.ndarray):
     return at
 
 
+def spline_positions(points: DataFrame, epochs: DataFrame, time: str, values: list[str], most: int = MAX_RECORDS) -> DataFrame:
+    """The points with s_<name>: values of a series at their times by a not-a-knot cubic spline, extrapolated beyond its ends. The series is solved once and sent to the tasks; its length is checked."""
+    rows = epochs.select(time, *values).dropna().dropDuplicates([time]).limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} epochs; cut the series")
+    rows = rows.sort_values(time)
+    sent = points.sparkSession.sparkContext.broadcast((rows[time].to_numpy(float), rows[values].to_numpy(float)))
+    names = [f"s_{v}" for v in values]
+    schema = StructType([*points.schema.fields, *[StructField(n, DoubleType()) for n in names]])
+
+    def work(batches):
+        at = cubic_spline(*sent.value)
+        for b in batches:
+            t = b.column(time).to_numpy(zero_copy_only=False).astype(float)
+            y = at(np.nan_to_num(t)) if len(t) else np.zeros((0, len(names)))
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(y[:, k], mask=np.isnan(t)) for k in range(len(names))]], names=[*b.schema.names, *names])
+
+    return points.mapInArrow(work, schema)
+
+
 def refraction_range(angle: np.ndarray, seconds: np.ndarray, altitude: float, steps: int = 100):
     """Horizontal and vertical way of a light pulse through air whose index falls with altitude, by small steps of time."""
     x, z = np.zeros_like(angle), np.full_like(angle, altitude)
@@ -328,15 +349,43 @@ def refraction_range(angle: np.ndarray, seconds: np.ndarray, altitude: float, st
     return x, altitude - z
 
 
-def index_steps(residual_lines, start: np.ndarray, lines: int, damping: float = 0.8, most: int = 500, rounds: int = 20):
-    """Line index by damped steps of at most ``most`` lines; not a number where it leaves the image."""
+def index_steps(residual_lines, start: np.ndarray, lines: int, damping: float = 0.8, most: float = 500, rounds: int = 20, still: float = 0.1) -> np.ndarray:
+    """Line index by damped steps of at most ``most`` lines; not a number where it leaves the image by more than half a line.
+
+    ``residual_lines`` gives the step for whole line numbers within the image; the index itself may leave it.
+    """
     i = start.astype(float)
     for _ in range(rounds):
-        step = np.clip(damping * residual_lines(np.clip(i, 0, lines - 1)), -most, most)
-        i = i - step
-        if np.abs(step).max(initial=0) < 1e-3:
+        step = np.clip(residual_lines(np.clip(np.rint(i), 0, lines - 1).astype(np.int64)), -most, most)
+        i = i - damping * step
+        if np.abs(step).max(initial=0) < still:
             break
-    return np.where((i < 0) | (i > lines - 1), np.nan, i)
+    return np.where((i < -0.5) | (i > lines - 0.5), np.nan, i)
+
+
+def scanline_indices(points: DataFrame, trajectory: Trajectory, body_to_camera, line_times, focal: float, centre: float, samples: int, every: int = 50, point_id: str = "point_id") -> DataFrame:
+    """point_id, line, sample by index stepping: from the nearest of every n-th line, along-track misses over the mean speed give the next line. Null where line or sample leave the image."""
+    sent = points.sparkSession.sparkContext.broadcast((trajectory, np.asarray(body_to_camera, float), np.asarray(line_times, float)))
+    kind = points.schema[point_id].dataType.simpleString()
+
+    def work(batches):
+        tr, mount, times = sent.value
+        pos, rot = tr.at(times)
+        dt = (times[-1] - times[0]) / len(times)
+        speed = np.mean(np.linalg.norm(np.diff(pos, axis=0), axis=1) / np.diff(times))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p = np.stack([b.column(c).to_numpy() for c in "xyz"], 1)
+            view = lambda k, p=p: np.einsum("ij,nkj,nk->ni", mount, rot[k], p - pos[k])
+            first = np.array([((pos[::every] - q) ** 2).sum(1).argmin() for q in p]) * every
+            line = index_steps(lambda k: view(k)[:, 1] / speed / dt, first, len(times))
+            v = view(np.clip(np.rint(np.nan_to_num(line)), 0, len(times) - 1).astype(np.int64))
+            sample = focal * v[:, 0] / v[:, 2] + centre
+            ok = ~np.isnan(line) & (sample >= -0.5) & (sample <= samples - 0.5)
+            yield pa.RecordBatch.from_arrays([b.column(point_id), *[pa.array(x, mask=~ok) for x in (line, sample)]], names=[point_id, "line", "sample"])
+
+    return points.select(point_id, "x", "y", "z").mapInArrow(work, f"{point_id} {kind}, line double, sample double")
 
 
 def reproject_heights(points: DataFrame, swiss_geoid=None) -> DataFrame:

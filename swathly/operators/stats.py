@@ -44,14 +44,24 @@ def percentiles(df: DataFrame, value: str, ps: tuple[float, ...], keys: list[str
 
 
 def stretch(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98, gamma: float = 1.0, top: int = 255) -> DataFrame:
-    """Values between two percentiles brought to 0..top (gamma applied, cut off): column ``stretched``."""
+    """Values between two percentiles brought to 0..top (raised to ``gamma``, cut off): column ``stretched``."""
     p = percentiles(df, value, (low, high)).toDF("__lo", "__hi")
     x = (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
     x = F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    x = F.when(F.col("__hi") > F.col("__lo"), F.pow(x, 1 / gamma) * top).otherwise(0.0)
+    x = F.when(F.col("__hi") > F.col("__lo"), F.pow(x, F.lit(float(gamma))) * top).otherwise(0.0)
     return df.join(F.broadcast(p)).withColumn("stretched", x.cast("int")).drop("__lo", "__hi")  # one row
 
 
+def min_max(df: DataFrame, columns: list[str], top: int = 255) -> DataFrame:
+    """Each column brought from its own range over the table to 0..top, cut off; 0 where a column has one value only."""
+    ends = df.agg(*[f(c).alias(f"__{n}{k}") for k, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max))])
+    out = df.join(F.broadcast(ends))  # one row
+    for k, c in enumerate(columns):
+        share = F.try_divide(F.col(c) - F.col(f"__a{k}"), F.col(f"__b{k}") - F.col(f"__a{k}"))
+        out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce(share, F.lit(0.0)) * top).cast("int"))
+    return out.drop(*ends.columns)
+
+
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """bin (1..bins), n; the upper bound belongs to the last bin."""
     b = F.width_bucket(F.col(value), F.lit(low), F.lit(high), F.lit(bins).cast("long"))

@@ -202,6 +202,32 @@ def q_asof_clamp(spark, sf_dir):
     return asof.interpolate(left, right, ["user_id"], "t", ["value"], outside="clamp").select("event_id", F.round("i_value", 6).alias("i_value"))
 
 
+@query(SIDES + "SELECT event_id, round(coalesce(nt, pt), 6) AS r_t, round(CASE WHEN nt IS NULL THEN pv ELSE nv END, 6) AS r_value FROM b")
+def q_asof_snap(spark, sf_dir):
+    """The next epoch, and behind the last one the last."""
+    left, right = _sides(spark, sf_dir)
+    return asof.asof(left, right, ["user_id"], "t", ["value"], "forward", clamp=True).select("event_id", F.round("r_t", 6).alias("r_t"), F.round("r_value", 6).alias("r_value"))
+
+
+HALF = "sin((1 - k) * th) / sin(th)", "sin(k * th) / sin(th)"
+
+
+@query(
+    SIDES
+    + f""", c1 AS (SELECT event_id, pt, sv, CASE WHEN pt IS NULL THEN nv ELSE pv END / 50 AS x, CASE WHEN mt IS NULL THEN pv ELSE mv END / 50 AS y, CASE WHEN pt IS NULL OR mt IS NULL THEN 0.0 ELSE (t - pt) / (mt - pt) END AS k FROM b WHERE pt IS NOT NULL OR nt IS NOT NULL),
+c2 AS (SELECT *, cos(x / 2) * cos(y / 2) + sin(x / 2) * sin(y / 2) AS d FROM c1), c3 AS (SELECT *, CASE WHEN d < 0 THEN -1.0 ELSE 1.0 END AS sg, least(abs(d), 1.0) AS dd FROM c2), c4 AS (SELECT *, acos(dd) AS th FROM c3),
+c5 AS (SELECT *, CASE WHEN dd > 0.9995 THEN 1 - k ELSE {HALF[0]} END AS wa, CASE WHEN dd > 0.9995 THEN k ELSE {HALF[1]} END * sg AS wb FROM c4), c6 AS (SELECT event_id, cos(x / 2) * wa + cos(y / 2) * wb AS w, sin(x / 2) * wa + sin(y / 2) * wb AS z FROM c5)
+SELECT event_id, round(w / sqrt(w * w + z * z), 7) + 0.0 AS w, round(z / sqrt(w * w + z * z), 7) + 0.0 AS z FROM c6"""
+)
+def q_asof_slerp(spark, sf_dir):
+    """Attitudes between the epochs before and after, held at the ends."""
+    left, right = _sides(spark, sf_dir)
+    half = F.col("value") / 100
+    right = right.select("user_id", "t", F.cos(half).alias("q0"), F.lit(0.0).alias("q1"), F.lit(0.0).alias("q2"), F.sin(half).alias("q3"))
+    r = asof.interpolate_attitude(left, right, ["user_id"], "t", ("q0", "q1", "q2", "q3")).where("i_q0 is not null")
+    return r.select("event_id", _r("i_q0", 7).alias("w"), _r("i_q3", 7).alias("z"))
+
+
 @query(
     SIDES
     + """, a AS (SELECT *, (sv * 37) - floor(sv * 37 / 360) * 360 AS x, (nv * 37) - floor(nv * 37 / 360) * 360 AS y FROM b)
@@ -360,7 +386,7 @@ def q_percentiles(spark, sf_dir):
 
 def _stretch_sql(gamma: float) -> str:
     return f"""WITH p AS (SELECT quantile_cont(p_retailprice, 0.02) AS lo, quantile_cont(p_retailprice, 0.98) AS hi FROM part)
-SELECT p_partkey, trunc(pow(least(greatest((p_retailprice - lo) / (hi - lo), 0), 1), 1.0 / {gamma}) * 255)::INT AS stretched FROM part, p"""
+SELECT p_partkey, trunc(pow(least(greatest((p_retailprice - lo) / (hi - lo), 0), 1), {gamma}) * 255)::INT AS stretched FROM part, p"""
 
 
 @query(_stretch_sql(1.0))
@@ -368,9 +394,9 @@ def q_stretch(spark, sf_dir):
     return stats.stretch(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice").select("p_partkey", "stretched")
 
 
-@query(_stretch_sql(2.2))
+@query(_stretch_sql(0.85))
 def q_gamma(spark, sf_dir):
-    return stats.stretch(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", gamma=2.2).select("p_partkey", "stretched")
+    return stats.stretch(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", gamma=0.85).select("p_partkey", "stretched")
 
 
 @query("SELECT least(floor((l_quantity - 1) / 49 * 50) + 1, 50)::BIGINT AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 GROUP BY 1")

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import camera, core, geodesy, rotation
-from ..operators import geometry, select, solve
+from ..operators import control, geometry, raster, select, solve, stats
 from ..session import shared_dir, table
 from ..sources import binary, text
 from .catalog import query
@@ -375,3 +375,68 @@ def q_nearest_track(spark, sf_dir):
     e = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("double").alias("t"), (F.col("s_acctbal") / 100).alias("x"), (F.col("s_suppkey") % 50 * 1.0).alias("y"))
     p = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 5000).alias("x"), (F.col("o_custkey") % 50 * 1.0).alias("y"))
     return solve.nearest_epochs(p, e, ["x", "y"], "t", 5, inset=0.5).select("o_orderkey", "near_time")
+
+
+# -- loaders, small variants -------------------------------------------------------
+
+
+@query("SELECT 'sized' AS part, l_partkey::VARCHAR AS gcp_id, l_orderkey::INT AS image_id, round(l_quantity + 640, 6) AS u, round(512 - l_tax, 6) AS v, l_quantity AS u_photo FROM lineitem UNION ALL SELECT 'unknown', l_partkey::VARCHAR, l_orderkey::INT, l_quantity, round(l_tax, 6), l_quantity FROM lineitem")
+def q_observations(spark, sf_dir):
+    """Photo coordinates as pixels where the image's size is known, as they are where not."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("gcp_id"), F.col("l_linenumber").cast("string").alias("gcp_name"), F.col("l_orderkey").cast("int").alias("image_id"), F.col("l_quantity").alias("u"), F.col("l_tax").alias("v"))
+    parts = [control.observations(l, "blocks", *size).select(F.lit(name).alias("part"), "gcp_id", "image_id", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"), "u_photo") for name, size in (("sized", (1280, 1024)), ("unknown", (0, 0)))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    """WITH e AS (SELECT s_suppkey::DOUBLE AS t, 46 + s_suppkey / 1000.0 AS lat, (s_suppkey * 50 % 360)::DOUBLE AS yaw FROM supplier), o AS (SELECT o_orderkey AS i, o_custkey * 1.3 - 3 AS t FROM orders),
+b AS (SELECT i, o.t, e.t AS t1, e.lat AS lat1, e.yaw AS yaw1 FROM o ASOF LEFT JOIN e ON o.t <= e.t), c AS (SELECT b.*, e.t AS t0, e.lat AS lat0, e.yaw AS yaw0 FROM b ASOF LEFT JOIN e ON b.t > e.t)
+SELECT i AS image_id, round(CASE WHEN t = t1 THEN lat1 ELSE lat0 + (lat1 - lat0) * (t - t0) / (t1 - t0) END, 9) AS latitude,
+round(CASE WHEN t = t1 THEN yaw1 ELSE yaw0 + (CASE WHEN yaw1 - yaw0 > 180 THEN yaw1 - yaw0 - 360 WHEN yaw1 - yaw0 < -180 THEN yaw1 - yaw0 + 360 ELSE yaw1 - yaw0 END) * (t - t0) / (t1 - t0) END, 7) AS yaw
+FROM c WHERE t1 IS NOT NULL AND (t = t1 OR t0 IS NOT NULL)"""
+)
+def q_poses(spark, sf_dir):
+    """Poses of images at their times, in a flight without a key."""
+    k = F.col("s_suppkey")
+    zero = F.lit(0.0)
+    e = table(spark, sf_dir, "supplier").select(k.cast("double").alias("time"), (46 + k / 1000.0).alias("latitude"), zero.alias("longitude"), zero.alias("height"), zero.alias("roll"), zero.alias("pitch"), (k * 50 % 360).cast("double").alias("yaw"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") * 1.3 - 3).alias("time"))
+    return control.poses(e, o, width=7.0).select("image_id", F.round("latitude", 9).alias("latitude"), F.round("yaw", 7).alias("yaw"))
+
+
+@query("SELECT o_custkey::INT AS image_id, arg_max(o_totalprice, o_orderkey) AS height FROM orders GROUP BY o_custkey")
+def q_poses_direct(spark, sf_dir):
+    """Poses given by image, the last row of each."""
+    zero = F.lit(0.0)
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("int").alias("image_id"), F.col("o_orderkey").alias("line_no"), F.col("o_totalprice").alias("height"), *[zero.alias(c) for c in ("latitude", "longitude", "roll", "pitch", "yaw")])
+    return control.poses(o).select("image_id", "height")
+
+
+@query("SELECT p_partkey, trunc((p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()) * 255)::INT AS p_size, trunc((p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()) * 255)::INT AS p_retailprice FROM part")
+def q_min_max(spark, sf_dir):
+    return stats.min_max(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"])
+
+
+@query("SELECT count(*) AS n, round(avg(c_custkey % 50 + 49.5), 6) AS mean_undulation, min(c_custkey % 50) + 49.5 AS min_undulation, max(c_custkey % 50) + 49.5 AS max_undulation FROM customer WHERE c_custkey % 7 <> 0")
+def q_undulation(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(F.lit(100.0).alias("a"), F.when(k % 7 != 0, 149.5 + k % 50).alias("b"))
+    return stats.undulation(c, "a", "b").withColumn("mean_undulation", F.round("mean_undulation", 6))
+
+
+@query("SELECT x, y, round(49.5 + 1.5e-5 * (x - 2600000) + 2.0e-5 * (y - 1200000), 6) AS undulation FROM (SELECT least(2590000.0 + 4000 * unnest(range(6)), 2609000.0)::DOUBLE AS x) a, (SELECT least(1195000.0 + 4000 * unnest(range(4)), 1206000.0)::DOUBLE AS y) b")
+def q_undulation_grid(spark, sf_dir):
+    return raster.undulation_grid(spark, 2590000.0, 1195000.0, 2609000.0, 1206000.0, 4000.0).withColumn("undulation", F.round("undulation", 6))
+
+
+@query("SELECT user_id, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY user_id")
+def q_grouped_index(spark, sf_dir):
+    g = stats.grouped_index(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", ["event_id"])
+    return g.select("user_id", F.size("rows").cast("long").alias("n"), F.col("rows")[0]["event_id"].alias("first"), F.element_at("rows", -1)["event_id"].alias("last"))
+
+
+@query("SELECT coalesce(avg(p_retailprice) FILTER (p_partkey % 97 <> 0), 0) IS NOT NULL AS any, round(coalesce(avg(p_retailprice) FILTER (p_partkey % 97 <> 0), 0), 4) AS elevation FROM part")
+def q_swath_elevation(spark, sf_dir):
+    """Mean of the surface along the track, cells without a value left out."""
+    p = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 97 != 0, F.col("p_retailprice")).otherwise(float("nan")).alias("z"))
+    return select.swath_elevation(p, "z").select(F.lit(True).alias("any"), F.round("elevation", 4).alias("elevation"))

@@ -301,6 +301,24 @@ def write_cube(cube, path: str, lines: int, samples: int, bands: int, data_type:
     write_envi_header(f"{path}/cube.hdr", lines, samples, bands, data_type)
 
 
+def write_rgb(cube, wavelengths: list[float], path: str, lines: int, samples: int, targets=(650.0, 550.0, 450.0)) -> list[int]:
+    """Three bands next to the targets as an 8-bit BIL cube, each stretched between its 2nd and 98th percentile, with their wavelengths in the header; which bands they are."""
+    from pyspark.sql import functions as F
+
+    from ..operators.stats import percentiles
+
+    bands = [min(range(len(wavelengths)), key=lambda b: abs(wavelengths[b] - t)) for t in targets]
+    own = cube.select("line", "sample", *[F.get("spectrum", F.lit(b)).cast("double").alias(f"c{k}") for k, b in enumerate(bands)])
+    out = []
+    for k in range(len(bands)):
+        low, high = percentiles(own, f"c{k}", (0.02, 0.98)).first()
+        share = (F.col(f"c{k}") - low) / (high - low) if low is not None and high > low else F.lit(0.0)
+        out.append(F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 255))
+    write_cube(own.select("line", "sample", F.array(*out).alias("spectrum")), path, lines, samples, len(bands), 1)
+    write_envi_header(f"{path}/cube.hdr", lines, samples, len(bands), 1, wavelength=[wavelengths[b] for b in bands], default_bands=list(range(1, len(bands) + 1)))
+    return bands
+
+
 def write_tiles(grid, path: str) -> None:
     """Output cells as Parquet, one folder per tile, so that a reader prunes by tile."""
     grid.repartition("tile_row", "tile_col").write.partitionBy("tile_row", "tile_col").parquet(path)

@@ -246,6 +246,27 @@ def match_rows(lines_: DataFrame) -> DataFrame:
     return ok.select("line_no", *[F.element_at("t", k + 1).cast("double").alias(c) for k, c in enumerate(("u1", "idx1", "u2", "idx2"))])
 
 
+def match_csv(spark: SparkSession, path: str) -> DataFrame:
+    """x1, y1, x2, y2, confidence of a match file without a header; rows without five numbers are skipped."""
+    t = F.split(F.trim("value"), r"\s*,\s*")
+    ok = lines(spark, path).withColumn("t", t).where((F.size("t") >= 5) & F.forall(F.slice("t", 1, 5), lambda x: x.rlike(NUMBER)))
+    return ok.select("line_no", *[F.element_at("t", k + 1).cast("double").alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2", "confidence"))])
+
+
+def matrix_text(spark: SparkSession, path: str) -> list[list[float]]:
+    """A 3 x 3 rotation from a text of nine numbers; anything else, or a matrix that is no rotation, is an error."""
+    rows = lines(spark, path).where(~F.trim("value").startswith("#")).orderBy("line_no").select(F.split(F.trim("value"), r"[,;\s]+").alias("t")).limit(16).collect()
+    x = [float(v) for r in rows for v in r.t if v]
+    if len(x) != 9:
+        raise ValueError(f"{len(x)} numbers are no 3 x 3 matrix")
+    m = [x[:3], x[3:6], x[6:]]
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+    det = dot(m[0], (m[1][1] * m[2][2] - m[1][2] * m[2][1], m[1][2] * m[2][0] - m[1][0] * m[2][2], m[1][0] * m[2][1] - m[1][1] * m[2][0]))
+    if any(abs(dot(m[i], m[j]) - (i == j)) > 1e-6 for i in range(3) for j in range(3)) or abs(det - 1) > 1e-6:
+        raise ValueError("the matrix is no rotation")
+    return m
+
+
 # -- sinks -------------------------------------------------------------------------
 
 
