@@ -367,6 +367,11 @@ def test_urls(spark, empty):
     assert urlfilter.url_verdicts(none).count() == 0
 
 
+def test_urls_without_rules(spark):
+    df = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "page_id long, url string")
+    assert [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.url_verdicts(df, rules=()).orderBy("page_id").collect()] == [(1, "a.org", "/x", None, "allow"), (2, "", "", None, "allow")]
+
+
 # -- 4 decontamination -------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -685,6 +690,30 @@ def test_near_duplicates(spark, seed):
     assert all(r.n_shingles == len(shingles(t, 4)) and r.kept == (want[i] == i) for i, t in rows for r in [got[i]])
 
 
+@pytest.mark.parametrize("rounds, idle, crowd", [(1, 20, 0), (1, 20, 10**9), (6, 10**9, 0), (6, 0, 2)])
+def test_near_duplicates_do_not_depend_on_the_path(spark, monkeypatch, rounds, idle, crowd):
+    """All buckets crowded or none, one round or as many as there are: the same groups. Texts share a long passage, so buckets hold what is not alike, too."""
+    rng = random.Random(8)
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for i in range(90):
+        own = [f"o{i // 3}x{k}" for k in range(rng.choice([10, 20, 60]))] if i % 3 else [f"u{i}x{k}" for k in range(12)]
+        w = shared + own
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            w[rng.randrange(len(w))] = f"e{i}x{rng.randrange(99)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    monkeypatch.setattr(neardup, "IDLE", idle)
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS), 4).collect()}
+    assert got == groups(rows) and 1 < len(set(got.values())) < 90
+
+
+def test_shingles_are_compared_by_both_hashes():
+    a, b = neardup.wide_sets([b"a b c d e f g", b"A b  c d e f x"], 4)
+    assert neardup.common(a, b) == 3 and neardup.common(a, (a[0], a[1] + np.uint64(1))) == 0 and neardup.common(a, neardup.wide_sets([b""], 4)[0]) == 0
+
+
 def test_near_duplicates_cases(spark, odd, empty):
     got = neardup.near_duplicates(odd, 4).collect()
     assert len(got) == odd.count() and neardup.near_duplicates(empty, 4).count() == 0
@@ -992,6 +1021,28 @@ def test_suffix_dedup_returns_spans_and_bytes(spark):
         assert bytes(got[i].kept) == bytes(out) and len(raw) == got[i].n_bytes
 
 
+def test_shared_folder_is_refused_where_executors_cannot_see_it(spark, monkeypatch):
+    from swathly import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+    Conf.get = lambda self, *_: "hdfs:///shared/"
+    assert session.shared_dir(Session()) == "hdfs:///shared"
+
+
 # -- pipeline ----------------------------------------------------------------------
 
 
@@ -1022,3 +1073,17 @@ def test_pipeline(spark, docs):
             assert out.columns == columns
         stage = out
     assert P.run(spark, SF).count() == len(after)
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd, empty):
+    """Nulls, empty and very long texts, repeated rows and columns named like the operators' own, upper case included."""
+    import corpus_pipeline as P
+
+    more = odd.selectExpr("*", "'r' AS row_key", "'R' AS number", "1 AS numbers")
+    for name, f in P.STAGES:
+        out, none = f(spark, more, SF), f(spark, empty, SF)
+        rows = out.collect()
+        assert none.count() == 0 and len(rows) <= more.count(), name
+        if name != "sentencepiece":
+            assert out.columns == more.columns, name
+            assert all(tuple(r)[5:] == tuple(more.first())[5:] for r in rows), name
