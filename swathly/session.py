@@ -43,18 +43,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of written tables that were not discarded yet, in this process.
+_MADE: set[str] = set()
+
+
 def materialize(df: DataFrame, tag: str = "table", compression: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back. Survives lost executors, unlike cached blocks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/swathly-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    _MADE.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    name = folder.rsplit("/", 1)[-1]
+    _MADE.difference_update([p for p in _MADE if p.endswith(name)])
+
+
 def discard(*dfs: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more, once what was made from them is written."""
     for df in dfs:
         for f in df.inputFiles()[:1]:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
-            if "/swathly-" in path.toString():
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            folder = f.rsplit("/", 1)[0]
+            if "/swathly-" in folder:
+                _delete(df.sparkSession, folder)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all written tables of this process, once no result that reads them is needed any more; how many there were."""
+    left = list(_MADE)
+    for folder in left:
+        _delete(spark, folder)
+    return len(left)

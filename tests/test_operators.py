@@ -425,3 +425,14 @@ def test_matches_fit_a_projection(spark):
 def test_report_sentinels(spark):
     r = spark.createDataFrame([(1.0, 2.0, 3.0), (None, None, None)], "projected_u double, projected_v double, error double")
     assert [tuple(x) for x in geometry.with_sentinels(r).collect()] == [(1.0, 2.0, 3.0), (0.0, 0.0, float("inf"))]
+
+
+def test_written_tables_are_swept(spark):
+    from swathly import session
+
+    session.sweep(spark)
+    a, b = session.materialize(spark.range(5), "a"), session.materialize(spark.range(6), "b")
+    session.discard(a)
+    assert b.count() == 6 and session.sweep(spark) == 1 and session.sweep(spark) == 0
+    with pytest.raises(Exception):  # noqa: B017
+        b.collect()
