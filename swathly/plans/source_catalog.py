@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import camera, core, geodesy, rotation
-from ..operators import control, geometry, raster, select, solve, stats
+from ..operators import control, geometry, raster, scale, select, sequence, solve, stats
 from ..session import shared_dir, table
 from ..sources import binary, text
 from .catalog import query
@@ -123,6 +123,62 @@ def q_raw_to_bil(spark, sf_dir):
 # -- text sources ------------------------------------------------------------------
 
 
+N_TEXT = 300
+
+
+@query(f"WITH k AS (SELECT unnest(range({N_TEXT})) AS k) SELECT k::DOUBLE AS time, 46 + k / 1000 AS latitude, (k * 7 % 360)::DOUBLE AS yaw, CASE WHEN k % 9 <> 0 THEN k / 4 END AS plain, (k * 11 % 100)::VARCHAR AS word FROM k")
+def q_trajectory_text(spark, sf_dir):
+    """A trajectory with a header, heading for yaw; and a file without one, comments in between, bad numbers null."""
+    rows = "".join(f"{k},{46 + k / 1000},7.5,500,0,0,{k * 7 % 360}\n" for k in range(N_TEXT))
+    flight = text.navigation(spark, fixture(spark, "flight.csv", f"time,latitude,longitude,height,roll,pitch,heading\n# a note\n{rows}".encode()))
+    rows = "".join(f"# {k}\n{k},{k / 4 if k % 9 else 'none'}, {k * 11 % 100}\n" for k in range(N_TEXT))
+    plain = text.plain_csv(spark, fixture(spark, "plain.csv", rows.encode()), "time double, plain double, word string")
+    return flight.select("time", "latitude", "yaw").join(plain, "time")
+
+
+@query(f"WITH k AS (SELECT unnest(range({N_TEXT})) AS k) SELECT k AS line_id, 4000000 + 460 * k AS tick, round((4000000 + 460 * k) / 100000, 5) AS seconds FROM k")
+def q_exposures(spark, sf_dir):
+    """Exposure times, one a line, with lines in between that are none."""
+    rows = "exposures\n" + "".join(f"{4_000_000 + 460 * k}\n" + ("\n" if k % 7 == 0 else "") for k in range(N_TEXT))
+    e = text.exposure_times(text.lines(spark, fixture(spark, "exposures.txt", rows.encode())))
+    return e.select(F.col("line_id").cast("long").alias("line_id"), "tick", F.round("seconds", 5).alias("seconds"))
+
+
+@query("WITH f AS (SELECT unnest(range(12)) AS f) SELECT 'exif-' || f || '.txt' AS file, 1700000000000000000 + f * 1000003 AS time_ns FROM f WHERE f % 5 <> 4")
+def q_exif_times(spark, sf_dir):
+    """The first time stamp of each side file; some have none."""
+    for f in range(12):
+        path = fixture(spark, f"exif/exif-{f}.txt", (f"# {f}\n" + ("" if f % 5 == 4 else f"#TIMESTAMP = {1_700_000_000_000_000_000 + f * 1_000_003}\n#TIMESTAMP = 5\n")).encode())
+    e = text.exif_times(spark, os.path.dirname(path))
+    return e.select(F.element_at(F.split("file", "/"), -1).alias("file"), "time_ns")
+
+
+@query(f"WITH k AS (SELECT unnest(range({N_TEXT})) AS k) SELECT 'p' || k AS name, 2600000.0 + k AS easting, 1200000.5 - k AS northing, 400 + k / 2 AS height, 'GEOXY p' || k || ' ' || format('{{:.3f}}', 2600000.0 + k) || ' ' || format('{{:.3f}}', 1200000.5 - k) || ' ' || format('{{:.3f}}', 400 + k / 2) || ' PRIORID p' || k AS line FROM k WHERE k % 10 <> 9")
+def q_points_text(spark, sf_dir):
+    """Points of a file whose delimiter and column names are found out, rows without numbers skipped, written as geodetic records."""
+    rows = "Punkt;Ost;Nord;Hoehe\n" + "".join(f"p{k};{2_600_000 + k if k % 10 != 9 else 'x'};{1_200_000.5 - k};{400 + k / 2}\n" for k in range(N_TEXT))
+    p = text.points_csv(spark, fixture(spark, "points.csv", rows.encode()))
+    own = F.struct(*p.columns)
+    lines = text.geo_records(p.select("name", F.col("easting").alias("x"), F.col("northing").alias("y"), F.col("height").alias("z"))).withColumn("name", F.element_at(F.split("value", " "), 2))
+    return p.withColumn("own", own).join(lines, "name").select("own.*", F.col("value").alias("line"))
+
+
+@query("WITH k AS (SELECT unnest(range(64)) AS k) SELECT k, -16 + k / 2 AS angle, 400.0 + 10 * k AS wavelength FROM k")
+def q_number_tables(spark, sf_dir):
+    """Angles of pixels and wavelengths of bands from their text files."""
+    angles = text.rising(text.number_table(spark, fixture(spark, "angles.txt", ("# degrees\n" + "".join(f"{-16 + k / 2}\n" for k in range(64))).encode())))
+    waves = text.number_table(spark, fixture(spark, "waves.txt", "".join(f"band{k}, {400 + 10 * k}\n" for k in range(64)).encode()), 1)
+    return spark.createDataFrame([(k, a, w) for k, (a, w) in enumerate(zip(angles, waves, strict=True))], "k long, angle double, wavelength double")
+
+
+@query("WITH m AS (SELECT conv_id::INT AS k, turn AS t FROM conversations) SELECT row_number() OVER (ORDER BY k, t) AS n, k, t FROM m")
+def q_merge_sorted(spark, sf_dir):
+    """Several tables as one, in the order of numbers that were texts."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").cast("int").alias("k"), F.col("turn").alias("t"))
+    m = sequence.merge_sorted([c.where("t % 3 = 0"), c.where("t % 3 = 1"), c.where("t % 3 = 2")], ["k", "t"])
+    return scale.numbered(sequence.stable_order(m, "k", "t"), ["k", "t"], "n").select(F.col("n").cast("long").alias("n"), "k", "t")
+
+
 def _as_lines(df, value, key: str = "line_no"):
     return df.select(F.lit("f").alias("file"), F.col(key).cast("long").alias("line_no"), value.alias("value"))
 
@@ -440,3 +496,131 @@ def q_swath_elevation(spark, sf_dir):
     """Mean of the surface along the track, cells without a value left out."""
     p = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 97 != 0, F.col("p_retailprice")).otherwise(float("nan")).alias("z"))
     return select.swath_elevation(p, "z").select(F.lit(True).alias("any"), F.round("elevation", 4).alias("elevation"))
+
+
+# -- rotations, rays and frames ----------------------------------------------------
+
+#: Elements of the other conventions, multiplied out by hand.
+R1R2R3 = ('cos(p)*cos(y)', '-cos(p)*sin(y)', 'sin(p)', 'cos(r)*sin(y) + sin(r)*sin(p)*cos(y)', 'cos(r)*cos(y) - sin(r)*sin(p)*sin(y)', '-sin(r)*cos(p)', 'sin(r)*sin(y) - cos(r)*sin(p)*cos(y)', 'sin(r)*cos(y) + cos(r)*sin(p)*sin(y)', 'cos(r)*cos(p)')
+PASSIVE = ('cos(p)*cos(y)', 'cos(p)*sin(y)', '-sin(p)', 'sin(r)*sin(p)*cos(y) - cos(r)*sin(y)', 'sin(r)*sin(p)*sin(y) + cos(r)*cos(y)', 'sin(r)*cos(p)', 'cos(r)*sin(p)*cos(y) + sin(r)*sin(y)', 'cos(r)*sin(p)*sin(y) - sin(r)*cos(y)', 'cos(r)*cos(p)')
+
+
+@query(f"WITH {ANGLES} SELECT event_id, " + ", ".join(f"round({m[k]}, 9) + 0.0 AS {n}{k // 3}{k % 3}" for n, m in (("a", R1R2R3), ("b", PASSIVE)) for k in range(9)) + ", " + ", ".join(f"round({ZYX[3 * (k % 3) + k // 3]}, 9) + 0.0 AS t{k // 3}{k % 3}" for k in range(9)) + " FROM a")
+def q_conventions(spark, sf_dir):
+    """The same angles in three more conventions."""
+    out = {}
+    for n, c in (("a", "r1r2r3"), ("b", "passive"), ("t", "ned2body")):
+        m = rotation.rpy_matrix("roll", "pitch", "yaw", c)
+        out |= {f"{n}{i}{j}": m[i][j] for i in range(3) for j in range(3)}
+    return _angles(spark, sf_dir).select("event_id", *_named(out, 9))
+
+
+_TURN = [f"({x})" for x in ZYX]
+
+
+@query(
+    f"""WITH {ANGLES}, v AS (SELECT *, event_id % 7 - 3.0 AS vx, event_id % 5 - 2.0 AS vy, event_id % 11 + 1.0 AS vz FROM a), w AS (SELECT event_id, {", ".join(f"{' + '.join(f'{_TURN[3 * i + j]} * {c}' for j, c in enumerate(('vx', 'vy', 'vz')))} AS r{i}" for i in range(3))}, vx, vy, vz FROM v)
+SELECT event_id, {", ".join(f"round(r{i} + {t}, 7) + 0.0 AS f{i}" for i, t in enumerate((10, 20, 30)))}, round(vx, 7) + 0.0 AS b0, round(vy, 7) + 0.0 AS b1, round(vz, 7) + 0.0 AS b2, round(2 * vz - 3 * vy, 7) + 0.0 AS s0, round(3 * vx - vz, 7) + 0.0 AS s1, round(vy - 2 * vx, 7) + 0.0 AS s2 FROM w"""
+)
+def q_rigid(spark, sf_dir):
+    """A rigid motion and its inverse, and a cross product by the skew matrix and its transpose."""
+    m, t = rotation.rpy_matrix("roll", "pitch", "yaw"), core.vec(10.0, 20.0, 30.0)
+    k = F.col("event_id")
+    a = _angles(spark, sf_dir).withColumns({"vx": k % 7 - 3.0, "vy": k % 5 - 2.0, "vz": k % 11 + 1.0})
+    v = core.vec("vx", "vy", "vz")
+    there = camera.rigid(m, t, v)
+    a = core.staged(a, {f"g{i}": c for i, c in enumerate(there)})
+    back = camera.rigid_inverse(m, t, core.vec("g0", "g1", "g2"))
+    turned = core.matvec(rotation.skew(core.vec(1.0, 2.0, 3.0)), v)
+    other = core.matvec(rotation.skew_transposed(core.vec(1.0, 2.0, 3.0)), v)
+    crossed = [(x - y) / 2 for x, y in zip(turned, other, strict=True)]
+    return a.select("event_id", *_named({f"{n}{i}": c for n, cs in (("f", core.vec("g0", "g1", "g2")), ("b", back), ("s", crossed)) for i, c in enumerate(cs)}, 7))
+
+
+@query(
+    f"""WITH {ANGLES}, v AS (SELECT *, (event_id % 640 - 320) / 1000 AS gx, (event_id % 480 - 240) / 1000 AS gy FROM a), n AS (SELECT *, sqrt(gx * gx + gy * gy + 1) AS l FROM v)
+SELECT event_id, {", ".join(f"round(({_TURN[3 * i]} * gx + {_TURN[3 * i + 1]} * gy + {_TURN[3 * i + 2]}) / l, 8) + 0.0 AS d{i}" for i in range(3))}, {", ".join(f"round({t} + {' + '.join(f'{_TURN[3 * i + j]} * {a}' for j, a in enumerate((0.5, -0.2, 0.3)))}, 7) + 0.0 AS p{i}" for i, t in enumerate((100, 200, 300)))},
+round(1000 / (event_id % 9 + 1), 7) AS j00, round(-1000 * gx / (event_id % 9 + 1), 7) + 0.0 AS j02, round(-1000 * gy / (event_id % 9 + 1), 7) + 0.0 AS j12 FROM n"""
+)
+def q_pixel_ray(spark, sf_dir):
+    """Rays of pixels in the world, the camera's place with its lever arm, and how a projection changes with its point."""
+    m, k = rotation.rpy_matrix("roll", "pitch", "yaw"), F.col("event_id")
+    a = _angles(spark, sf_dir)
+    d = camera.pixel_ray_world(k % 640, k % 480, 1000.0, 320.0, 240.0, m)
+    p = camera.camera_position(core.vec(100.0, 200.0, 300.0), m, core.vec(0.5, -0.2, 0.3))
+    z = k % 9 + 1.0
+    j = camera.projection_jacobian([(k % 640 - 320) / 1000 * z, (k % 480 - 240) / 1000 * z, z], 1000.0, 1000.0)
+    return a.select("event_id", *_named({f"d{i}": c for i, c in enumerate(d)}, 8), *_named({f"p{i}": c for i, c in enumerate(p)} | {"j00": j[0][0], "j02": j[0][2], "j12": j[1][2]}, 7))
+
+
+@query("SELECT c_custkey, e BETWEEN 2485000 AND 2834000 AND n BETWEEN 1075000 AND 1296000 AS inside, zone * 6 - 183.0 AS meridian FROM (SELECT c_custkey, 2480000 + c_custkey * 7919 % 360000 AS e, 1070000 + c_custkey * 6007 % 230000 AS n, 32 AS zone FROM customer)")
+def q_within_swiss(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", geodesy.within_swiss(2_480_000 + k * 7919 % 360_000, 1_070_000 + k * 6007 % 230_000).alias("inside"), F.lit(geodesy.utm_central_meridian(32632)).alias("meridian"))
+
+
+# -- more lookups and solvers --------------------------------------------------------
+
+
+@query(
+    """WITH z AS (SELECT (p_partkey - 1) // 40 AS r, (p_partkey - 1) % 40 AS c, p_retailprice AS z FROM part), n AS (SELECT count(*) // 40 AS n FROM part), t AS (SELECT unnest(range(20)) AS i), u AS (SELECT unnest(range(30)) AS j),
+p AS (SELECT i, j, i * 0.25 + 0.125 AS y, j * 1.25 + 0.5 AS x FROM t, u), b AS (SELECT *, floor(y)::BIGINT AS br, floor(x)::BIGINT AS bc FROM p, n WHERE floor(y) <= n - 2 AND floor(x) <= 38),
+s AS (SELECT i, j, sum(z.z * (CASE a WHEN 1 THEN y - br ELSE 1 - y + br END) * (CASE e WHEN 1 THEN x - bc ELSE 1 - x + bc END)) AS z, count(*) AS k FROM b, (VALUES (0), (1)) q(a), (VALUES (0), (1)) w(e), z WHERE z.r = br + a AND z.c = bc + e GROUP BY i, j)
+SELECT p.i AS row, p.j AS col, round(CASE WHEN k = 4 THEN s.z END, 5) AS z FROM p LEFT JOIN s USING (i, j)"""
+)
+def q_resample(spark, sf_dir):
+    """A raster brought to another grid by inverse mapping."""
+    part = table(spark, sf_dir, "part")
+    cells = part.select(F.expr("(p_partkey - 1) div 40").alias("row"), ((F.col("p_partkey") - 1) % 40).alias("col"), F.col("p_retailprice").alias("z"))
+    grid = raster.Grid(100.0, 500.0, 2.0, part.count() // 40, 40)
+    target = spark.range(600).select(F.expr("id div 30").alias("row"), (F.col("id") % 30).alias("col"))
+    return raster.resample(target, cells, grid, 101.0 + F.col("col") * 2.5, 499.75 - F.col("row") * 0.5).select("row", "col", F.round("z", 5).alias("z"))
+
+
+@query("WITH r AS (SELECT unnest(range(6)) AS r), c AS (SELECT unnest(range(10)) AS c) SELECT r AS row, c AS col, 7.0 AS b0, 9.0 AS b1 FROM r, c")
+def q_ortho(spark, sf_dir):
+    """A flat surface below a straight flight and an image of one colour: every output cell gets it."""
+    from .geometry_catalog import straight_flight
+
+    tr = straight_flight()
+    out = raster.output_grid(spark, 7.445, 46.9497, 7.4455, 46.95, 0.00005, 4)
+    g = raster.Grid(7.44, 46.951, 0.0005, 6, 30)
+    surface = spark.range(180).select(F.expr("id div 30").alias("row"), (F.col("id") % 30).alias("col"), F.lit(500.0).alias("z"))
+    cube = spark.range(500 * 16).select(F.expr("id div 16").alias("line"), (F.col("id") % 16).alias("sample"), F.array(F.lit(7.0), F.lit(9.0)).alias("spectrum"))
+    to = lambda x, y, z: geodesy.geodetic_to_ecef(y, x, z, degrees=True)
+
+    def back(x, y, z):
+        lat, lon, h = geodesy.ecef_to_geodetic(x, y, z)
+        return [F.degrees(lon), F.degrees(lat), h]
+
+    o = geometry.ortho(out, surface, g, to, tr, solve.MOUNT, tr.t, [-10 + 20 * k / 15 for k in range(16)], cube, 500, 16, from_ecef=back)
+    return o.select("row", "col", F.round(F.col("spectrum")[0], 6).alias("b0"), F.round(F.col("spectrum")[1], 6).alias("b1"))
+
+
+@query("WITH p AS (SELECT o_orderkey, (o_orderkey % 1000) / 100 - 1 AS t FROM orders) SELECT o_orderkey, round(t**3 - 2 * t, 6) + 0.0 AS a, round(5 - t * t, 6) + 0.0 AS b FROM p")
+def q_spline(spark, sf_dir):
+    """A not-a-knot spline is the cubic that its knots lie on, beyond the ends, too."""
+    k = (F.col("s_suppkey") % 10).cast("double")
+    knots = table(spark, sf_dir, "supplier").select(k.alias("t")).distinct().select("t", (F.pow("t", 3.0) - 2 * F.col("t")).alias("a"), (5 - F.col("t") * F.col("t")).alias("b"))
+    p = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1000 / 100 - 1).alias("t"))
+    return solve.spline_positions(p, knots, "t", ["a", "b"]).select("o_orderkey", _r("s_a").alias("a"), _r("s_b").alias("b"))
+
+
+@query("WITH m AS (SELECT count(*) AS n, avg(l_discount) AS c, avg(CASE WHEN l_quantity <= 40 THEN 1.0 ELSE 0 END) AS r, avg(l_quantity) AS e FROM lineitem) SELECT n AS matches, round(c, 6) AS mean_confidence, round(r, 6) AS inlier_ratio, round(e, 6) AS mean_error FROM m")
+def q_match_metrics(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") <= 40).alias("ok"), F.col("l_quantity").alias("e"), F.col("l_discount").alias("c"))
+    m = geometry.match_metrics(l, "ok", "e", "c")
+    return m.select("matches", *[F.round(c, 6).alias(c) for c in ("mean_confidence", "inlier_ratio", "mean_error")])
+
+
+@query(
+    """WITH n AS (SELECT DISTINCT p_brand, p_brand LIKE '%1%' AS c FROM part), i AS (SELECT p_brand, row_number() OVER (PARTITION BY c ORDER BY p_brand) + CASE WHEN c THEN 0 ELSE 999 END AS id FROM n),
+r AS (SELECT id, p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY id ORDER BY p_retailprice, p_partkey) AS k FROM part JOIN i USING (p_brand)),
+t AS (SELECT id, 0 AS k, id || ' ' || p_brand AS value FROM i UNION ALL SELECT id, k, p_partkey || ' ' || format('{:.4f}', p_size::DOUBLE) || ' 0.0000' FROM r UNION ALL SELECT id, count(*) + 1, '-99' FROM r GROUP BY id)
+SELECT id AS point_id, k, value FROM t"""
+)
+def q_observation_blocks(spark, sf_dir):
+    """Tie points as a block file: numbered points, their rows by time, the end mark."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    b = geometry.observation_blocks(p, "p_brand", ["p_retailprice", "p_partkey"], F.col("p_brand").contains("1"), "p_size", frame="p_partkey")
+    return b.select(F.col("point_id").cast("long").alias("point_id"), F.col("k").cast("long").alias("k"), "value")
