@@ -109,7 +109,7 @@ def q_cube_source(spark, sf_dir):
     return out
 
 
-@query("WITH l AS (SELECT unnest(range(9)) AS l), s AS (SELECT unnest(range(6)) AS s) SELECT l::INT AS line, s::INT AS sample, list_transform(range(3), lambda b: xor(1000 * l + 10 * s + b, 32768)::DOUBLE) AS spectrum FROM l, s")
+@query("WITH l AS (SELECT unnest(range(9)) AS l), s AS (SELECT unnest(range(6)) AS s) SELECT l::INT AS line, s::INT AS sample, xor(1000 * l + 10 * s, 32768)::DOUBLE AS b0, xor(1000 * l + 10 * s + 1, 32768)::DOUBLE AS b1, xor(1000 * l + 10 * s + 2, 32768)::DOUBLE AS b2 FROM l, s")
 def q_raw_to_bil(spark, sf_dir):
     """Raw frames, the last one cut off, to a cube of part files with their highest bit turned over, and read again."""
     l, s, b = np.meshgrid(np.arange(9), np.arange(6), np.arange(3), indexing="ij")
@@ -117,7 +117,8 @@ def q_raw_to_bil(spark, sf_dir):
     target = raw + ".bil"
     binary.raw_to_bil(spark, raw, target, 6, 3)
     part = sorted(p for p in os.listdir(target) if p.endswith(".bil"))[0]
-    return spark.read.format("cube").option("header", f"{target}/cube.hdr").load(f"{target}/{part}")
+    cube = spark.read.format("cube").option("header", f"{target}/cube.hdr").load(f"{target}/{part}")
+    return cube.select("line", "sample", *[F.col("spectrum")[k].alias(f"b{k}") for k in range(3)])
 
 
 # -- text sources ------------------------------------------------------------------
