@@ -690,7 +690,7 @@ def test_near_duplicates(spark, seed):
     assert all(r.n_shingles == len(shingles(t, 4)) and r.kept == (want[i] == i) for i, t in rows for r in [got[i]])
 
 
-@pytest.mark.parametrize("rounds, idle, crowd", [(1, 20, 0), (1, 20, 10**9), (6, 10**9, 0), (6, 0, 2)])
+@pytest.mark.parametrize("rounds, idle, crowd", [(1, 20, 0), (6, 0, 10**9)])
 def test_near_duplicates_do_not_depend_on_the_path(spark, monkeypatch, rounds, idle, crowd):
     """All buckets crowded or none, one round or as many as there are: the same groups. Texts share a long passage, so buckets hold what is not alike, too."""
     rng = random.Random(8)
