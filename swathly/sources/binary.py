@@ -267,6 +267,8 @@ def reinterleave(spark, source: str, target: str, per_file: int = 512) -> None:
 
 
 def register(spark) -> None:
+    """Make the sources known to a session, and let filters reach them, which the navigation reader needs."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for s in (NavSource, FrameSource, CubeSource):
         spark.dataSource.register(s)
 

@@ -149,9 +149,9 @@ def rising(values: list[float]) -> list[float]:
 def navigation(spark: SparkSession, path: str, **options) -> DataFrame:
     """A trajectory by its file's ending: .sbet and .out are binary records (options as of the nav source), all else a CSV with a header."""
     if path.lower().endswith((".sbet", ".out")):
-        from .binary import NavSource
+        from .binary import register
 
-        spark.dataSource.register(NavSource)
+        register(spark)
         return spark.read.format("nav").options(**options).load(path)
     return trajectory_csv(spark, path, **options)
 
