@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import staged
 from ..functions.rotation import angle_lerp_deg, slerp
@@ -137,8 +138,19 @@ def positional(points: DataFrame, lines: DataFrame, value: str, line_no: str, ro
     return points.withColumn("__line", at.cast("long")).join(lines, F.col("__line") == F.col(line_no)).drop("__line")
 
 
-def exact_time(left: DataFrame, right: DataFrame, time: str, ticks_per_second: int = 100_000) -> DataFrame:
-    """Equality of times, on whole ticks rather than floating numbers; the first match by ticks."""
+def exact_time(left: DataFrame, right: DataFrame, time: str, ticks_per_second: int = 100_000, order: tuple[str, ...] = ()) -> DataFrame:
+    """Equality of times, on whole ticks rather than floating numbers; the first match by ticks, as struct ``r``.
+
+    Of one tick the earliest time is first; of equal times the smallest ``order`` columns, then the smallest
+    other columns, so that rows in any order or partition give the same match. Left rows without one have null.
+    """
     tick = F.rint(F.col(time) * ticks_per_second).cast("long")
-    first = right.withColumn("__k", tick).groupBy("__k").agg(F.min_by(F.struct(*right.columns), F.col(time)).alias("r"))
+    rest = [f.name for f in right.schema if f.name not in (time, *order) and _sortable(f.dataType)]
+    first = right.withColumn("__k", tick).groupBy("__k").agg(F.min_by(F.struct(*right.columns), F.struct(time, *order, *rest)).alias("r"))
     return left.withColumn("__k", tick).join(first, "__k", "left").drop("__k")
+
+
+def _sortable(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return all(_sortable(f.dataType) for f in t)
+    return _sortable(t.elementType) if isinstance(t, T.ArrayType) else not isinstance(t, (T.MapType, T.VariantType, T.CalendarIntervalType, T.SpatialType))

@@ -436,3 +436,15 @@ def test_written_tables_are_swept(spark):
     assert b.count() == 6 and session.sweep(spark) == 1 and session.sweep(spark) == 0
     with pytest.raises(Exception):  # noqa: B017
         b.collect()
+
+
+def test_exact_time_takes_the_first_of_equal_times(spark):
+    rows = [(i, t, {"a": i}) for t in (1.0, 1.00002, 2.0) for i in range(40)]
+    columns = "id int, t double, m map<string, int>"
+    want = {1.0: (0, 1.0), 2.0: (0, 2.0), 3.0: None}
+    for right in (spark.createDataFrame(rows, columns), spark.createDataFrame(rows[::-1], columns).repartition(7)):
+        left = spark.createDataFrame([(t,) for t in want], "t double")
+        got = {r.t: r.r and (r.r.id, r.r.t) for r in asof.exact_time(left, right, "t", 1000).collect()}
+        assert got == want
+    by = spark.createDataFrame([(1, 1.0, 9), (2, 1.0, 3), (3, 1.0, 5)], "id int, t double, line int")
+    assert asof.exact_time(by.limit(1).select("t"), by, "t", 1000, ("line",)).first().r.id == 2

@@ -43,3 +43,13 @@ def test_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_exact_time_with_equal_and_missing_times(spark, tmp_path):
+    con = duckdb.connect(config={"threads": 1})  # so that arg_min takes equal times in the table's order
+    con.execute(f"COPY (SELECT CASE WHEN e.event_id % 5 <> i THEN e.event_id + 1000 * i END AS event_id, CASE WHEN e.event_id % 7 <> i THEN ts END AS ts FROM range(9) g(i), '{SF}/events.parquet' e ORDER BY i, e.event_id) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = con.execute(catalog.ORACLE["q_exact_time"])
+    columns = [d[0] for d in got.description]
+    df = catalog.QUERIES["q_exact_time"](spark, str(tmp_path))
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(columns, got.fetchall())
